@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .queries_licenses import OP1_SQL, op1_licenses
 from .queries_mixing import OP4_SQL, op4_mix
 
-QUERIES = {"op4_mix": op4_mix}
-ORACLES = {"op4_mix": OP4_SQL}
+QUERIES = {"op1_licenses": op1_licenses, "op4_mix": op4_mix}
+ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL}
