@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .queries_licenses import OP1_SQL, op1_licenses
 from .queries_mixing import OP4_SQL, op4_mix
+from .queries_simhash import op7_simhash
 
-QUERIES = {"op1_licenses": op1_licenses, "op4_mix": op4_mix}
+QUERIES = {"op1_licenses": op1_licenses, "op4_mix": op4_mix, "op7_simhash": op7_simhash}
 ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL}
