@@ -116,7 +116,7 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         for k in range(0, len(rows), LEAF):
             x, y = _near(fps[rows[k : k + LEAF]], fps[others], radius)
             cuts = np.flatnonzero(np.diff(x)) + 1
-            for i, js in zip(rows[k + x[np.r_[0, cuts]]].tolist() if len(x) else (), np.split(others[y], cuts), strict=True):
+            for i, js in zip(rows[k + x[np.r_[0, cuts]]].tolist() if len(x) else (), np.split(others[y], cuts), strict=False):
                 if len(js) > 1 or js[0] != i:  # a dense group takes one step for each of its roots, not for each pair
                     roots = {find(j) for j in np.unique(root[js]).tolist()} | {find(i)}
                     least = min(roots)
