@@ -5,7 +5,16 @@ from __future__ import annotations
 from .queries_labels import op3_quality, op10_toxicity
 from .queries_licenses import OP1_SQL, op1_licenses
 from .queries_mixing import OP4_SQL, op4_mix
+from .queries_repeats import OP8_SQL, op5_suffixes, op8_substrings
 from .queries_simhash import op7_simhash
 
-QUERIES = {"op1_licenses": op1_licenses, "op3_quality": op3_quality, "op4_mix": op4_mix, "op7_simhash": op7_simhash, "op10_toxicity": op10_toxicity}
-ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL}
+QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op3_quality": op3_quality,
+    "op4_mix": op4_mix,
+    "op5_suffixes": op5_suffixes,
+    "op7_simhash": op7_simhash,
+    "op8_substrings": op8_substrings,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op8_substrings": OP8_SQL}
