@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .queries_decontaminate import OP6_SQL, op6_decontaminate
 from .queries_labels import op3_quality, op10_toxicity
 from .queries_licenses import OP1_SQL, op1_licenses
 from .queries_mixing import OP4_SQL, op4_mix
@@ -13,8 +14,9 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_mix": op4_mix,
     "op5_suffixes": op5_suffixes,
+    "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_substrings": op8_substrings,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op8_substrings": OP8_SQL}
+ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL}
