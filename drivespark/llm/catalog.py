@@ -5,12 +5,14 @@ from __future__ import annotations
 from .queries_decontaminate import OP6_SQL, op6_decontaminate
 from .queries_labels import op3_quality, op10_toxicity
 from .queries_licenses import OP1_SQL, op1_licenses
+from .queries_lm import op2_lm
 from .queries_mixing import OP4_SQL, op4_mix
 from .queries_repeats import OP8_SQL, op5_suffixes, op8_substrings
 from .queries_simhash import op7_simhash
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_lm": op2_lm,
     "op3_quality": op3_quality,
     "op4_mix": op4_mix,
     "op5_suffixes": op5_suffixes,
