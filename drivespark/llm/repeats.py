@@ -18,8 +18,8 @@ from .common import row_key, staged
 from .pointers import SPAN_BITS, combined, names, owned, packed, unpacked
 from .vectors import BYTE_VALUE, byte_column, groups, word_hashes
 
-#: Buckets of up to this many classes are refined inside a task; larger ones by a shuffle of their windows.
-IN_TASK = 2_000
+#: Buckets of up to this many classes (some 200 MB of names) are refined inside a task; larger ones by a shuffle of windows.
+IN_TASK = 30_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
