@@ -7,6 +7,7 @@ from .queries_labels import op3_quality, op10_toxicity
 from .queries_licenses import OP1_SQL, op1_licenses
 from .queries_lm import op2_lm
 from .queries_mixing import OP4_SQL, op4_mix
+from .queries_neighbours import op9_neighbours
 from .queries_repeats import OP8_SQL, op5_suffixes, op8_substrings
 from .queries_simhash import op7_simhash
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_substrings": op8_substrings,
+    "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL}
