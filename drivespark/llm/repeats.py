@@ -31,6 +31,8 @@ class Form:
     words: bool
     window: int
     gram: int
+    #: Whether a text that loses nothing comes back unchanged (its words are joined by a space otherwise).
+    as_is: bool = False
 
 
 def units(texts: list[bytes], form: Form) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +225,8 @@ def _cut(text: bytes, own: list[dict], form: Form) -> tuple[int, int, int, bytes
     for a, b in merged:
         kept.append(parts[at:a])
         at = b
+    if not merged:
+        return len(parts), 0, 0, b" ".join(parts) if form.words and not form.as_is else text
     kept.append(parts[at:])
     gone = sum(b - a for a, b in merged)
     return len(parts), gone, len(merged), b" ".join(w for p in kept for w in p) if form.words else b"".join(kept)

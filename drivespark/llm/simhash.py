@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import row_key, small, staged
 from .components import components
 
 SHINGLE, RADIUS = 3, 2
@@ -179,3 +179,44 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     """
     prints = staged(fingerprints(docs, shingle, id_col, text_col))
     return prints.join(near_components(prints, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: bytes | None, shingle: int) -> set[bytes]:
+    words = (text or b"").translate(_LOWER).split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near-duplicates: of each group of linked fingerprints, the row with the smallest id stays.
+
+    The others go if the similarity of their word shingles to that row's (shared over all distinct ones) is at least
+    ``similarity``; a null or empty text is like another such text. Rows that repeat id and text are copies, so one of
+    them stays. All columns are kept.
+    """
+    key = row_key(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.struct(F.col(id_col).alias("i"), key.alias("k")).alias("doc_id"), F.col(text_col).alias("text"))
+    groups = staged(simhash_groups(rows, shingle, radius).select(F.col("doc_id.k").alias("k"), F.col("component_id.k").alias("first")).distinct())
+    pairs = groups.where("k <> first")
+    texts = docs.select(key.alias("k"), F.col(text_col).cast("binary").alias("text"))
+    others = texts.join(small(pairs), "k")
+    firsts = texts.join(small(staged(pairs.select(F.col("first").alias("k")).distinct())), "k").select(F.col("k").alias("first"), F.col("text").alias("first_text")).dropDuplicates(["first"])
+
+    def run(batches):
+        known: tuple[bytes | None, set] = (None, set())
+        for b in batches:
+            keys, keep = b.column("k"), []
+            for x, y in zip(b.column("text").to_pylist(), b.column("first_text").to_pylist(), strict=True):
+                if x == y:
+                    keep.append(False)
+                    continue
+                known = known if known[0] == y and known[0] is not None else (y, shingle_set(y, shingle))
+                own = shingle_set(x, shingle)
+                keep.append(len(own & known[1]) < similarity * len(own | known[1]))
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array([not k for k in keep]))], names=["k"])
+
+    gone = staged(others.join(firsts, "first").select("k", "text", "first_text").mapInArrow(run, "k long").distinct())
+    left = docs.withColumn("__k", key).join(small(gone).withColumnRenamed("k", "__k"), "__k", "left_anti")
+    repeated = small(staged(docs.select(key.alias("__k")).groupBy("__k").agg(F.count("*").alias("__n")).where("__n > 1").select("__k")))
+    once = left.join(repeated, "__k", "left_anti")
+    more = left.join(repeated, "__k", "left_semi").dropDuplicates(["__k"])
+    return once.unionByName(more).drop("__k")

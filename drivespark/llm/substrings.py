@@ -15,12 +15,13 @@ from .repeats import Form, without_repeats
 LENGTH = 35
 
 
-def cut_repeated_words(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeated_words(docs: DataFrame, length: int = LENGTH, as_is: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_units, n_removed, n_spans, kept``, one row for each input row.
 
     Every word that a window of ``length`` consecutive words covers goes if the same words also start elsewhere, in this
-    document or another; windows are judged on the input. ``kept`` (bytes) holds the words that stay, joined by a space.
+    document or another; windows are judged on the input. ``kept`` (bytes) holds the words that stay, joined by a space; with
+    ``as_is``, a text that loses nothing is left as it was.
     Words are what ASCII white space separates, unchanged. Null, empty and blank texts have no words; a text of fewer
     words than a window stays; rows that repeat are copies of each other; other columns are ignored.
     """
-    return without_repeats(docs, Form(True, length, (length + 1) // 2), id_col, text_col)
+    return without_repeats(docs, Form(True, length, (length + 1) // 2, as_is), id_col, text_col)
