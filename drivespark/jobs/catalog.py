@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_functions, queries_series
+
+_MODULES = (queries_functions, queries_series)
+CASES = {name: case for module in _MODULES for name, case in module.CASES.items()}
+QUERIES = {name: query for name, (query, _) in CASES.items()}
+ORACLES = {name: sql for name, (_, sql) in CASES.items() if sql}
