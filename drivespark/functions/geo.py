@@ -98,17 +98,18 @@ def project_point_to_segment(lat: Column, lon: Column, a_lat: Column, a_lon: Col
     """Struct of the foot on a segment (clamped to its ends): ``perp_m, along_m, foot_lat, foot_lon, heading_deg``."""
     bn, be = ned_between(a_lat, a_lon, b_lat, b_lon)
     pn, pe = ned_between(a_lat, a_lon, lat, lon)
-    square = bn * bn + be * be
-    t = F.when(square < 1e-9, F.lit(0.0)).otherwise(clamp(F.try_divide(pn * bn + pe * be, square), 0.0, 1.0))
-    foot_lat, foot_lon = add_ned(a_lat, a_lon, bn * t, be * t)
-    dn, de = pn - bn * t, pe - be * t
-    return F.struct(
-        F.sqrt(dn * dn + de * de).alias("perp_m"),
-        (F.sqrt(square) * t).alias("along_m"),
-        foot_lat.alias("foot_lat"),
-        foot_lon.alias("foot_lon"),
-        wrap_360(F.degrees(F.atan2(be, bn))).alias("heading_deg"),
-    )
+    # A lambda over an array of one names a value: what is used again is evaluated once, and the code stays small.
+    ends = F.array(F.struct(bn.alias("bn"), be.alias("be"), pn.alias("pn"), pe.alias("pe")))
+    square = lambda v: v.bn * v.bn + v.be * v.be
+    share = lambda v: F.when(square(v) < 1e-9, F.lit(0.0)).otherwise(clamp(F.try_divide(v.pn * v.bn + v.pe * v.be, square(v)), 0.0, 1.0))
+    parted = F.transform(ends, lambda v: F.struct(v.bn.alias("bn"), v.be.alias("be"), v.pn.alias("pn"), v.pe.alias("pe"), F.sqrt(square(v)).alias("len"), share(v).alias("t")))
+
+    def foot(v):
+        dn, de = v.pn - v.bn * v.t, v.pe - v.be * v.t
+        foot_lat, foot_lon = add_ned(a_lat, a_lon, v.bn * v.t, v.be * v.t)
+        return F.struct(F.sqrt(dn * dn + de * de).alias("perp_m"), (v.len * v.t).alias("along_m"), foot_lat.alias("foot_lat"), foot_lon.alias("foot_lon"), wrap_360(F.degrees(F.atan2(v.be, v.bn))).alias("heading_deg"))
+
+    return F.get(F.transform(parted, foot), F.lit(0))
 
 
 def point_at_distance(line: Column, upto: Column, along_m: Column) -> Column:
