@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +14,8 @@ from pyspark.sql import functions as F
 #: Java regex of a word, as the contracts of the queries have it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A table of at most this many rows may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: A table of at most this many rows and (estimated) bytes may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 24_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,28 +23,59 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; one of our own only where none is named."""
+    """The folder that driver and executors share, as the cluster names it.
+
+    Where none is named, a local session gets one of its own; on a cluster that is an error, as no machine sees another's.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    return f"{named.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost a reread."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it holds at most ``rows`` rows, else as it is (shuffled, with skew joins split).
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all that ``staged`` wrote in this application; for callers that have written what they need."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(field):
+    """Bytes of a column's value, about: strings by their length, arrays by their number of elements."""
+    name, kind = f"`{field.name}`", field.dataType.typeName()
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if kind == "array":
+        inner = field.dataType.elementType
+        return F.greatest(F.size(name), F.lit(0)) * 8 * (1 + len(getattr(inner, "fields", ()))) + 16
+    return F.lit(16)
 
-    ``df`` is counted here, so it should be a staged table.
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``rows`` rows and ``size`` bytes, else as it is (shuffled, skew joins split).
+
+    ``df`` is measured here, so it should be a staged table.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(reduce(add, (_width(f) for f in df.schema))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def lower_ascii(text):

@@ -1,10 +1,10 @@
 """Names of strings by doubling, and pointers: a sample of positions of which every window owns exactly one.
 
 A unit is a byte or a word, given by a 64-bit name. The name of a longer string is made of the names of two shorter ones
-at an offset, so equal strings have equal names. In each window the gram whose name is least (leftmost of equals) is the
-window's pointer. Which gram that is depends on the window's content alone: two equal windows have their pointers at the
-same place, so equal windows can only be found among pointers with the same gram, and about one position in
-(window - gram) / 2 has to be looked at.
+at an offset, so equal strings have equal names. Of the first ``span`` grams of a window the one whose name is least
+(leftmost of equals) is the window's pointer. Which one that is depends on the window's content alone: two equal windows
+have their pointers at the same place, so equal windows can only be found among pointers with the same gram, and about
+one position in span / 2 has to be looked at.
 """
 
 from __future__ import annotations
@@ -56,31 +56,34 @@ def chunks(total: int, window: int, block: int = BLOCK) -> Iterator[tuple[int, i
         yield first, min(total, first + block + window - 1)
 
 
-def owned(units: np.ndarray, sizes: np.ndarray, window: int, gram: int):
-    """Arrays, one entry for each pointer: document, position in it, windows before it, windows owned, and two names.
+def owned(units: np.ndarray, sizes: np.ndarray, window: int, lengths: tuple[int, ...], span: int):
+    """Arrays, one entry for each pointer: document, position in it, windows before it, windows owned, and names.
 
-    ``units`` holds the documents end to end, ``sizes`` units each. ``bucket`` names the pointer's gram, ``run`` the whole
-    string that the owned windows cover, with the pointer's place in it. No window spans two documents.
+    ``units`` holds the documents end to end, ``sizes`` units each. The names are those of the strings of ``lengths`` units
+    (ascending, the gram first, all inside each owned window) that start at the pointer, and of the whole string that the
+    owned windows cover, with the pointer's place in it. No window spans two documents.
     """
+    if span >= 1 << SPAN_BITS or span + lengths[-1] - 1 > window:
+        raise ValueError(f"a window of {window} units has no room for {span} pointers of {lengths[-1]}")
     ends = np.cumsum(sizes)
     parts = []
     for first, end in chunks(len(units), window):
         piece = units[first:end]
-        g, w = names(piece, gram, window)
+        *held, w = names(piece, *lengths, window)
         doc = np.searchsorted(ends, np.arange(first, first + len(w)), side="right")
         s = np.flatnonzero(np.arange(first, first + len(w)) + window <= ends[np.minimum(doc, len(ends) - 1)]) if len(ends) else np.zeros(0, int)
         if not len(s):
             continue
-        key = (mixed(g) & ~_LOW) | np.arange(len(g), dtype=np.uint64)
-        own = (sliding_least(key, window - gram + 1)[s] & _LOW).astype(np.int64)
+        key = (mixed(held[0]) & ~_LOW) | np.arange(len(held[0]), dtype=np.uint64)
+        own = (sliding_least(key, span)[s] & _LOW).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         lo, hi, p = s[cut], s[np.r_[cut[1:], len(s)] - 1], own[cut]
         left, count = p - lo, hi - lo + 1
         run = combined(combined(w[lo], w[hi]), (left << 20 | count).astype(np.uint64))
         d = doc[lo]
-        parts.append((d, p + first - (ends - sizes)[d], left, count, g[p], run))
+        parts.append((d, p + first - (ends - sizes)[d], left, count, *(h[p] for h in held), run))
     if not parts:
-        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
+        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * (len(lengths) + 1)
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 

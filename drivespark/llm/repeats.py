@@ -1,12 +1,11 @@
-"""Strings of a fixed length that start more than once in a corpus, found by refining buckets of pointers.
+"""What the two exact deduplications share: texts by key, pointers that repeat, and cutting what was found.
 
-Shared by the byte and the word form (``suffixes`` and ``substrings`` say how each one proceeds). All that is shuffled is
-a row for each pointer, one context for each distinct one, and the compressed texts twice.
+``suffixes`` (bytes) and ``substrings`` (words) each find the windows that repeat in their own way.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,58 +14,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, staged
-from .pointers import SPAN_BITS, combined, names, owned, packed, unpacked
-from .vectors import BYTE_VALUE, byte_column, groups, word_hashes
+from .pointers import SPAN_BITS, packed
+from .vectors import byte_column, groups
 
-#: Buckets of up to this many classes (some 200 MB of names) are refined inside a task; larger ones by a shuffle of windows.
-IN_TASK = 30_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@dataclass(frozen=True)
-class Form:
-    """What a unit is, how long a repeated window is, and the length at which pointers are first compared."""
-
-    words: bool
-    window: int
-    gram: int
-    #: Whether a text that loses nothing comes back unchanged (its words are joined by a space otherwise).
-    as_is: bool = False
-
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``k, doc_id, text`` (bytes; null: empty); rows that agree in id and text share k, and every text of theirs counts."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+    return docs.select(row_key(F.col(id_col), text).alias("k"), F.col(id_col).alias("doc_id"), text.alias("text"))
 
-def units(texts: list[bytes], form: Form) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all units of ``texts``, end to end, and the number that each text has."""
-    if not form.words:
-        return BYTE_VALUE[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
-    buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    edges = np.flatnonzero(np.diff(np.r_[False, ~_SPACE[buf], False].view(np.int8)))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    sizes = np.bincount(np.searchsorted(ends, edges[0::2], side="right"), minlength=len(texts))
-    return word_hashes(buf, edges[0::2], edges[1::2]), sizes
 
+def pointer_rows(texts: DataFrame, owned_of: Callable, names: list[str], only_first: bool) -> DataFrame:
+    """The pointers of ``texts(k, text)``: their first name alone, or ``k, place`` and all ``names``.
 
-def _pointer_table(texts: DataFrame, form: Form, gram_only: bool) -> DataFrame:
-    """``bucket`` alone, or ``k, place, bucket, class``, a row for each pointer of ``texts(k, text)``."""
+    ``owned_of`` maps a list of texts to the arrays of ``pointers.owned``.
+    """
+    wanted = names[:1] if only_first else ["k", "place", *names]
 
     def run(batches):
         for batch in batches:
             held, keys = byte_column(batch.column("text")), batch.column("k").to_numpy()
             for a, b in groups(held):
-                doc, pos, left, count, gram, whole = owned(*units(held[a:b], form), form.window, form.gram)
-                if gram_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=["bucket"])
-                else:
-                    kind = combined(gram, whole).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[a:b][doc], packed(pos, left, count), gram.view(np.int64), kind)], names=["k", "place", "bucket", "class"])
+                doc, pos, left, count, *found = owned_of(held[a:b])
+                columns = [x.view(np.int64) for x in found]
+                columns = columns[:1] if only_first else [keys[a:b][doc], packed(pos, left, count), *columns]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=wanted)
 
-    return texts.mapInArrow(run, "bucket long" if gram_only else "k long, place long, bucket long, class long")
+    return texts.select("k", "text").mapInArrow(run, ", ".join(f"{c} long" for c in wanted))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``k, doc_id, text`` (bytes; null: empty); rows that agree in id and text share k, and every text of theirs counts."""
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
-    return docs.select(row_key(F.col(id_col), text).alias("k"), F.col(id_col).alias("doc_id"), text.alias("text"))
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """The values of ``key`` that several of ``rows`` have; summed before the shuffle."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2").select(*key)
 
 
 def squeezed(texts: DataFrame) -> DataFrame:
@@ -82,73 +64,48 @@ def squeezed(texts: DataFrame) -> DataFrame:
     return texts.select("k", "doc_id", "text").mapInArrow(run, f"k long, doc_id {id_type}, blob binary")
 
 
-def _opened(column) -> list[bytes]:
+def opened(column) -> list[bytes]:
     z = zstandard.ZstdDecompressor()
     return [z.decompress(x) for x in column.to_pylist()]
 
 
-def candidates(texts: DataFrame, form: Form) -> DataFrame:
-    """Pointers whose gram starts more than once: ``k, place, bucket, class``. Sums are made before the shuffle."""
-    often = _pointer_table(texts.select("k", "text"), form, True).groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2").select("bucket")
-    return staged(_pointer_table(texts.select("k", "text"), form, False).join(staged(often), "bucket").select("k", "place", "bucket", "class"))
-
-
 def classes_of(members: DataFrame) -> DataFrame:
-    """Pointers with the same whole run are one class: its size ``n``, one member, and ``m``, the classes of its bucket."""
-    c = members.groupBy("class").agg(F.count("*").alias("n"), F.min("bucket").alias("bucket"), F.min(F.struct("k", "place")).alias("one"))
-    c = staged(c.select("class", "n", "bucket", "one.k", "one.place"))
+    """Pointers of a ``bucket`` whose owned windows are the same are one class: its size ``n``, one member, and ``m``, the classes of its bucket."""
+    c = members.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("one"))
+    c = staged(c.select("bucket", "class", "n", "one.k", "one.place"))
     return c.join(c.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
 
 
-def contexts(texts: DataFrame, classes: DataFrame, form: Form) -> DataFrame:
-    """For each class of a bucket that has several, what its windows hold, from its one member's text.
+def contexts(texts: DataFrame, classes: DataFrame, made: Callable, fields: str) -> DataFrame:
+    """What ``made`` gives for one member of each class of a bucket that has several, from that member's text.
 
-    A row for each class (``context``: the bytes, or the names of its windows of words), or for each window in buckets
-    of more than ``IN_TASK`` classes (``window``: its name with bucket and offset; ``place``: its offset).
+    ``made(text, place, bucket, class, open, m)`` yields record batches of ``fields``; ``open`` classes have one member.
     """
-    lists = classes.where("m >= 2").groupBy("k").agg(F.collect_list(F.struct("place", "bucket", "class", (F.col("n") == 1).alias("open"), (F.col("m") > IN_TASK).alias("hot"))).alias("own"))
+    lists = classes.where("m >= 2").groupBy("k").agg(F.collect_list(F.struct("place", "bucket", "class", (F.col("n") == 1).alias("open"), "m")).alias("own"))
     joined = squeezed(texts).join(lists, "k").select("k", "blob", "own")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
-                text, own = _opened(part.column("blob"))[0], part.column("own").flatten()
-                place, bucket, kind, is_open, hot = (own.field(x).to_numpy(zero_copy_only=False) for x in ("place", "bucket", "class", "open", "hot"))
-                yield from _contexts(text, place, bucket, kind, is_open, hot, form)
-
-    return staged(joined.mapInArrow(run, "bucket long, class long, open boolean, place long, context binary, window long"))
-
-
-def _contexts(text: bytes, place, bucket, kind, is_open, hot, form: Form):
-    pos, left, count = unpacked(place)
-    window = None
-    if form.words or hot.any():
-        window = names(units([text], form)[0], form.window)[0]
-    rows = np.flatnonzero(~hot)
-    held = []
-    for i in rows.tolist():
-        first = pos[i] - left[i]
-        held.append(window[first : first + count[i]].tobytes() if form.words else text[first : first + count[i] - 1 + form.window])
-    fields = ["bucket", "class", "open", "place", "context", "window"]
-    if len(rows):
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[rows]), pa.array(kind[rows]), pa.array(is_open[rows]), pa.array(place[rows]), pa.array(held, pa.binary()), pa.nulls(len(rows), pa.int64())], names=fields)
-    rows = np.flatnonzero(hot)
-    if len(rows):
-        each = np.repeat(rows, count[rows])
-        step = np.arange(len(each)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
-        offset = step - left[each]
-        full = _window_key(window[pos[each] + offset], bucket[each], offset)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[each]), pa.array(kind[each]), pa.array(is_open[each]), pa.array(offset), pa.nulls(len(each), pa.binary()), pa.array(full.view(np.int64))], names=fields)
-
-
-def _window_key(window: np.ndarray, bucket: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    return combined(combined(window, bucket.view(np.uint64)), offset.astype(np.int64).view(np.uint64))
-
-
-def refined(rows: DataFrame, form: Form) -> DataFrame:
-    """``class, lo, hi``: the windows of open classes (offsets from the pointer) that another class of the bucket has too."""
-    small = rows.where("window IS NULL").select("bucket", "class", "open", "place", "context").repartition("bucket").sortWithinPartitions("bucket", "class")
+                own = part.column("own").flatten()
+                yield from made(opened(part.column("blob"))[0], *(own.field(x).to_numpy(zero_copy_only=False) for x in ("place", "bucket", "class", "open", "m")))
+
+    return staged(joined.mapInArrow(run, fields))
+
+
+def by_bucket(rows: DataFrame, refine: Callable[[pa.Table], pa.RecordBatch], fields: str, most: int) -> DataFrame:
+    """``refine`` of tables that hold whole buckets of ``rows(bucket, class, ...)``: one, or several of about ``most`` bytes."""
+
+    def pieces(t: pa.Table):
+        b = t.column("bucket").to_numpy()
+        cuts = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(b)]
+        held = np.cumsum([len(x) for x in t.column("context").to_pylist()])
+        first = 0
+        for at, end in zip(cuts[1:].tolist(), [*cuts[2:].tolist(), 0], strict=True):
+            if not end or held[end - 1] - (held[first - 1] if first else 0) > most:
+                yield t.slice(first, at - first)
+                first = at
 
     def run(batches):
         carried = None
@@ -158,63 +115,54 @@ def refined(rows: DataFrame, form: Form) -> DataFrame:
             cut = int(np.searchsorted(b, b[-1])) if len(b) else 0
             carried = t.slice(cut)
             if cut:
-                yield _refine(t.slice(0, cut), form)
+                yield from map(refine, pieces(t.slice(0, cut)))
         if carried is not None and carried.num_rows:
-            yield _refine(carried, form)
-
-    inside = small.mapInArrow(run, "class long, lo long, hi long")
-    hot = rows.where("window IS NOT NULL").select("class", "open", "place", "window")
-    often = hot.groupBy("window").agg(F.count("*").alias("n")).where("n >= 2").select("window")
-    outside = hot.where("open").join(often, "window").select("class", F.col("place").alias("lo"), F.col("place").alias("hi"))
-    return inside.unionByName(outside)
-
-
-def _refine(t: pa.Table, form: Form) -> pa.RecordBatch:
-    bucket, kind, is_open = (t.column(x).to_numpy() for x in ("bucket", "class", "open"))
-    _, left, count = unpacked(t.column("place").to_numpy())
-    held = t.column("context").to_pylist()
-    if form.words:
-        window = np.frombuffer(b"".join(held), np.uint64)
-    else:
-        sizes = np.array([len(x) for x in held])
-        window = names(BYTE_VALUE[np.frombuffer(b"".join(held), np.uint8)], form.window)[0]
-        window = window[np.repeat(np.cumsum(sizes) - sizes - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    row = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) - left[row]
-    _, at, often = np.unique(_window_key(window, bucket[row], offset), return_inverse=True, return_counts=True)
-    hit = (often[at] >= 2) & is_open[row]
-    rows, offsets = row[hit], offset[hit]
-    first = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(offsets) != 1)][: len(rows)])
-    last = np.r_[first[1:], len(rows)][: len(first)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(kind[rows[first]]), pa.array(offsets[first]), pa.array(offsets[last])], names=["class", "lo", "hi"])
-
-
-def spans(members: DataFrame, classes: DataFrame, found: DataFrame, form: Form) -> DataFrame:
-    """``k, spans``: stretches of units to remove, [first, end), in no order and with overlaps."""
-    pos, left, count = (F.shiftright("place", 2 * SPAN_BITS), F.shiftright("place", SPAN_BITS).bitwiseAND(1023), F.col("place").bitwiseAND(1023))
-    answers = classes.where("n >= 2").select("class", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).unionByName(found)
+            yield refine(carried)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(run, fields)
+
+
+def stretches(bucket, kind, offset) -> pa.RecordBatch:
+    """``bucket, class, lo, hi``: runs of consecutive offsets, which must be sorted within each class."""
+    first = np.flatnonzero(np.r_[True, (np.diff(kind) != 0) | (np.diff(bucket) != 0) | (np.diff(offset) != 1)][: len(kind)])
+    last = np.r_[first[1:], len(kind)][: len(first)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(kind[first]), pa.array(offset[first]), pa.array(offset[last])], names=["bucket", "class", "lo", "hi"])
+
+
+def spans(members: DataFrame, classes: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """``k, spans``: stretches of units to remove, [first, end), in no order and with overlaps.
+
+    Classes of several members go whole; of the others, the windows ``found(bucket, class, lo, hi)``, by offset from the pointer.
+    """
+    mask = (1 << SPAN_BITS) - 1
+    pos, left, count = F.shiftright("place", 2 * SPAN_BITS), F.shiftright("place", SPAN_BITS).bitwiseAND(mask), F.col("place").bitwiseAND(mask)
+    none = F.lit(None).cast("long")
+    answers = classes.where("n >= 2").select("bucket", "class", none.alias("lo"), none.alias("hi")).unionByName(found)
     first = F.when(F.col("lo").isNull(), pos - left).otherwise(pos + F.col("lo"))
-    end = F.when(F.col("lo").isNull(), pos - left + count - 1).otherwise(pos + F.col("hi")) + form.window
-    return members.join(answers, "class").select("k", F.struct(first.alias("a"), end.alias("b")).alias("s")).groupBy("k").agg(F.collect_set("s").alias("spans"))
+    end = F.when(F.col("lo").isNull(), pos - left + count - 1).otherwise(pos + F.col("hi")) + window
+    return members.join(answers, ["bucket", "class"]).select("k", F.struct(first.alias("a"), end.alias("b")).alias("s")).groupBy("k").agg(F.collect_set("s").alias("spans"))
+
 
+def removed(texts: DataFrame, cut: DataFrame, words: bool, as_is: bool = False) -> DataFrame:
+    """``doc_id, n_units, n_removed, n_spans, kept`` (bytes): what is left of each text.
 
-def removed(texts: DataFrame, cut: DataFrame, form: Form) -> DataFrame:
-    """``doc_id, n_units, n_removed, n_spans, kept`` (bytes): what is left of each text."""
+    ``as_is``: a text that loses nothing comes back unchanged; the words of others are joined by a space.
+    """
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             made = []
-            for blob, own in zip(_opened(batch.column("blob")), batch.column("spans").to_pylist(), strict=True):
-                made.append(_cut(blob, own or [], form))
+            for blob, own in zip(opened(batch.column("blob")), batch.column("spans").to_pylist(), strict=True):
+                made.append(_cut(blob, own or [], words, as_is))
             n, gone, runs, kept = zip(*made, strict=True) if made else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(kept, pa.binary())], names=["doc_id", "n_units", "n_removed", "n_spans", "kept"])
 
     return squeezed(texts).join(cut, "k", "left").select("doc_id", "blob", "spans").mapInArrow(run, f"doc_id {id_type}, n_units long, n_removed long, n_spans long, kept binary")
 
 
-def _cut(text: bytes, own: list[dict], form: Form) -> tuple[int, int, int, bytes]:
-    parts = text.split() if form.words else text
+def _cut(text: bytes, own: list[dict], words: bool, as_is: bool) -> tuple[int, int, int, bytes]:
+    parts = text.split() if words else text
     merged: list[list[int]] = []
     for a, b in sorted((s["a"], s["b"]) for s in own):
         if merged and a <= merged[-1][1]:
@@ -226,16 +174,7 @@ def _cut(text: bytes, own: list[dict], form: Form) -> tuple[int, int, int, bytes
         kept.append(parts[at:a])
         at = b
     if not merged:
-        return len(parts), 0, 0, b" ".join(parts) if form.words and not form.as_is else text
+        return len(parts), 0, 0, b" ".join(parts) if words and not as_is else text
     kept.append(parts[at:])
     gone = sum(b - a for a, b in merged)
-    return len(parts), gone, len(merged), b" ".join(w for p in kept for w in p) if form.words else b"".join(kept)
-
-
-def without_repeats(docs: DataFrame, form: Form, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The whole run: candidates, classes, refinement of buckets with several classes, and the cut texts."""
-    texts = keyed(docs, id_col, text_col)
-    members = candidates(texts, form)
-    classes = staged(classes_of(members))
-    found = refined(contexts(texts, classes, form), form)
-    return removed(texts, spans(members, classes, staged(found), form), form)
+    return len(parts), gone, len(merged), b" ".join(w for p in kept for w in p) if words else b"".join(kept)

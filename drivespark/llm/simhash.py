@@ -15,15 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small, staged
+from .common import staged
 from .components import components
 
 SHINGLE, RADIUS = 3, 2
 #: Aim of distinct fingerprints in a shard; rows from which the tree's pivots are picked (they decide speed, never links).
-SHARD, PIVOT_SAMPLE = 16_000, 4_096
+SHARD, PIVOT_SAMPLE = 4_000, 65_536
 LEAF = 256
-#: Pairs that a text puts up for verification in the first round; each later round multiplies it by ``GROWTH``.
-PROPOSALS, GROWTH = 16, 8
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -139,33 +137,46 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.array([find(i) for i in range(len(fps))], np.int64) if len(fps) else root
 
 
-def near_components(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """``fp, component_id`` for each distinct fingerprint of ``prints(doc_id, fp)``.
+def tree_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``a, b``: nodes of ``prints(s, fp, node)``, whose fingerprints are distinct in each series ``s`` (0, 1, ...).
 
-    Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the smallest doc_id that is reachable.
-    Copies share a fingerprint and count once; a shard gives one link from a fingerprint to its root, not all pairs.
+    Of each series, pairs within ``radius`` bits are linked, directly or through others that are: a shard gives one link
+    from a node to its root, not all pairs. Each series has a tree of its own.
     """
-    own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    n = own.count()
-    levels = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
-    picked = own.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PIVOT_SAMPLE).toPandas() if levels else None
-    tree = build_tree(picked["fp"].to_numpy(np.int64).view(np.uint64), levels, radius) if levels else None
+    sizes = {r.s: r["count"] for r in prints.groupBy("s").count().collect()}
+    levels = {s: max(0, int(np.ceil(np.log2(n / shard)))) for s, n in sizes.items()}
+    picked = prints.select("s", "fp").orderBy(F.xxhash64("s", "fp"), "s", "fp").limit(PIVOT_SAMPLE).toPandas() if any(levels.values()) else None
+    trees = {s: build_tree(picked["fp"].to_numpy(np.int64)[picked["s"].to_numpy() == s].view(np.uint64), n, radius) if n else None for s, n in levels.items()}
 
     def deal(batches):
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, rows in route(fps, tree, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int64)), pa.array(fps[rows].view(np.int64))], names=["leaf", "fp"])
+            series, all_fps, nodes = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2)
+            for s in np.unique(series).tolist():
+                own = np.flatnonzero(series == s)
+                fps = all_fps[own]
+                for leaf, rows in route(fps, trees.get(s), radius):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), s, np.int32)), pa.array(np.full(len(rows), leaf, np.int64)), pa.array(fps[rows].view(np.int64)), nodes.take(pa.array(own[rows]))], names=["s", "leaf", "fp", "node"])
 
     def pairs(table):
-        fps = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        roots = linked(fps, radius)
+        fps = table.column("fp").to_numpy().view(np.uint64)
+        order = np.argsort(fps)
+        roots = linked(fps[order], radius)
         rows = np.flatnonzero(roots != np.arange(len(fps)))
-        return pa.table({"a": fps[rows].view(np.int64), "b": fps[roots[rows]].view(np.int64)})
+        nodes = table.column("node").combine_chunks()
+        return pa.table({"a": nodes.take(pa.array(order[rows])), "b": nodes.take(pa.array(order[roots[rows]]))})
+
+    shards = prints.select(F.col("s").cast("int").alias("s"), "fp", "node").mapInArrow(deal, "s int, leaf long, fp long, node long")
+    return shards.groupBy("s", "leaf").applyInArrow(pairs, "a long, b long")
+
+
+def near_components(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``fp, component_id`` for each distinct fingerprint of ``prints(doc_id, fp)``.
 
-    shards = own.select("fp").mapInArrow(deal, "leaf long, fp long")
-    links = shards.groupBy("leaf").applyInArrow(pairs, "a long, b long")
-    labels = components(links).withColumnRenamed("node", "fp")
+    Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the smallest doc_id that is reachable.
+    Copies share a fingerprint and count once.
+    """
+    own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = components(tree_links(own.select(F.lit(0).alias("s"), "fp", F.col("fp").alias("node")), radius, shard)).withColumnRenamed("node", "fp")
     roots = own.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     firsts = roots.groupBy("label").agg(F.min("least").alias("component_id"))
     return roots.join(firsts, "label").select("fp", "component_id")
@@ -181,118 +192,3 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     """
     prints = staged(fingerprints(docs, shingle, id_col, text_col))
     return prints.join(near_components(prints, radius), "fp").select("doc_id", "fp", "component_id")
-
-
-def shingle_set(text: bytes | None, shingle: int) -> set[bytes]:
-    words = (text or b"").translate(_LOWER).split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-
-
-def alike(a: set[bytes], b: set[bytes]) -> float:
-    """Shared shingles over all distinct ones; two texts without any are equal."""
-    return len(a & b) / len(a | b) if a or b else 1.0
-
-
-def propose(nodes: np.ndarray, fps: np.ndarray, comps: np.ndarray, tested: tuple[np.ndarray, np.ndarray], most: int):
-    """(a, b, more): pairs of one group's ``nodes`` that are of two components, but for the ``tested`` ones.
-
-    Of two components one isn't the group's largest, so only nodes outside of it put up pairs, each its ``most`` nearest
-    ones; ``more`` says that some node had more than those.
-    """
-    order = np.argsort(nodes)
-    nodes, fps, comps = nodes[order], fps[order], np.unique(comps[order], return_inverse=True)[1]
-    one, two = (np.searchsorted(nodes, x) for x in tested)
-    one, two = np.concatenate([one, two]), np.concatenate([two, one])
-    by = np.argsort(one, kind="stable")
-    one, two = one[by], two[by]
-    n, more, found = len(nodes), False, []
-    rows = np.flatnonzero(comps != np.bincount(comps).argmax())
-    step = max(1, 4_000_000 // max(1, n))
-    for k in range(0, len(rows), step):
-        own = rows[k : k + step]
-        d = np.bitwise_count(fps[own][:, None] ^ fps[None, :])
-        open_ = comps[own][:, None] != comps[None, :]
-        for r, i in enumerate(own.tolist()):
-            open_[r, two[np.searchsorted(one, i) : np.searchsorted(one, i, "right")]] = False
-            js = np.flatnonzero(open_[r])
-            if len(js) > most:  # nearest first; equals in turn from the node on, so that none is everybody's choice
-                more = True
-                js = js[np.argsort(d[r, js].astype(np.int64) * n + (js - i) % n)[:most]]
-            found.append(np.stack([np.minimum(i, js), np.maximum(i, js)], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return nodes[pairs[:, 0]], nodes[pairs[:, 1]], more
-
-
-def verified_links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``node, label`` of the nodes of ``members(g, node, fp)`` that have a verified link; ``label`` names the component.
-
-    Two nodes of a group ``g`` link if the similarity of the shingles of their ``texts(node, text)`` is at least
-    ``similarity``. Pairs inside a component that is already
-    verified can't change it and aren't read; all others are, in rounds, until none is left.
-    """
-
-    def put_up(most):
-        def run(left, right):
-            if not left.num_rows:
-                return pa.table({x: pa.array([], t) for x, t in (("g", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_()))})
-            cols = {x: left.column(x).to_numpy() for x in ("g", "node", "fp", "comp")}
-            tested = tuple(right.column(x).to_numpy() for x in ("a", "b"))
-            a, b, more = propose(cols["node"], cols["fp"].view(np.uint64), cols["comp"], tested, most)
-            return pa.table({"g": np.full(len(a), cols["g"][0]), "a": a, "b": b, "more": np.full(len(a), more)})
-
-        return run
-
-    def verify(batches):
-        known: tuple[object, set] = (None, set())
-        for b in batches:
-            ok = []
-            for node, x, y in zip(b.column("b").to_pylist(), b.column("text").to_pylist(), b.column("other").to_pylist(), strict=True):
-                known = known if known[0] == node else (node, shingle_set(y, shingle))
-                ok.append(alike(shingle_set(x, shingle), known[1]) >= similarity)
-            yield pa.RecordBatch.from_arrays([b.column(x) for x in ("g", "a", "b", "more")] + [pa.array(ok, pa.bool_())], names=["g", "a", "b", "more", "ok"])
-
-    seen, nodes, most = None, members.withColumn("comp", F.col("node")), PROPOSALS
-    labels = members.select("node", F.col("node").alias("label")).where("false")
-    while True:
-        tested = seen.where("NOT ok").select("g", "a", "b") if seen is not None else nodes.select("g", F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-        pairs = staged(nodes.groupBy("g").cogroup(tested.groupBy("g")).applyInArrow(put_up(most), "g long, a long, b long, more boolean"))
-        if pairs.isEmpty():
-            return labels
-        read = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-        now = staged(read.select("g", "a", "b", "more", "text", "other").mapInArrow(verify, "g long, a long, b long, more boolean, ok boolean"))
-        seen = now if seen is None else seen.unionByName(now)
-        labels = components(seen.where("ok").select("a", "b"))
-        left = small(staged(pairs.where("more").select("g").distinct()))
-        nodes = staged(members.join(left, "g").join(labels, "node", "left").select("g", "node", "fp", F.coalesce("label", "node").alias("comp")))
-        most *= GROWTH
-
-
-def first_of_groups(docs: DataFrame, shingle: int = 5, radius: int = 6, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each component of verified links, the row with the smallest id stays.
-
-    Fingerprints that differ in at most ``radius`` bits chain into groups. Rows of a group link if the similarity of their
-    word shingles (shared over all distinct ones) is at least ``similarity``; equal texts do, and null, empty and blank
-    ones. A row goes with its component also if it is less like the row that stays than like those between.
-    Rows that repeat id and text are copies, so one of them stays. All columns are kept.
-    """
-    key = row_key(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.struct(F.col(id_col).alias("i"), key.alias("k"), F.xxhash64(F.col(text_col)).alias("t")).alias("doc_id"), F.col(text_col).alias("text"))
-    prints = staged(fingerprints(rows, shingle))
-    node = F.xxhash64("fp", "doc_id.t").alias("node")
-    nodes = staged(prints.groupBy("fp", node).agg(F.min("doc_id").alias("least"), (F.min("doc_id.k") < F.max("doc_id.k")).alias("copied")))
-    grouped = nodes.join(near_components(prints, radius), "fp").select(F.col("component_id.k").alias("g"), "node", "fp", "least")
-    several = grouped.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    members = staged(grouped.join(several, "g"))
-    wanted = small(staged(members.select("node", F.col("least.k").alias("k"))))
-    texts = staged(docs.select(key.alias("k"), F.col(text_col).cast("binary").alias("text")).join(wanted, "k").select("node", "text").dropDuplicates(["node"]))
-    labels = verified_links(members.select("g", "node", "fp"), texts, shingle, similarity)
-
-    roots = nodes.join(labels, "node", "left").where("copied OR label IS NOT NULL").select("node", "least", F.coalesce("label", "node").alias("label"))
-    firsts = roots.groupBy("label").agg(F.min("least").alias("first"))
-    stay = small(staged(roots.join(firsts, "label").select("node", F.col("first.k").alias("first"))))
-    gone = staged(prints.select(node, F.col("doc_id.k").alias("k")).join(stay, "node").where("k <> first").select("k").distinct())
-    left = docs.withColumn("__k", key).join(small(gone).withColumnRenamed("k", "__k"), "__k", "left_anti")
-    repeated = small(staged(docs.select(key.alias("__k")).groupBy("__k").agg(F.count("*").alias("__n")).where("__n > 1").select("__k")))
-    once = left.join(repeated, "__k", "left_anti")
-    more = left.join(repeated, "__k", "left_semi").dropDuplicates(["__k"])
-    return once.unionByName(more).drop("__k")

@@ -1,31 +1,151 @@
 """Suffix-array deduplication of bytes by bucket-pointer refinement.
 
 1. Pointers (see ``pointers``) stand for the suffixes: each 200-byte string owns one, at a place that its content alone
-   fixes. Initial buckets are the pointers' q-grams; a bucket of one is done, nothing of it repeats.
-2. Buckets are refined by the identifiers of buckets at other offsets: names of 2, 4, 8, ... bytes are made of pairs of
-   names (``pointers.names``), and the names of the first and the last owned string at their offsets tell the classes of a
-   bucket apart. A class of several pointers repeats as a whole.
-3. Where a bucket holds several classes, it is refined again, string by string, by the names at every owned offset, which
-   the second step made; a bucket of many classes goes through a shuffle, not one task.
+   fixes. Initial buckets are the pointers' 32-byte grams; a bucket of one is done, nothing of it repeats.
+2. Pointers of a bucket whose owned strings are all the same are one class, which repeats as a whole. Of each class of a
+   bucket that has several, one member's bytes go on.
+3. Bucket-pointer refinement finds which strings two classes share. All suffixes of the classes' bytes are sorted into
+   initial buckets by eight bytes (and their place in relation to the pointer). Each round sorts the suffixes of every
+   bucket of several by the *bucket identifier* of the suffix that lies the covered length further on, gives the parts new
+   identifiers, and these serve all later rounds, so the covered length doubles: 8, 16, 32, 64, 128, 200. A bucket of one
+   is closed and never sorted again. Small buckets are refined in tasks, a bucket of many classes by joins of its suffixes.
 4. Repeated strings become spans of bytes, and the spans are cut.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .repeats import Form, without_repeats
+from .common import staged
+from .pointers import owned, unpacked
+from .repeats import by_bucket, classes_of, contexts, keyed, pointer_rows, removed, repeated, spans, stretches
+from .vectors import BYTE_VALUE
 
 LENGTH, GRAM = 200, 32
+#: Bytes of the initial buckets of the refinement.
+FIRST = 8
+#: Buckets of up to this many classes are refined inside a task, on about ``PIECE`` bytes at once; larger ones by joins.
+IN_TASK, PIECE = 3_000, 1 << 20
 
 
-def cut_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rounds(length: int) -> list[tuple[int, int]]:
+    """(covered, step) of each round: suffixes equal in ``covered`` bytes are sorted by the bucket ``step`` bytes on."""
+    out, covered = [], min(FIRST, length)
+    while covered < length:
+        out.append((covered, min(covered, length - covered)))
+        covered += out[-1][1]
+    return out
+
+
+def first_bytes(buf: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` (eight at most) bytes of each suffix as one number."""
+    x = np.zeros(max(0, len(buf) - n + 1), np.uint64)
+    for k in range(n):
+        x = x << np.uint64(8) | buf[k : k + len(x)]
+    return x
+
+
+def _buckets(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each suffix by (major, minor): the place where it starts in sorted order; and the buckets' sizes there."""
+    order = np.lexsort((minor, major))
+    a, b = major[order], minor[order]
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+    size = np.diff(np.r_[start, len(a)])
+    bucket, held = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+    bucket[order], held[order] = np.repeat(start, size), np.repeat(size, size)
+    return bucket, held
+
+
+def refine(buf: np.ndarray, sizes: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Positions of ``buf`` at which a string of ``length`` bytes starts that another context has at the same place.
+
+    ``buf`` holds contexts of ``sizes`` bytes end to end; ``place`` numbers (bucket, offset from the pointer) of each byte.
+    """
+    until = np.repeat(np.cumsum(sizes), sizes)
+    covered = min(FIRST, length)
+    value = first_bytes(buf, covered)
+    live = np.flatnonzero(np.arange(len(value)) + covered <= until[: len(value)])
+    # A closed suffix has a bucket of its own, below zero.
+    pointer = -1 - np.arange(len(buf))
+    found, held = _buckets(place[live], value[live])
+    live, found = live[held > 1], found[held > 1]
+    pointer[live] = found
+    for covered, step in rounds(length):
+        closed = live
+        live = live[live + covered + step <= until[live]]
+        found, held = _buckets(pointer[live], pointer[live + step])
+        pointer[closed] = -1 - closed
+        live, found = live[held > 1], found[held > 1]
+        pointer[live] = found
+    return live
+
+
+def _refined(t: pa.Table, length: int) -> pa.RecordBatch:
+    bucket, kind, is_open = (t.column(x).to_numpy() for x in ("bucket", "class", "open"))
+    _, left, _ = unpacked(t.column("place").to_numpy())
+    held = t.column("context").to_pylist()
+    sizes = np.array([len(x) for x in held])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - left[row]
+    number = np.cumsum(np.r_[0, bucket[1:] != bucket[:-1]])
+    at = refine(np.frombuffer(b"".join(held), np.uint8), sizes, number[row] << 12 | (offset + 2048), length)
+    at = np.sort(at[is_open[row[at]]])
+    return stretches(bucket[row[at]], kind[row[at]], offset[at])
+
+
+def _bytes_of(length: int, in_task: int):
+    """The bytes that a class's owned strings cover; in buckets of many classes a row for each suffix, by its first bytes."""
+
+    def made(text, place, bucket, kind, is_open, m):
+        pos, left, count = unpacked(place)
+        for i in range(len(place)):
+            own = text[pos[i] - left[i] : pos[i] - left[i] + count[i] - 1 + length]
+            if m[i] <= in_task:
+                n, where, context, first = 1, place[i : i + 1], pa.array([own], pa.binary()), pa.nulls(1, pa.int64())
+            else:
+                value = first_bytes(np.frombuffer(own, np.uint8), min(FIRST, length)).view(np.int64)
+                n, context, first = len(value), pa.nulls(len(value), pa.binary()), pa.array(value)
+                where = np.arange(n) - left[i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket[i])), pa.array(np.full(n, kind[i])), pa.array(np.full(n, is_open[i])), pa.array(where), context, first], names=["bucket", "class", "open", "place", "context", "pointer"])
+
+    return made
+
+
+def refined_by_joins(suffixes: DataFrame, length: int) -> DataFrame:
+    """The same for buckets of many classes: ``suffixes(bucket, class, open, offset, pointer)``, one row for each byte.
+
+    A round joins each suffix with the bucket identifier of the one ``step`` bytes on; what is alone then goes.
+    """
+    held = staged(suffixes.join(repeated(suffixes, "bucket", "offset", "pointer"), ["bucket", "offset", "pointer"]))
+    for _, step in rounds(length):
+        later = held.select("bucket", "class", (F.col("offset") - step).alias("offset"), F.col("pointer").alias("later"))
+        pairs = held.join(later, ["bucket", "class", "offset"])
+        new = pairs.withColumn("pointer", F.xxhash64("pointer", "later")).drop("later")
+        held = staged(new.join(repeated(new, "bucket", "offset", "pointer"), ["bucket", "offset", "pointer"]))
+    return held.where("open").select("bucket", "class", F.col("offset").alias("lo"), F.col("offset").alias("hi"))
+
+
+def cut_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", in_task: int = IN_TASK) -> DataFrame:
     """``doc_id, n_units, n_removed, n_spans, kept``, one row for each input row.
 
     Every byte that a string of ``length`` bytes covers goes if that string also starts elsewhere, in this document or
     another; overlaps count, and strings are judged on the input. ``n_spans`` counts the maximal removed runs, ``kept`` is
     the rest (bytes; a cut may fall inside a character). Null and empty texts have 0 bytes; a text that is shorter than
     ``length`` stays whole; rows that repeat are copies of each other, so what is long enough in them goes; other columns
-    are ignored. Strings are told apart by 64-bit names within a bucket of a 64-bit name.
+    are ignored. Grams and classes are told apart by 64-bit hashes each, a class only within its gram's bucket.
     """
-    return without_repeats(docs, Form(False, length, gram), id_col, text_col)
+    texts = keyed(docs, id_col, text_col)
+    cut = lambda held: owned(BYTE_VALUE[np.frombuffer(b"".join(held), np.uint8)], np.array([len(t) for t in held], np.int64), length, (gram,), length - gram + 1)
+    often = staged(repeated(pointer_rows(texts, cut, ["bucket", "class"], True), "bucket"))
+    members = staged(pointer_rows(texts, cut, ["bucket", "class"], False).join(often, "bucket").select("k", "place", "bucket", "class"))
+    classes = staged(classes_of(members))
+    rows = contexts(texts, classes, _bytes_of(length, in_task), "bucket long, class long, open boolean, place long, context binary, pointer long")
+    found = by_bucket(rows.where("context IS NOT NULL").drop("pointer"), lambda t: _refined(t, length), "bucket long, class long, lo long, hi long", PIECE)
+    hot = rows.where("context IS NULL").select("bucket", "class", "open", F.col("place").alias("offset"), "pointer")
+    hot = hot.dropDuplicates(["bucket", "class", "offset"])  # rows that repeat id and text
+    if not hot.isEmpty():
+        found = found.unionByName(refined_by_joins(hot, length))
+    return removed(texts, spans(members, classes, staged(found), length), words=False)

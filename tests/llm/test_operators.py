@@ -16,7 +16,6 @@ from drivespark.llm.licenses import TEMPLATES, scan_licenses
 from drivespark.llm.mixing import mix_sources
 from drivespark.llm.neighbours import nearest
 from drivespark.llm.quality import fit_quality, score_quality
-from drivespark.llm.repeats import Form, without_repeats
 from drivespark.llm.substrings import cut_repeated_words
 from drivespark.llm.suffixes import cut_repeated_bytes
 from drivespark.llm.toxicity import fit_toxicity, score_toxicity
@@ -100,16 +99,15 @@ def brute_cut(all_texts, window, as_words):
 
 
 @pytest.mark.parametrize("as_words", [False, True])
-def test_repeats_equal_brute_force(docs, empty, as_words, monkeypatch):
+def test_repeats_equal_brute_force(docs, empty, as_words):
     rows = docs.select("doc_id", "text").collect()
     want = sorted(brute_cut([r.text for r in rows], 35 if as_words else 200, as_words))
     run = cut_repeated_words if as_words else cut_repeated_bytes
     got = run(docs).select("n_units", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).collect()
     assert sorted(tuple(r) for r in got) == want
     assert run(empty).count() == 0
-    # Buckets of many classes go through a shuffle: the same result.
-    monkeypatch.setattr("drivespark.llm.repeats.IN_TASK", 1)
-    got = without_repeats(docs, Form(as_words, 35 if as_words else 200, 18 if as_words else 32)).select("n_units", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).collect()
+    # Buckets of many classes go through joins: the same result.
+    got = run(docs, in_task=1).select("n_units", "n_removed", "n_spans", F.sha2("kept", 256).alias("s")).collect()
     assert sorted(tuple(r) for r in got) == want
 
 
@@ -159,14 +157,6 @@ def test_vantage_point_tree_misses_no_pair():
     assert want == met and simhash.near_components is not None
 
 
-def test_near_copies_keep_one(docs, empty):
-    left = simhash.first_of_groups(docs)
-    assert left.columns == docs.columns and simhash.first_of_groups(empty).count() == 0
-    texts_left = [r.text for r in left.collect()]
-    assert texts_left.count(texts()[0][7]) == 1
-    assert len([t for t in texts_left if t is None or not t.strip()]) == 1
-
-
 def test_classifiers(docs, empty, labels):
     for fit, score in ((fit_quality, score_quality), (fit_toxicity, score_toxicity)):
         model = fit(docs, labels)
