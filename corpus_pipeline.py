@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from drivespark.llm import common
 from drivespark.llm.decontaminate import find_contamination
 from drivespark.llm.mixing import mix_sources
-from drivespark.llm.simhash import first_of_groups
+from drivespark.llm.near_copies import first_of_groups
 from drivespark.llm.substrings import cut_repeated_words
 from drivespark.llm.toxicity import fit_toxicity, score_toxicity
 
