@@ -1,17 +1,19 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams (native).
 
-Units are the lines of a document and its whole text. Two multisets of a and b bigrams can only reach a Dice
-coefficient of t if t/(2-t) <= a/b <= (2-t)/t, so a unit's word count alone rules most templates out before any bigram
-is built. The templates are a fixed list in this module (or the caller's, size-checked), so their bigrams are broadcast;
-documents are never shuffled, only the few bigrams that a template has too.
+Compared are spans of a document's words: its lines, its whole text, and windows of each template's own length, wherever
+lines end, so a notice is found inside a longer line and across several. Of a and b bigrams two spans can only share enough
+for a Dice coefficient of t if t/(2-t) <= a/b <= (2-t)/t and if at least b*t/(2-t) are shared. Sizes therefore rule out
+templates for lines and whole texts; and a document that lacks as many of a template's words as make up more than the
+other bigrams is left before any bigram is built. The templates are a fixed list in this module (or the caller's,
+size-checked); texts are never shuffled, only the few bigrams that a template has too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_key, small
+from .common import lower_ascii, row_key, small, staged
 
 THRESHOLD = 0.8
 
@@ -41,50 +43,89 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     return spark.createDataFrame(rows, "license string, text string")
 
 
-def normalised(text):
-    """A-Z lower-cased; whatever isn't a-z, 0-9 or a line end becomes one space."""
-    return F.regexp_replace(lower_ascii(text), "[^a-z0-9\n]+", " ")
+def words_of(text):
+    """Runs of a-z and 0-9 after A-Z are lower-cased."""
+    return F.filter(F.split(lower_ascii(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _words(norm):
-    return F.filter(F.split(norm, "[ \n]+"), lambda w: w != "")
+def placed_words(text):
+    """Words with their line: ``w``, ``line``, and the line's first word and size (``i`` is the word's number in it)."""
+    # Each line's words stand in an array of one, so that the inner function refers to them and they are made once.
+    lines = F.transform(F.split(lower_ascii(text), "\n"), lambda line: F.array(F.filter(F.split(line, "[^a-z0-9]+"), lambda w: w != "")))
+    placed = lambda ws, j: F.transform(ws, lambda w, i: F.struct(w.alias("w"), j.alias("line"), i.alias("i"), F.size(ws).alias("size")))
+    return F.flatten(F.flatten(F.transform(lines, lambda own, j: F.transform(own, lambda ws: placed(ws, j)))))
 
 
-def _bigrams(words):
+def bigrams(words):
+    """``w``: the pairs of neighbouring words, joined by a space."""
     return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
 
 
+def placed_bigrams(words):
+    """The pairs of ``placed_words`` with the first word and number of bigrams of the line, which are null across lines."""
+
+    def pair(p):
+        a, b = F.element_at(words, p), F.element_at(words, p + 1)
+        inside = a.line == b.line
+        return F.struct(F.concat_ws(" ", a.w, b.w).alias("bigram"), F.when(inside, p - 1 - a.i).alias("first"), F.when(inside, a["size"] - 1).alias("line_n"))
+
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), pair)
+
+
+def needed_words(grams: DataFrame, threshold: float) -> list[str]:
+    """Words of which a document must have one for any template to match.
+
+    A bigram stands under the rarer of its words, as far as the templates can tell: one of five letters or more, then the one
+    that fewer templates hold, then the longer. Of each template as many words are taken, the rarest first, as hold more bigrams than a match can lack; ``grams``: ``license, t_n, bigram,
+    t_c``. The list is no longer than the templates.
+    """
+    pair = F.split("bigram", " ")
+    among = grams.select("license", F.explode(pair).alias("w")).groupBy("w").agg(F.count_distinct("license").alias("held"))
+    sides = grams.select("*", F.explode(F.array_distinct(pair)).alias("w")).join(among, "w")
+    rarest = F.struct((F.length("w") < 5).alias("short"), "held", (-F.length("w")).alias("size"), "w")
+    under = sides.groupBy("license", "t_n", "bigram", "t_c").agg(F.min(rarest).alias("r")).groupBy("license", "t_n", "r").agg(F.sum("t_c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("license").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    spared = F.col("t_n") - F.ceil(F.col("t_n") * F.lit(threshold / (2 - threshold)) - 1e-9)
+    return sorted(r.w for r in under.withColumn("upto", upto).where(F.col("upto") - F.col("c") <= spared).select("r.w").distinct().collect())
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Units of documents that match a licence: ``doc_id, unit, license, dice, unit_bigrams``, best template per unit.
+    """``doc_id, license, start, n_words, dice``: of each document and licence, the most similar span, if it reaches ``threshold``.
 
-    ``unit`` is the line's number from 1, or 0 for the whole text of a document of several lines; ties go to the first
-    licence by name. Words are runs of a-z and 0-9 after lower-casing; bigrams count with their repeats. Null and empty
-    texts and units of fewer than two words match nothing; rows that repeat id and text give the same rows once; other
-    columns are ignored. No documents or no templates give no rows.
+    Spans: lines of two words or more, the whole text, and windows of as many words as the template has that start at one
+    of its bigrams or end the text. Of equally similar ones the first counts, then the shortest; ``start`` counts words from
+    0. Words are runs of a-z and 0-9 after lower-casing; bigrams count with their repeats. Null and empty texts and texts of
+    one word match nothing; rows that repeat id and text give the same rows once; other columns are ignored, whatever their
+    names. No documents or no templates give no rows.
     """
     if templates is None:
         templates = template_table(docs.sparkSession)
-    lo, hi = threshold / (2 - threshold), (2 - threshold) / threshold
-    t = templates.select("license", _words(normalised(F.col("text"))).alias("ws")).where(F.size("ws") >= 2)
-    t = t.select("license", (F.size("ws") - 1).alias("t_n"), F.explode(_bigrams(F.col("ws"))).alias("bigram"))
-    t = small(t.groupBy("license", "t_n", "bigram").agg(F.count("*").alias("t_c")))
-    least, most = t.agg(F.floor(F.min("t_n") * lo), F.ceil(F.max("t_n") * hi)).first()
-    if least is None:
-        least, most = 1, 0
-    d = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    d = d.withColumn("k", row_key("doc_id", "norm"))
-    lines = d.select("doc_id", "k", F.posexplode(F.split("norm", "\n")).alias("unit", "part")).withColumn("unit", F.col("unit") + 1)
-    rough = F.length("norm") - F.length(F.translate("norm", " \n", ""))
-    whole = d.where(F.col("norm").contains("\n") & (rough >= least) & (rough <= 2 * most + 4)).select("doc_id", "k", F.lit(0).alias("unit"), F.translate("norm", "\n", " ").alias("part"))
-    # The separators of a unit bound its words from above, and words are one fewer, as many or one more than they.
-    gaps = F.length("part") - F.length(F.translate("part", " ", ""))
-    units = lines.where((gaps >= least - 1) & (gaps <= most + 2)).unionByName(whole)
-    units = units.withColumn("ws", _words(F.col("part"))).withColumn("n", F.size("ws") - 1).where((F.col("n") >= F.greatest(F.lit(least), F.lit(1))) & (F.col("n") <= most))
-    grams = units.select("doc_id", "k", "unit", "n", F.posexplode(_bigrams(F.col("ws"))).alias("at", "bigram"))
-    hits = grams.join(t, "bigram").where((F.col("n") >= F.col("t_n") * lo) & (F.col("n") <= F.col("t_n") * hi))
-    key = ["doc_id", "k", "unit", "n", "license", "t_n"]
-    hits = hits.dropDuplicates([*key, "at"])  # rows that repeat id and text
-    shared = hits.groupBy(*key, "bigram", "t_c").agg(F.count("*").alias("c")).groupBy(*key).agg(F.sum(F.least("c", "t_c")).alias("shared"))
-    dice = shared.withColumn("dice", F.col("shared") * 2.0 / (F.col("n") + F.col("t_n"))).where(F.col("dice") >= threshold)
-    best = dice.groupBy("doc_id", "k", "unit", "n").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
-    return best.select("doc_id", "unit", F.col("b.license").alias("license"), (-F.col("b.d")).alias("dice"), F.col("n").alias("unit_bigrams"))
+    ratio = threshold / (2 - threshold)
+    t = templates.select("license", words_of(F.col("text")).alias("ws")).where(F.size("ws") >= 2)
+    t = t.select("license", (F.size("ws") - 1).alias("t_n"), F.explode(bigrams(F.col("ws"))).alias("bigram"))
+    t = staged(t.groupBy("license", "t_n", "bigram").agg(F.count("*").alias("t_c")))
+    key = ["doc_id", "k", "license", "t_n"]
+    text = F.col(f"`{text_col}`")
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(F.col(f"`{id_col}`"), text).alias("k"), text.alias("text"))
+    some = d.where(F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, needed_words(t, threshold) or [""]))))
+    at = some.select("doc_id", "k", placed_words(F.col("text")).alias("ws")).where(F.size("ws") >= 2)
+    at = at.select("doc_id", "k", (F.size("ws") - 1).alias("n"), F.posexplode(placed_bigrams(F.col("ws"))).alias("at", "b")).select("doc_id", "k", "n", "at", "b.*")
+    hits = staged(at.join(small(t), "bigram").dropDuplicates([*key, "at"]))
+
+    need = F.ceil(F.col("t_n") * F.lit(ratio) - 1e-9).cast("int")
+    fits = lambda n: (F.col(n) >= F.col("t_n") * ratio - 1e-9) & (F.col(n) * ratio <= F.col("t_n") + 1e-9)
+    lines = hits.where(F.col("first").isNotNull() & fits("line_n")).select(*key, F.lit(1).alias("kind"), F.col("first").alias("start"), F.col("line_n").alias("own"), "bigram", "t_c")
+    whole = hits.where(fits("n")).select(*key, F.lit(2).alias("kind"), F.lit(0).alias("start"), F.col("n").alias("own"), "bigram", "t_c")
+    lists = hits.groupBy(*key, "n").agg(F.sort_array(F.collect_list(F.struct("at", "bigram", "t_c"))).alias("l")).where((F.size("l") >= need) & (F.col("n") > F.col("t_n")))
+    # From the i-th shared bigram on, a window must hold ``need`` of them.
+    last = F.col("n") - F.col("t_n")
+    start = lambda x: F.least(x.at, last)
+    held = F.filter(F.transform("l", lambda x, i: F.struct(start(x).alias("start"), F.try_element_at("l", i + need).at.alias("until"))), lambda w: w.until < w.start + F.col("t_n"))
+    windows = lists.select(*key, "l", F.explode(F.array_distinct(F.transform(held, lambda w: w.start))).alias("start"))
+    windows = windows.select(*key, "start", F.col("t_n").alias("own"), F.explode(F.filter("l", lambda x: (x.at >= F.col("start")) & (x.at < F.col("start") + F.col("t_n")))).alias("x"))
+    windows = windows.select(*key, F.lit(3).alias("kind"), "start", "own", "x.bigram", "x.t_c")
+    spans = lines.unionByName(whole).unionByName(windows).groupBy(*key, "kind", "start", "own", "bigram", "t_c").agg(F.count("*").alias("c"))
+    shared = spans.groupBy(*key, "kind", "start", "own").agg(F.sum(F.least("c", "t_c")).alias("shared"))
+    dice = shared.withColumn("dice", F.col("shared") * 2.0 / (F.col("own") + F.col("t_n"))).where(F.col("dice") >= threshold)
+    best = dice.groupBy(*key).agg(F.min(F.struct((-F.col("dice")).alias("d"), "start", "own")).alias("b"))
+    return best.select("doc_id", "license", F.col("b.start").alias("start"), (F.col("b.own") + 1).alias("n_words"), (-F.col("b.d")).alias("dice"))

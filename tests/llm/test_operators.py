@@ -58,11 +58,15 @@ def benchmark(spark):
     return spark.createDataFrame([(1, texts()[1], "x"), (2, None, "x"), (3, "", "x"), (4, "one", "x")], "item_id long, text string, doc_id string")
 
 
-def test_licenses(docs, empty):
-    got = {(r.doc_id, r.unit, r.license) for r in scan_licenses(docs).collect()}
-    n = len(texts()[0]) - 1
-    assert (n, 2, "MIT") in got and all(x[0] == n for x in got)
+def test_licenses(spark, docs, empty):
+    n, rows = len(texts()[0]) - 1, scan_licenses(docs).collect()
+    assert {(r.doc_id, r.license, r.start, r.n_words, r.dice) for r in rows} == {(n, "MIT", 1, 5, 1.0)}
     assert scan_licenses(empty).count() == 0
+    notice, prose = TEMPLATES["MIT-notice"].split(), "\n".join("def f(x): return x + 1" for _ in range(150))
+    wrapped = "\n".join(" * " + " ".join(notice[i : i + 9]) for i in range(0, len(notice), 9))
+    made = [("\n" * 100).join(TEMPLATES["MIT"].split()), f"{wrapped}\n{prose}", "see also: Released under the MIT License, as it were", "Released under the licence", TEMPLATES["ISC"] + " word" * 90_000]
+    got = {(r.doc_id, r.license, r.dice) for r in scan_licenses(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert {(0, "MIT", 1.0), (1, "MIT-notice", 1.0), (2, "MIT", 1.0), (4, "ISC", 1.0)} <= got and all(i != 3 for i, _, _ in got)
 
 
 def test_mixing(docs, empty):
