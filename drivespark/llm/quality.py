@@ -3,7 +3,7 @@
 Features are hashed to buckets: words, pairs of a word with one just before it (a pair of equal words is one feature,
 whatever the word), and byte n-grams. Every bucket has a learnt vector; a document is the mean of its word vectors plus
 the mean of its n-gram vectors, and a softmax layer gives the class. The fit runs on a bounded sample of labelled
-documents. For scoring, vectors and output layer fold into one number for each bucket, so a document costs a lookup for
+documents (whole texts, with a bound on their bytes). For scoring, vectors and output layer fold into one number for each bucket, so a document costs a lookup for
 each feature; whole texts are scored where they lie, without a shuffle.
 """
 
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import spare
 from .toxicity import training_rows
 from .vectors import byte_column, groups, mixed, word_hashes
 
@@ -133,7 +134,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "predicted"])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__text_bytes", F.col(text_col).cast("binary")).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.withColumn(spare(docs, "__text_bytes"), F.col(text_col).cast("binary")).mapInArrow(run, f"{fields}, score double, predicted int")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, rest: int = 2, most: int = SAMPLE_DOCS, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:

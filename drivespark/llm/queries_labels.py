@@ -19,4 +19,4 @@ def op3_quality(spark, sf_dir):
 def op10_toxicity(spark, sf_dir):
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, common.read(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", F.size("sentences").alias("n_sentences"))
+    return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "sentences")

@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
 from .vectors import byte_column, groups, held_out, mixed, runs, word_hashes
 
 #: Weights of words and of their beginnings (bytes), hashed; the size of the model.
 BITS, PREFIXES = 20, (4, 5, 6)
-#: The model is fitted on at most this many labelled documents, those with the least hash of id.
-SAMPLE_DOCS = 6_000
-#: Words of an instance at most.
+#: The model is fitted on at most this many labelled documents, those with the least hash of id, and of these on as many
+#: whole texts as hold this many bytes together.
+SAMPLE_DOCS, SAMPLE_BYTES = 6_000, 16_000_000
+#: Words of an instance at most: a longer sentence (a table, a list without stops) is several, each of which is scored.
 LONGEST = 40
 #: Features of fewer documents of the sample keep weight 0: they could only be learnt by heart.
 LEAST_DOCS = 3
@@ -127,24 +129,37 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, rest: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """Texts and labels of at most ``most`` labelled rows outside the held-out part, those with the least hash of id.
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, rest: int, most: int, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> list[tuple[bytes, int]]:
+    """Whole texts and labels of labelled rows outside the held-out part, in the order of a hash of id.
 
-    The picked ids are bounded, so they may be broadcast; texts that were not picked never leave their task.
+    At most ``most`` rows and ``size`` bytes: the first that would exceed them ends the sample, so no text is cut. The
+    picked ids are bounded, so they may be broadcast; texts that were not picked never leave their task.
     """
+    size = SAMPLE_BYTES if size is None else size
     picked = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i"), parts, rest))
     picked = picked.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(picked), "i")
-    # Long texts are rare; past this many bytes a document of the sample (of the sample only) ends.
-    rows = rows.select("i", F.substring("text", 1, 20_000).alias("text"), "y").orderBy(F.xxhash64("i"), "i", "text").limit(most)
-    return [(bytes(r.text or b""), r.y) for r in rows.toLocalIterator()]
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+    rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("t"), F.octet_length(text).alias("size"), text.alias("text"))
+    found, held, keys = rows.join(F.broadcast(picked), "i").orderBy(F.xxhash64("i"), "i", "t").select("i", "t", "size", "y").limit(most).collect(), 0, []
+    for r in found:
+        held += r["size"]
+        if held > size:
+            break
+        keys.append((r.i, r.t, r.y))
+    if not keys:
+        return []
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(sorted(set(keys), key=str), f"i {kind}, t long, y int")
+    texts = {(r.i, r.t): bytes(r.text) for r in rows.join(F.broadcast(wanted), ["i", "t"]).select("i", "t", "text").toLocalIterator()}
+    return [(texts[i, t], y) for i, t, y in keys]
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Input columns, then ``score`` (0 to 1), ``predicted`` (1 from ``threshold`` on) and ``sentences``.
 
-    ``sentences`` lists (first byte, last byte, score) of the sentences that are toxic by themselves. Null, empty and
-    wordless texts score 0. Rows that repeat are scored alike.
+    ``sentences`` lists (first byte, end byte, score) of the sentences that are toxic by themselves. Null, empty and
+    wordless texts score 0. Rows that repeat are scored alike, an empty table gives no rows; input columns named like the
+    new ones are replaced.
     """
     made = [c for c in ("score", "predicted", "sentences") if c in docs.columns]
     docs = docs.drop(*made)
@@ -169,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "predicted", "sentences"])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    hidden = "__text_bytes"
+    hidden = spare(docs, "__text_bytes")
     return docs.withColumn(hidden, F.col(text_col).cast("binary")).mapInArrow(run, f"{fields}, score double, predicted int, sentences {spans}")
 
 

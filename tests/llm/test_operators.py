@@ -169,6 +169,15 @@ def test_classifiers(docs, empty, labels):
         assert score(empty, fit(empty, labels.where("false"))).count() == 0
 
 
+def test_training_reads_whole_texts(spark):
+    rows = [(i, f"clean {i} " * 4_000 + "vile nasty horrid." if i % 2 else f"clean {i} " * 4_000) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    found = score_toxicity(docs, fit_toxicity(docs, labels, rest=-1)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in found)
+    for r in found:
+        assert len(r.sentences) == r.predicted and all(s["first"] > 30_000 and r.text.encode()[s["first"] : s["last"]].endswith(b"horrid") for s in r.sentences)
+
+
 @pytest.mark.parametrize("fit, score, label, parts, rest", [(fit_quality, score_quality, "quality", 4, 2), (fit_toxicity, score_toxicity, "toxic", 5, 0)])
 def test_classifiers_on_held_out_rows(spark, fit, score, label, parts, rest):
     sf = "/root/testdata/sf0.1"
