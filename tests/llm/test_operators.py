@@ -199,16 +199,32 @@ def test_language_model(docs, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def untrained(rng):
+    """Class shares by made-up counts; ids under 500 and the end start words."""
+    initial = np.arange(lm.IDS) < 500
+    initial[lm.END] = True
+    counts = rng.integers(1, 50, lm.IDS).astype(float)
+    return lm.make_network(counts, np.where(initial, counts, 0), np.where(initial, counts // 9, 0), initial), initial
+
+
+def probabilities(net, h):
+    """Of every id after the state ``h``."""
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    low = np.stack([soft(h @ net.low[g]) for g in range(lm.GROUPS)])
+    return (soft(h @ net.top)[:, None] * low)[net.group, net.leaf] * 10.0**net.share
+
+
 def test_attention_scores_each_subword_once():
     rng = np.random.default_rng(1)
-    net = lm.make_network(np.ones(lm.IDS), np.ones(lm.IDS))
+    net, initial = untrained(rng)
     flat = rng.integers(0, 1000, 300)
     sizes = np.array([0, 1, 31, 32, 33, 100, 103])
-    got = lm.stream_scores(net, flat, sizes, batch=3)
+    own, kind, begins = lm.stream_scores(net, flat, sizes, batch=3)
+    assert np.allclose(own, kind + net.share[flat])
     first = 0
     for size in sizes:
-        own = flat[first : first + size]
-        before = np.concatenate(([lm.END], own[:-1])) if size else own
+        ids = flat[first : first + size]
+        before = np.concatenate(([lm.END], ids[:-1])) if size else ids
         done = 0
         while done < size:
             turn = 0 if done == 0 else (done - lm.WINDOW) // lm.STRIDE + 1
@@ -216,20 +232,47 @@ def test_attention_scores_each_subword_once():
             x = np.full((1, lm.WINDOW), lm.END)
             n = min(lm.WINDOW, size - begin)
             x[0, :n] = before[begin : begin + n]
-            z = lm.forward(net, x)[0][0]
-            logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            h = lm.forward(net, x)[0][0]
             for k in range(done - begin, n):
-                want = logp[k, net.of[own[begin + k]]] / np.log(10) + net.share[own[begin + k]]
-                assert abs(got[first + begin + k] - want) < 1e-4
+                p = probabilities(net, h[k])
+                assert abs(p.sum() - 1) < 1e-4 and abs(p[initial].sum() - 10.0 ** begins[first + begin + k]) < 1e-4
+                assert abs(np.log10(p[ids[begin + k]]) - own[first + begin + k]) < 1e-3
             done = begin + n
         first += size
 
 
+def test_words_have_at_most_one_together():
+    """After any context: known words, all words of one subword and the end, and a bound on longer ones."""
+    rng = np.random.default_rng(5)
+    net, initial = untrained(rng)
+    h = lm.forward(net, rng.integers(0, 900, (1, lm.WINDOW)))[0][0][-1]
+    p = probabilities(net, h)
+    start = p[initial].sum()
+    class_mass = np.bincount((net.group * lm.LEAVES + net.leaf)[initial], p[initial], lm.GROUPS * lm.LEAVES) / start
+    assert abs(class_mass.sum() - 1) < 1e-5
+    counts = rng.integers(0, 50, lm.IDS).astype(float)
+    # ``known`` spreads what is left over the counts of a class; spelt words have the rest, however they go on.
+    cell = (net.group * lm.LEAVES + net.leaf)[initial & (np.arange(lm.IDS) != lm.END)]
+    words = np.bincount(cell, np.random.default_rng(5).integers(1, 50, lm.IDS).astype(float)[initial & (np.arange(lm.IDS) != lm.END)], lm.GROUPS * lm.LEAVES)
+    used = words > 0
+    both = words * 10.0 ** net.known.reshape(-1) + 10.0 ** net.new.reshape(-1)
+    assert np.allclose(both[used], 1, atol=1e-6) and counts.min() >= 0
+    shares = np.bincount((net.group * lm.LEAVES + net.leaf)[initial], 10.0 ** net.share[initial], lm.GROUPS * lm.LEAVES)
+    assert (shares < 1 + 1e-6).all()
+    # Two words of a text, by hand: the second subword, then whatever starts a word.
+    flat, lens = np.array([3, 700, 7, lm.END]), np.array([2, 1, 1])
+    scores = lm.stream_scores(net, flat, np.array([4]))
+    whole, spelt = lm.word_scores(net, flat, lens, scores)
+    own, kind, begins = scores
+    assert abs(spelt[0] - (kind[0] - begins[0] + net.new[net.group[3], net.leaf[3]] + net.share[3] + own[1] + begins[2])) < 1e-5
+    assert abs(spelt[2] - (kind[3] - begins[3] + net.share[lm.END])) < 1e-5 and abs(net.share[lm.END]) < 1e-9 and whole[2] < -200
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(2)
-    net = lm.make_network(np.ones(lm.IDS), np.ones(lm.IDS))
+    net, _ = untrained(rng)
     net.embed = net.embed.astype(np.float64)
-    x, y = rng.integers(0, 50, (2, lm.WINDOW)), net.of[rng.integers(0, 50, (2, lm.WINDOW))]
+    x, y = rng.integers(0, 50, (2, lm.WINDOW)), rng.integers(0, 900, (2, lm.WINDOW))
     live = np.ones(x.shape, bool)
     _, _, rest = lm.gradients(net, x, y, live)
     for part, g in zip(net.parts()[1:], rest, strict=True):
