@@ -131,12 +131,12 @@ SELECT trip_id, round(corr(ra, rs), 6) AS spearman, round(avg(CASE WHEN abs(e) <
 
 
 def _outages(spark, sf):
-    d = channels(spark, sf).where("i % 40 = 0")
-    pick = F.element_at(F.array(*map(F.lit, (10, 30, 60, 120))), (F.floor(c("i") / 40) % 4 + 1).cast("int"))
-    return d.select("trip_id", pick.alias("duration_s"), F.when(c("i") % 280 > 0, F.abs(c("ax")) * 10 + c("gz")).alias("est_error_m"), (F.abs(c("ay")) * 20 + 3).alias("hold_error_m"), (c("speed_ms") * 20 + 1).alias("distance_m"))
+    d = channels(spark, sf)
+    pick = F.element_at(F.array(*map(F.lit, (10, 30, 60, 120))), (c("i") % 4 + 1).cast("int"))
+    return d.select("trip_id", pick.alias("duration_s"), F.when(c("i") % 7 > 0, F.abs(c("ax")) * 10 + c("gz")).alias("est_error_m"), (F.abs(c("ay")) * 20 + 3).alias("hold_error_m"), (c("speed_ms") * 20 + 1).alias("distance_m"))
 
 
-_OUT = "out AS (SELECT trip_id, ([10, 30, 60, 120])[(i // 40) % 4 + 1] AS duration_s, CASE WHEN i % 280 > 0 THEN abs(ax) * 10 + gz END AS e, abs(ay) * 20 + 3 AS h, speed_ms * 20 + 1 AS m FROM chan WHERE i % 40 = 0)"
+_OUT = "out AS (SELECT trip_id, ([10, 30, 60, 120])[i % 4 + 1] AS duration_s, CASE WHEN i % 7 > 0 THEN abs(ax) * 10 + gz END AS e, abs(ay) * 20 + 3 AS h, speed_ms * 20 + 1 AS m FROM chan)"
 
 
 def outage_stats(spark, sf):

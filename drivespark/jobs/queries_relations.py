@@ -182,7 +182,7 @@ def paired(spark, sf):
     return rounded(J.row_pair_streams(d.where("i % 2 = 0").select("trip_id", "i", "ax"), d.where("i % 3 = 0").select("trip_id", "i", "gz"), ["trip_id"], "i"))
 
 
-PAIRED = f"WITH {CHAN} SELECT a.trip_id, (a.i // 2 + 1)::INT AS row, a.i, round(a.ax, 6) AS ax, b.i AS b_i, round(b.gz, 6) AS b_gz FROM chan a JOIN chan b ON a.trip_id = b.trip_id AND a.i % 2 = 0 AND b.i % 3 = 0 AND a.i // 2 = b.i // 3"
+PAIRED = f"WITH {CHAN}, a AS (SELECT trip_id, i, ax, row_number() OVER (PARTITION BY trip_id ORDER BY i) AS row FROM chan WHERE i % 2 = 0), b AS (SELECT trip_id, i, gz, row_number() OVER (PARTITION BY trip_id ORDER BY i) AS row FROM chan WHERE i % 3 = 0) SELECT trip_id, row::INT AS row, a.i, round(a.ax, 6) AS ax, b.i AS b_i, round(b.gz, 6) AS b_gz FROM a JOIN b USING (trip_id, row)"
 
 
 def known(spark, sf):
@@ -211,13 +211,13 @@ def _segments(spark, sf):
 
 _SEG = "seg AS (SELECT p_partkey AS edge_id, 12.0::DOUBLE + p_partkey % 101 / 1000.0::DOUBLE AS a_lat, 77.0::DOUBLE + p_partkey % 97 / 1000.0::DOUBLE AS a_lon, 12.0::DOUBLE + p_partkey % 101 / 1000.0::DOUBLE + (p_size - 25) / 20000.0::DOUBLE AS b_lat, 77.0::DOUBLE + p_partkey % 97 / 1000.0::DOUBLE + (p_partkey % 13 - 6) / 5000.0::DOUBLE AS b_lon FROM part)"
 _MER, _NOR = "6378137.0::DOUBLE * (1 - 0.00669437999014::DOUBLE) / pow(1 - 0.00669437999014::DOUBLE * pow(sin(radians(a_lat)), 2), 1.5)", "6378137.0::DOUBLE / sqrt(1 - 0.00669437999014::DOUBLE * pow(sin(radians(a_lat)), 2)) * cos(radians(a_lat))"
-_NEAR = f"""{_SEG}, pt AS (SELECT event_id AS point_id, lat + 0.0003::DOUBLE AS lat, lon + 0.0002::DOUBLE AS lon FROM tel WHERE event_id % 10 = 0), m AS (SELECT point_id, edge_id, lat, lon, a_lat, a_lon, b_lat, b_lon, {_MER} AS mer, {_NOR} AS nor FROM pt JOIN seg ON abs(lat - a_lat) < DELTA AND abs(lon - a_lon) < DELTA),
+_NEAR = f"""{_SEG}, pt AS (SELECT event_id AS point_id, lat + 0.0003::DOUBLE AS lat, lon + 0.0002::DOUBLE AS lon FROM tel), m AS (SELECT point_id, edge_id, lat, lon, a_lat, a_lon, b_lat, b_lon, {_MER} AS mer, {_NOR} AS nor FROM pt JOIN seg ON abs(lat - a_lat) < DELTA AND abs(lon - a_lon) < DELTA),
 v AS (SELECT *, radians(b_lat - a_lat) * mer AS bn, radians(b_lon - a_lon) * nor AS be, radians(lat - a_lat) * mer AS pn, radians(lon - a_lon) * nor AS pe FROM m),
 t AS (SELECT *, CASE WHEN bn * bn + be * be < 1e-9 THEN 0 ELSE greatest(0, least(1, (pn * bn + pe * be) / (bn * bn + be * be))) END AS t FROM v), f AS (SELECT point_id, edge_id, sqrt(pow(pn - bn * t, 2) + pow(pe - be * t, 2)) AS perp_m, sqrt(bn * bn + be * be) * t AS along_m FROM t)"""
 
 
 def _points(spark, sf):
-    return telemetry(spark, sf).where("event_id % 10 = 0").select(c("event_id").alias("point_id"), (c("lat") + 0.0003).alias("lat"), (c("lon") + 0.0002).alias("lon"))
+    return telemetry(spark, sf).select(c("event_id").alias("point_id"), (c("lat") + 0.0003).alias("lat"), (c("lon") + 0.0002).alias("lon"))
 
 
 def nearby(spark, sf):

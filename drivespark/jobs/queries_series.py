@@ -45,10 +45,10 @@ SELECT trip_id, i, CASE WHEN keep THEN sum(first) OVER w - 1 ELSE -1 END::BIGINT
 
 
 def shifted(spark, sf):
-    return S.shift_channels(channels(spark, sf).withColumn("lag_rows", (c("trip_id") % 7 - 3).cast("int")), ["ax", "gz"], TRIP, "i", "lag_rows").select("trip_id", "i", r6(c("ax"), "ax"), r6(c("gz"), "gz"))
+    return S.shift_channels(channels(spark, sf).withColumn("lag_rows", (c("trip_id") % 7 - 3).cast("int")), ["ax", "gz"], TRIP, "i", "lag_rows", max_lag=3).select("trip_id", "i", r6(c("ax"), "ax"), r6(c("gz"), "gz"))
 
 
-SHIFTED = f"WITH {CHAN} SELECT a.trip_id, a.i, round(b.ax, 6) AS ax, round(b.gz, 6) AS gz FROM chan a LEFT JOIN chan b ON a.trip_id = b.trip_id AND b.i = a.i + (a.trip_id % 7 - 3)"
+SHIFTED = f"WITH {CHAN} SELECT trip_id, i, round(CASE trip_id % 7 - 3 WHEN -3 THEN lag(ax, 3) OVER w WHEN -2 THEN lag(ax, 2) OVER w WHEN -1 THEN lag(ax) OVER w WHEN 0 THEN ax WHEN 1 THEN lead(ax) OVER w WHEN 2 THEN lead(ax, 2) OVER w ELSE lead(ax, 3) OVER w END, 6) AS ax, round(CASE trip_id % 7 - 3 WHEN -3 THEN lag(gz, 3) OVER w WHEN -2 THEN lag(gz, 2) OVER w WHEN -1 THEN lag(gz) OVER w WHEN 0 THEN gz WHEN 1 THEN lead(gz) OVER w WHEN 2 THEN lead(gz, 2) OVER w ELSE lead(gz, 3) OVER w END, 6) AS gz FROM chan {_W}"
 
 
 def ages(spark, sf):

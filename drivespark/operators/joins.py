@@ -36,8 +36,10 @@ def align_streams(grid: DataFrame, stream: DataFrame, keys: Sequence[str], time:
     s = F.struct(F.col(time).alias("t"), *(F.col(c) for c in [*linear, *held]))
     a = grid.select(*keys, F.col(time).alias("__t"), F.lit(1).alias("__side")).withColumn("__s", F.lit(None).cast(stream.select(s.alias("s")).schema["s"].dataType))
     b = stream.select(*keys, F.col(time).alias("__t"), F.lit(0).alias("__side"), s.alias("__s"))
-    w = Window.partitionBy(*keys).orderBy("__t", "__side")
-    both = a.unionByName(b).withColumns({"p": F.last("__s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.first("__s", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("__side = 1")
+    # The next value is the last one of the order turned round: frames that only grow cost one step a row.
+    upto = (Window.unboundedPreceding, 0)
+    on, back = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(*upto), Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(*upto)
+    both = a.unionByName(b).withColumn("p", F.last("__s", True).over(on)).withColumn("n", F.last("__s", True).over(back)).where("__side = 1")
     t, p, n = F.col("__t"), F.col("p"), F.col("n")
     inside = p.isNotNull() & n.isNotNull() & (n.t - p.t <= max_gap)
     edge = F.when(p.isNull() & (n.t - t <= margin), n).when(n.isNull() & (t - p.t <= margin), p)
@@ -157,9 +159,10 @@ def match_descriptors(queries: DataFrame, anchors: DataFrame, words: int = 4) ->
     diff = sum((F.bit_count(F.col("q")[i].bitwiseXOR(F.col("a")[i])) for i in range(1, words)), F.bit_count(F.col("q")[0].bitwiseXOR(F.col("a")[0])))
     d = queries.select("query_id", F.col("descriptor").alias("q")).crossJoin(small(anchors.select("anchor_id", F.col("descriptor").alias("a"))))
     d = d.withColumn("similarity", F.lit(1.0) - diff / (64.0 * words))
-    first = d.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "anchor_id")).alias("b"), F.count("*").alias("n"), F.max_by("similarity", "similarity").alias("m"))
-    rest = d.join(first.select("query_id", F.col("b.anchor_id").alias("best")), "query_id").where("anchor_id <> best").groupBy("query_id").agg(F.max("similarity").alias("second"))
-    return first.select("query_id", F.col("b.anchor_id").alias("anchor_id"), (-F.col("b.s")).alias("best")).join(rest, "query_id", "left")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "anchor_id"))
+    two = d.withColumn("place", place).where("place <= 2")
+    at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
+    return two.groupBy("query_id").agg(at(1, "anchor_id").alias("anchor_id"), at(1, "similarity").alias("best"), at(2, "similarity").alias("second"))
 
 
 def match_anchors(obs: DataFrame, anchors: DataFrame, distance: Column, floor_m: float = 50.0) -> DataFrame:

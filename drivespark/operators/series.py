@@ -30,7 +30,7 @@ def repair_time(df: DataFrame, clock: str, keys: Sequence[str], order: str) -> D
     d = df.withColumn("__n", F.row_number().over(w))
     good = F.when(F.coalesce(F.col(clock) != F.lag(clock).over(w), F.lit(True)), F.struct(F.col("__n").alias("n"), F.col(clock).cast("double").alias("t")))
     d = d.withColumn("__good", good)
-    d = d.withColumn("__a", F.last("__good", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first("__good", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    d = d.withColumn("__a", F.last("__good", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.last("__good", True).over(Window.partitionBy(*keys).orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, 0)))
     a, b, n = F.col("__a"), F.col("__b"), F.col("__n")
     made = F.when(b.isNull() | (a.n == b.n), a.t).otherwise(a.t + (b.t - a.t) * F.try_divide(n - a.n, b.n - a.n))
     return d.withColumn(clock, made).drop("__n", "__good", "__a", "__b")
@@ -48,15 +48,21 @@ def valid_segments(df: DataFrame, valid: str, keys: Sequence[str], order: str, m
     return d.withColumn("seg_id", F.when(F.col("__keep"), F.col("__no")).otherwise(-1)).drop("__ok", "__run", "__keep", "__no")
 
 
-def shift_channels(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order: str, lag_col: str) -> DataFrame:
-    """``cols`` of the row ``lag_col`` rows later (earlier if negative; a number for each drive); null past an end."""
+def shift_channels(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order: str, lag: str, max_lag: int | None = None) -> DataFrame:
+    """Each of ``cols`` taken ``lag`` rows further on (a column, one value for a drive); null where there is no such row.
+
+    With ``max_lag``, a bound of |lag|, the values come from a window of that many rows on both sides; without, from a join.
+    """
     d = df.withColumn("__n", F.row_number().over(_by(keys, order)))
-    moved = d.select(*(F.col(k).alias(f"__{k}") for k in keys), (F.col("__n") - F.col(lag_col)).alias("__at"), *(F.col(c).alias(f"__{c}") for c in cols))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (d[k] == moved[f"__{k}"])
-    d = d.join(moved, same & (F.col("__n") == F.col("__at")), "left")
-    return d.withColumns({c: F.col(f"__{c}") for c in cols}).drop("__n", "__at", *(f"__{c}" for c in [*keys, *cols]))
+    if max_lag is None:
+        right = d.select(*keys, F.col("__n"), *(F.col(c).alias(f"__{c}") for c in cols))
+        d = d.withColumn("__n", F.col("__n") + F.col(lag)).join(right, [*keys, "__n"], "left")
+    else:
+        near = F.collect_list(F.struct(F.col("__n").alias("n"), *cols)).over(_by(keys, "__n").rowsBetween(-max_lag, max_lag))
+        at = F.try_element_at("__l", (F.col("__n") + F.col(lag) - F.element_at("__l", 1).n + 1).cast("int"))
+        inside = F.col("__n") + F.col(lag) >= F.element_at("__l", 1).n
+        d = d.withColumn("__l", near).withColumns({f"__{c}": F.when(inside, at[c]) for c in cols}).drop("__l")
+    return d.select(*(F.col(f"__{c}").alias(c) if c in cols else F.col(c) for c in df.columns))
 
 
 def fix_age(df: DataFrame, lat: str, lon: str, keys: Sequence[str], order: str, dt: float = 0.1, out: str = "fix_age_s") -> DataFrame:
