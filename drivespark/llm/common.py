@@ -83,6 +83,12 @@ def lower_ascii(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def lower_words(text):
+    """The words of ``text`` and empty strings between them, A-Z lower-cased; null gives none. White space is made one
+    character first: splitting at a single one needs no regular expression."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + "\t\n\x0b\x0c\r", LOWER + "     "), " ")
+
+
 def as_text(value):
     return F.coalesce(value.cast("string"), F.lit(""))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, staged
@@ -163,20 +163,32 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = B
     return state
 
 
+def _ranked(rows: DataFrame, by: str, top: int) -> DataFrame:
+    """The first ``top`` rows of each ``by``, by score, then id; a limit that each task applies before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= top)
+
+
 def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each id that ``every`` divides, the ``top`` nearest others found.
 
-    Nearness is the inner product, ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite
-    components take no part, nor do those of another length than most; of rows that repeat an id, the smallest vector
-    counts; other columns are ignored. Fewer candidates than ``top`` give them all; an empty table gives no rows.
+    Nearness is the inner product, ties go to the smaller id. Equal vectors are one in the graph; of the ids that share one
+    the ``top`` + 1 smallest can be among the nearest, and no others. Vectors that are null, zero, or hold null or
+    non-finite components take no part, nor do those of another length than most; of rows that repeat an id, the smallest
+    vector counts; other columns are ignored. Fewer candidates than ``top`` give them all; an empty table gives no rows.
     """
     v = staged(usable(vectors, id_col, vec_col))
-    codes = staged(squeezed(v))
-    graph = build_graph(codes)
-    found = search(graph, codes, v.where(F.col("id") % every == 0).select(F.col("id").alias("q")))
-    near = found.select("q", F.explode(F.slice("found", 1, 4 * top + 1)).alias("f")).select("q", F.col("f.v").alias("id")).where("q <> id")
-    queries = v.select(F.col("id").alias("q"), F.col("vec").alias("q_vec"))
+    own = staged(v.groupBy("vec").agg(F.min("id").alias("rep")))
+    of = staged(v.join(own, "vec").select("id", "rep"))
+    same = staged(of.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= top + 1).select("rep", "id"))
+    one = own.select(F.col("rep").alias("id"), "vec")
+    codes = staged(squeezed(one))
+    asked = staged(of.where(F.col("id") % every == 0))
+    found = search(build_graph(codes), codes, asked.select(F.col("rep").alias("q")).distinct())
+    near = found.select("q", F.explode(F.slice("found", 1, 4 * top + 1)).alias("f")).select("q", F.col("f.v").alias("rep"))
     score = F.aggregate(F.zip_with("q_vec", "vec", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = near.join(v, "id").join(queries, "q").select("q", "id", score.alias("score"))
-    lists = scored.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "id", "score"))), 1, top).alias("l"))
-    return lists.select(F.col("q").alias("query_id"), F.posexplode("l").alias("rank", "n")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("vec_id"), "n.score")
+    scored = near.join(one.withColumnRenamed("id", "rep"), "rep").join(one.select(F.col("id").alias("q"), F.col("vec").alias("q_vec")), "q").select("q", "rep", score.alias("score"))
+    best = staged(_ranked(scored.join(same, "rep").select("q", "id", "score"), "q", top + 1))
+    # A query's own id, if it is among them, leaves ``top`` others.
+    mine = asked.select(F.col("id").alias("query_id"), F.col("rep").alias("q")).join(best.select("q", "id", "score"), "q").where("id <> query_id")
+    return _ranked(mine, "query_id", top).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

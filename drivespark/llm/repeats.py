@@ -21,10 +21,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``k, doc_id, text`` (bytes; null: empty); rows that agree in id and text share k, and every text of theirs counts."""
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
-    return docs.select(row_key(F.col(id_col), text).alias("k"), F.col(id_col).alias("doc_id"), text.alias("text"))
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``k, doc_id, text`` (bytes; null: empty); rows that agree in id and text share k, and every text of theirs counts.
+
+    ``key_col`` stands for the id where that is of a kind that can't be hashed.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit("").cast("binary"))
+    return docs.select(row_key(F.col(f"`{key_col or id_col}`"), text).alias("k"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
 
 
 def pointer_rows(texts: DataFrame, owned_of: Callable, names: list[str], only_first: bool) -> DataFrame:

@@ -89,7 +89,7 @@ def _shared(t: pa.Table) -> pa.RecordBatch:
     return stretches(bucket[row[hit]], kind[row[hit]], offset[hit])
 
 
-def cut_repeated_words(docs: DataFrame, length: int = LENGTH, as_is: bool = False, id_col: str = "doc_id", text_col: str = "text", in_task: int = IN_TASK) -> DataFrame:
+def cut_repeated_words(docs: DataFrame, length: int = LENGTH, as_is: bool = False, id_col: str = "doc_id", text_col: str = "text", in_task: int = IN_TASK, key_col: str | None = None) -> DataFrame:
     """``doc_id, n_units, n_removed, n_spans, kept``, one row for each input row.
 
     Every word that a window of ``length`` consecutive words covers goes if the same words also start elsewhere, in this
@@ -99,7 +99,7 @@ def cut_repeated_words(docs: DataFrame, length: int = LENGTH, as_is: bool = Fals
     words than a window stays; rows that repeat are copies of each other; other columns are ignored. Windows are told apart
     by 64-bit hashes, at each level and within the window of the level before.
     """
-    texts = keyed(docs, id_col, text_col)
+    texts = keyed(docs, id_col, text_col, key_col)
     members = survivors(texts, length, levels(length))
     classes = staged(classes_of(members))
     rows = contexts(texts, classes, _windows_of(length, in_task), "bucket long, class long, open boolean, place long, context binary, window long")
