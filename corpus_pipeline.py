@@ -18,35 +18,39 @@ from drivespark.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of all labels finds toxic go."""
+    """Documents that the model of all labels finds toxic go; null and empty texts stay, rows that repeat share their fate."""
     model = fit_toxicity(docs, common.read(spark, sf_dir, "labels"), parts=5, rest=-1)
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash with those of the scores
+    scored = score_toxicity(docs.toDF(*plain), model, text_col=plain[docs.columns.index("text")])
+    return scored.where("predicted = 0").select(*plain).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of near copies the document with the smallest id stays; all null, empty and blank texts are copies of one another."""
     return first_of_groups(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that start more than once go, and so do documents that have none left; clean texts stay as they were."""
-    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("__null")).alias("row"), "text")
-    cut = cut_repeated_words(rows, as_is=True, id_col="row").where("n_units = 0 OR n_removed < n_units")
+    """Words in passages that start more than once go, and so do documents that have none left; clean texts stay as they
+    were. Null texts stay null; rows that repeat are copies of each other, so all their passages go."""
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("__null")).alias("row"), F.col("doc_id").alias("key"), "text")
+    cut = cut_repeated_words(rows, as_is=True, id_col="row", key_col="key").where("n_units = 0 OR n_removed < n_units")
     text = F.when(~F.col("doc_id.__null"), F.col("kept").cast("string"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return cut.select(*(new.get(c, F.col(f"doc_id.{c}")).alias(c) for c in docs.columns))
+    return cut.select(*(new.get(c, F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window that is as good as a benchmark item go."""
-    keyed = docs.withColumn("__k", common.row_key("doc_id", "text"))
-    found = find_contamination(keyed, common.read(spark, sf_dir, "benchmark"), id_col="__k")
-    gone = common.small(common.staged(found.select(F.col("doc_id").alias("__k")).distinct()))
-    return keyed.join(gone, "__k", "left_anti").drop("__k")
+    """Documents with a window that is as good as a benchmark item go; null and empty texts match nothing and stay."""
+    k = common.spare(docs, "__key")
+    keyed = docs.withColumn(k, common.row_key("doc_id", "text"))
+    found = find_contamination(keyed, common.read(spark, sf_dir, "benchmark"), id_col=k)
+    gone = common.small(common.staged(found.select(F.col("doc_id").alias(k)).distinct()))
+    return keyed.join(gone, k, "left_anti").drop(k)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document: a row for each, null and empty texts with size 0."""
     return mix_sources(docs)
 
 
@@ -57,7 +61,7 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("mixing", mix),
 ]
-#: Learnt and hashed stages: tests hold the run against brute force instead.
+#: Learnt and hashed stages: tests/llm/test_pipeline.py holds the run against brute force instead.
 ORACLE_SQL = None
 
 
