@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small, staged
 from .pointers import combined, names, owned, unpacked
 from .repeats import _SPACE, by_bucket, classes_of, contexts, keyed, pointer_rows, removed, repeated, spans, stretches
 from .vectors import word_hashes
@@ -51,7 +51,8 @@ def survivors(texts: DataFrame, length: int, lengths: tuple[int, ...]) -> DataFr
     for shorter, longer in zip(at, at[1:], strict=False):
         if left.isEmpty():
             break
-        left = staged(left.join(repeated(left, shorter, longer), [shorter, longer]))
+        # Written first, so that a window that a third of all pointers share is a skewed join, which Spark splits.
+        left = staged(left.join(small(staged(repeated(left, shorter, longer))), [shorter, longer]))
     return left.select("k", "place", F.col(at[-1]).alias("bucket"), "class")
 
 

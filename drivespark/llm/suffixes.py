@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small, staged
 from .pointers import owned, unpacked
 from .repeats import by_bucket, classes_of, contexts, keyed, pointer_rows, removed, repeated, spans, stretches
 from .vectors import BYTE_VALUE
@@ -119,12 +119,13 @@ def refined_by_joins(suffixes: DataFrame, length: int) -> DataFrame:
 
     A round joins each suffix with the bucket identifier of the one ``step`` bytes on; what is alone then goes.
     """
-    held = staged(suffixes.join(repeated(suffixes, "bucket", "offset", "pointer"), ["bucket", "offset", "pointer"]))
+    key = ["bucket", "offset", "pointer"]
+    held = staged(suffixes.join(small(staged(repeated(suffixes, *key))), key))
     for _, step in rounds(length):
         later = held.select("bucket", "class", (F.col("offset") - step).alias("offset"), F.col("pointer").alias("later"))
         pairs = held.join(later, ["bucket", "class", "offset"])
-        new = pairs.withColumn("pointer", F.xxhash64("pointer", "later")).drop("later")
-        held = staged(new.join(repeated(new, "bucket", "offset", "pointer"), ["bucket", "offset", "pointer"]))
+        new = staged(pairs.withColumn("pointer", F.xxhash64("pointer", "later")).drop("later"))
+        held = staged(new.join(small(staged(repeated(new, *key))), key))
     return held.where("open").select("bucket", "class", F.col("offset").alias("lo"), F.col("offset").alias("hi"))
 
 

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from drivespark.llm import near_copies
+from drivespark.llm.components import components
 
 
 def drifted():
@@ -62,6 +63,27 @@ def test_chains_equal_brute_force(spark, monkeypatch, leaders):
     assert len({r.text for r in left}) == len(left)
 
 
+def test_components_equal_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, 1000 - i % 3) for i in range(500, 900)] + [(2000 + i, 2001 + i) for i in range(40)] + [(5, 5), (6, None)]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if b is not None and a != b:
+            root[find(a)] = find(b)
+    got = {}
+    for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
+        assert r.node not in got
+        got[r.node] = r.label
+    assert set(got) == set(root)
+    assert len({(find(n), label) for n, label in got.items()}) == len({find(n) for n in got}) == len(set(got.values()))
+
+
 def test_copies_unlike_the_first_of_their_group(spark):
     """A and B are linked but less than 0.8 alike; of three Bs one stays."""
     rng = random.Random(1)
