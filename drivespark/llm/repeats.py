@@ -97,6 +97,11 @@ def contexts(texts: DataFrame, classes: DataFrame, made: Callable, fields: str)
     return staged(joined.mapInArrow(run, fields))
 
 
+def batch_of(bucket, kind, is_open, place, context: pa.Array, last: pa.Array, name: str) -> pa.RecordBatch:
+    """Rows for ``contexts``: one for a class, or for each of its windows or suffixes, whose last field is called ``name``."""
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (bucket, kind, is_open, place)), context, last], names=["bucket", "class", "open", "place", "context", name])
+
+
 def by_bucket(rows: DataFrame, refine: Callable[[pa.Table], pa.RecordBatch], fields: str, most: int) -> DataFrame:
     """``refine`` of tables that hold whole buckets of ``rows(bucket, class, ...)``: one, or several of about ``most`` bytes."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import small, staged
 from .pointers import combined, names, owned, unpacked
-from .repeats import _SPACE, by_bucket, classes_of, contexts, keyed, pointer_rows, removed, repeated, spans, stretches
+from .repeats import _SPACE, batch_of, by_bucket, classes_of, contexts, keyed, pointer_rows, removed, repeated, spans, stretches
 from .vectors import word_hashes
 
 LENGTH, FIRST = 35, 5
@@ -66,14 +66,16 @@ def _windows_of(length: int, in_task: int):
     def made(text, place, bucket, kind, is_open, m):
         pos, left, count = unpacked(place)
         window = names(word_names([text])[0], length)[0]
-        for i in range(len(place)):
-            own = window[pos[i] - left[i] : pos[i] - left[i] + count[i]]
-            if m[i] <= in_task:
-                n, where, context, key = 1, place[i : i + 1], pa.array([own.tobytes()], pa.binary()), pa.nulls(1, pa.int64())
-            else:
-                n, where, context = len(own), np.arange(len(own)) - left[i], pa.nulls(len(own), pa.binary())
-                key = pa.array(_window_key(own, np.full(n, bucket[i]), where).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket[i])), pa.array(np.full(n, kind[i])), pa.array(np.full(n, is_open[i])), pa.array(where), context, key], names=["bucket", "class", "open", "place", "context", "window"])
+        few, many = np.flatnonzero(m <= in_task), np.flatnonzero(m > in_task)
+        if len(few):
+            held = [window[a:b].tobytes() for a, b in zip((pos - left)[few].tolist(), (pos - left + count)[few].tolist(), strict=True)]
+            yield batch_of(bucket[few], kind[few], is_open[few], place[few], pa.array(held, pa.binary()), pa.nulls(len(few), pa.int64()), "window")
+        if len(many):
+            n = count[many]
+            row = np.repeat(many, n)
+            where = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) - left[row]
+            key = _window_key(window[pos[row] + where], bucket[row], where).view(np.int64)
+            yield batch_of(bucket[row], kind[row], is_open[row], where, pa.nulls(len(row), pa.binary()), pa.array(key), "window")
 
     return made
 

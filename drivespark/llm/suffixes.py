@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import small, staged
 from .pointers import owned, unpacked
-from .repeats import by_bucket, classes_of, contexts, keyed, pointer_rows, removed, repeated, spans, stretches
+from .repeats import batch_of, by_bucket, classes_of, contexts, keyed, pointer_rows, removed, repeated, spans, stretches
 from .vectors import BYTE_VALUE
 
 LENGTH, GRAM = 200, 32
@@ -101,15 +101,16 @@ def _bytes_of(length: int, in_task: int):
 
     def made(text, place, bucket, kind, is_open, m):
         pos, left, count = unpacked(place)
-        for i in range(len(place)):
-            own = text[pos[i] - left[i] : pos[i] - left[i] + count[i] - 1 + length]
-            if m[i] <= in_task:
-                n, where, context, first = 1, place[i : i + 1], pa.array([own], pa.binary()), pa.nulls(1, pa.int64())
-            else:
-                value = first_bytes(np.frombuffer(own, np.uint8), min(FIRST, length)).view(np.int64)
-                n, context, first = len(value), pa.nulls(len(value), pa.binary()), pa.array(value)
-                where = np.arange(n) - left[i]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket[i])), pa.array(np.full(n, kind[i])), pa.array(np.full(n, is_open[i])), pa.array(where), context, first], names=["bucket", "class", "open", "place", "context", "pointer"])
+        held = [text[a:b] for a, b in zip((pos - left).tolist(), (pos - left + count - 1 + length).tolist(), strict=True)]
+        few, many = np.flatnonzero(m <= in_task), np.flatnonzero(m > in_task)
+        if len(few):
+            yield batch_of(bucket[few], kind[few], is_open[few], place[few], pa.array([held[i] for i in few.tolist()], pa.binary()), pa.nulls(len(few), pa.int64()), "pointer")
+        if len(many):
+            values = [first_bytes(np.frombuffer(held[i], np.uint8), min(FIRST, length)).view(np.int64) for i in many.tolist()]
+            n = np.array([len(x) for x in values])
+            row = np.repeat(many, n)
+            where = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) - left[row]
+            yield batch_of(bucket[row], kind[row], is_open[row], where, pa.nulls(len(row), pa.binary()), pa.array(np.concatenate(values)), "pointer")
 
     return made
 
