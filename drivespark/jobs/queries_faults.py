@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import calibration as K
 from ..operators import faults as X
+from ..operators.graph import dedup_places
+from ..session import read_table
 from .demo import CHAN, channels
 from .queries_outages import _TRUTH, _fixes, _ned, rounded
 
@@ -158,7 +162,62 @@ def scored_windows(spark, sf):
 SCORED = f"""WITH {CHAN}, z AS (SELECT trip_id, i, (ax - 0.1::DOUBLE) / 2 AS x, CASE WHEN i % 41 <> 6 THEN (ay - 0.2::DOUBLE) / 0.5::DOUBLE END AS y, (az - 9.8::DOUBLE) / 0.4::DOUBLE AS z FROM chan)
 SELECT trip_id, i, round(0.5::DOUBLE * x - 0.25::DOUBLE * y + 0.1::DOUBLE * z, 6) AS speed_ms, round(CASE WHEN y IS NOT NULL THEN exp(x * 0.1::DOUBLE) END, 6) AS sigma_ms, round(CASE WHEN y IS NOT NULL THEN greatest(abs(x), abs(y), abs(z)) END, 6) AS z_max FROM z"""
 
+def blackouts(spark, sf):
+    f, i = _fixes(spark, sf), c("i")
+    f = f.withColumn("run", F.floor(i / 60))
+    part = f.where((i % 60 < 25) & (i % 3 != 1) & ((c("run") + c("drive")) % 6 != 2))
+    plan = f.groupBy("drive", "run").agg((F.max_by("lat", "t_us") + 0.0003).alias("est_lat"), (F.max_by("lon", "t_us") - 0.0001).alias("est_lon"), F.when(c("run") % 4 != 3, F.min("lat")).alias("restored_lat"), F.min("lon").alias("restored_lon"))
+    sigma = f.where(i % 60 < 25).select("drive", "run", "t_us", (F.lit(1.0) + i * 7 % 11).alias("sigma_m"))
+    return rounded(X.simulated_outage_score(plan, part, sigma, ("drive", "run")), digits=3)
+
+
+BLACKOUTS = f"""WITH {CHAN}, {_TRUTH}, g AS (SELECT *, i // 60 AS run FROM fx),
+pl AS (SELECT drive, run, arg_max(lat, t_us) + 0.0003::DOUBLE AS ela, arg_max(lon, t_us) - 0.0001::DOUBLE AS elo, CASE WHEN run % 4 <> 3 THEN min(lat) END AS rla, min(lon) AS rlo FROM g GROUP BY drive, run),
+w AS (SELECT *, first_value(lat) OVER o AS lat0, lag(lat) OVER o AS pa, lag(lon) OVER o AS po FROM g WHERE i % 60 < 25 AND i % 3 <> 1 AND (run + drive) % 6 <> 2 WINDOW o AS (PARTITION BY drive, run ORDER BY t_us)),
+m AS (SELECT *, (lat - pa) * 111320 AS dn, (lon - po) * 111320 * cos(radians(lat0)) AS de FROM w), t AS (SELECT drive, run, coalesce(sum(sqrt(dn * dn + de * de)), 0) AS dist FROM m GROUP BY drive, run),
+z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY drive, run ORDER BY t_us DESC) = 1),
+s AS (SELECT drive, run, arg_min(1.0::DOUBLE + i * 7 % 11, t_us) AS s0, max(1.0::DOUBLE + i * 7 % 11) AS s1, arg_max(1.0::DOUBLE + i * 7 % 11, t_us) AS s2 FROM g WHERE i % 60 < 25 GROUP BY drive, run),
+e AS (SELECT pl.*, dist, s0, s1, s2, accuracy_m, dn, de, (ela - lat) * 111320 AS n, (elo - lon) * 111320 * cos(radians(lat0)) AS x, (rla - ela) * 111320 AS jn, (rlo - elo) * 111320 * cos(radians(lat0)) AS jx, CASE WHEN sqrt(dn * dn + de * de) > 1e-6 THEN sqrt(dn * dn + de * de) END AS way
+  FROM pl LEFT JOIN t USING (drive, run) LEFT JOIN z USING (drive, run) LEFT JOIN s USING (drive, run))
+SELECT drive, run, round(dist, 3) AS distance_m, round(sqrt(n * n + x * x), 3) AS endpoint_error_m, round(abs(n * dn + x * de) / way, 3) AS along_m, round(abs(n * de - x * dn) / way, 3) AS cross_m, s0 AS first_sigma_m, s1 AS peak_sigma_m, s2 AS last_sigma_m, round(sqrt(jn * jn + jx * jx), 3) AS recovery_jump_m, accuracy_m AS fix_accuracy_m FROM e"""
+
+
+def calibrations(spark, sf):
+    small = F.when(c("i") % 300 < 200 + c("trip_id") % 5 * 20, 0.002).otherwise(0.05)
+    d = channels(spark, sf).select(c("trip_id").alias("drive"), "i", (c("ax") * small).alias("ax"), (c("ay") * small).alias("ay"), (F.lit(9.81) + c("az") * small).alias("az"), (F.lit(0.01) + c("gx") * small).alias("gx"), (c("gy") * small).alias("gy"), (c("gz") * small + c("trip_id") % 4 * 0.08).alias("gz"))
+    return rounded(K.still_calibration(d, least=60))
+
+
+_SMALL = "CASE WHEN i % 300 < 200 + trip_id % 5 * 20 THEN 0.002::DOUBLE ELSE 0.05::DOUBLE END"
+_LAST = "OVER (PARTITION BY drive ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
+CALIBRATIONS = f"""WITH {CHAN}, d AS (SELECT trip_id AS drive, i, ax * {_SMALL} AS ax, ay * {_SMALL} AS ay, 9.81::DOUBLE + az * {_SMALL} AS az, 0.01::DOUBLE + gx * {_SMALL} AS gx, gy * {_SMALL} AS gy, gz * {_SMALL} + trip_id % 4 * 0.08::DOUBLE AS gz FROM chan),
+m AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS a, sqrt(gx * gx + gy * gy + gz * gz) AS g FROM d), s AS (SELECT *, count(*) {_LAST} >= 50 AND stddev_pop(a) {_LAST} < 0.08 AND stddev_pop(g) {_LAST} < 0.015 AS still FROM m),
+k AS (SELECT drive, count(*) FILTER (still) AS samples, avg(gx) FILTER (still) AS bx, avg(gy) FILTER (still) AS byy, avg(gz) FILTER (still) AS bz, stddev_pop(g) FILTER (still) AS gn, stddev_pop(a) FILTER (still) AS an FROM s GROUP BY drive),
+r AS (SELECT *, CASE WHEN samples < 60 THEN 'too_few' WHEN sqrt(bx * bx + byy * byy + bz * bz) > 0.2 THEN 'moving' END AS refused FROM k)
+SELECT drive, samples, CASE WHEN refused IS NULL THEN round(bx, 6) END AS bias_x, CASE WHEN refused IS NULL THEN round(byy, 6) END AS bias_y, CASE WHEN refused IS NULL THEN round(bz, 6) END AS bias_z, CASE WHEN refused IS NULL THEN round(gn, 6) END AS gyro_noise, CASE WHEN refused IS NULL THEN round(an, 6) END AS accel_noise,
+  CASE WHEN refused IS NULL THEN round(least(0.99, 0.55 + 0.45 * least(1, samples / 180.0::DOUBLE) * greatest(0, 1 - gn / 0.03::DOUBLE)), 6) END AS quality, refused FROM r"""
+
+
+def unique_places(spark, sf):
+    k = c("c_custkey")
+    d = read_table(spark, sf, "customer").select(k.alias("id"), F.when(k % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("name"), (F.lit(12.0) + k * 37 % 1009 / 10_000.0).alias("lat"), (F.lit(77.0) + k * 91 % 997 / 10_000.0).alias("lon"), (k % 3 + 1).alias("priority"))
+    return dedup_places(d).select("id", "place_id", "kept")
+
+
+_APART = _ned("a.lat", "a.lon", "b.lat", "b.lon")
+PLACES = f"""WITH RECURSIVE p AS (SELECT c_custkey AS id, lower(c_mktsegment) AS name, 12.0::DOUBLE + (c_custkey * 37 % 1009) / 10000.0::DOUBLE AS lat, 77.0::DOUBLE + (c_custkey * 91 % 997) / 10000.0::DOUBLE AS lon, c_custkey % 3 + 1 AS pr FROM customer),
+l AS (SELECT a.id AS x, b.id AS y FROM p a JOIN p b ON a.name = b.name AND a.id < b.id WHERE sqrt(pow({_APART[0]}, 2) + pow({_APART[1]}, 2)) < 300), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT id, id AS o FROM p UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.o), k AS (SELECT id, min(o) AS place_id FROM r GROUP BY id)
+SELECT id, place_id, row_number() OVER (PARTITION BY place_id ORDER BY pr DESC, id) = 1 AS kept FROM k JOIN p USING (id)"""
+
+
+def lag_drift(spark, sf):
+    d = channels(spark, sf).withColumn("late", F.lag("ax", 3).over(Window.partitionBy("trip_id").orderBy("i")))
+    return rounded(K.coarse_lag_drift(d, "ax", "late", block=100, search=8, max_lag=20))
+
+
 CASES = {
+    "w17_simulated_outages": (blackouts, BLACKOUTS), "a33_still_calibration": (calibrations, CALIBRATIONS), "j15_dedup_places": (unique_places, PLACES), "w38_lag_drift": (lag_drift, None),
     "w20_sensor_faults": (sensor_faults, FAULTS), "w23_stops": (_stops, STOPS), "w28_gnss_course": (courses, COURSES), "w36_fault_effect": (effects, EFFECTS), "r07_outage_events": (outages, OUTAGES), "a19_receiver_evidence": (evidence, EVIDENCE),
     "a05_sampling_summary": (sampling, SAMPLING), "a06_sync_summary": (syncs, SYNCS), "h03_score_windows": (scored_windows, SCORED),
 }

@@ -204,3 +204,29 @@ def score_windows(windows: DataFrame, predictor: Callable, features: str = "feat
     schema = ", ".join(f"`{n}` {t}" for n, t in clear.dtypes) + ", speed_ms double, sigma_ms double, z_max double"
     scored = clear.mapInPandas(run, schema)
     return scored.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in ("speed_ms", "sigma_ms", "z_max")})
+
+
+def simulated_outage_score(blackouts: DataFrame, withheld: DataFrame, sigmas: DataFrame, keys: Sequence[str] = ("drive",), t_us: str = "t_us") -> DataFrame:
+    """Per planned blackout ``(keys, est_lat, est_lon, restored_lat, restored_lon)``: ``distance_m`` along its withheld fixes, the last
+    estimate's ``endpoint_error_m`` with ``along_m, cross_m`` of the last two fixes' way, first, peak and last sigma, ``recovery_jump_m``.
+
+    ``withheld(keys, lat, lon, accuracy_m)`` and ``sigmas(keys, sigma_m)`` carry the blackout's keys. Without a fix all but
+    the sigmas are null.
+    """
+    by = Window.partitionBy(*keys).orderBy(t_us)
+    f = withheld.select(*keys, t_us, "lat", "lon", "accuracy_m", F.first("lat").over(by).alias("lat0"), F.lag("lat").over(by).alias("plat"), F.lag("lon").over(by).alias("plon"))
+    north = lambda a, b: (b - a) * DEGREE_M
+    east = lambda a, b: (b - a) * DEGREE_M * F.cos(F.radians("lat0"))
+    dn, de = north(F.col("plat"), F.col("lat")), east(F.col("plon"), F.col("lon"))
+    end = F.struct("lat", "lon", "plat", "plon", "accuracy_m")
+    track = f.groupBy(*keys).agg(F.coalesce(F.sum(F.sqrt(dn * dn + de * de)), F.lit(0.0)).alias("distance_m"), F.max_by(end, t_us).alias("e"), F.first("lat0").alias("lat0"))
+    s = sigmas.groupBy(*keys).agg(F.min_by("sigma_m", t_us).alias("first_sigma_m"), F.max("sigma_m").alias("peak_sigma_m"), F.max_by("sigma_m", t_us).alias("last_sigma_m"))
+    d = blackouts.join(track, list(keys), "left").join(s, list(keys), "left")
+    e = F.col("e")
+    d = d.withColumns({"n": north(e.lat, F.col("est_lat")), "w": east(e.lon, F.col("est_lon")), "wn": north(e.plat, e.lat), "we": east(e.plon, e.lon), "jn": north(F.col("est_lat"), F.col("restored_lat")), "je": east(F.col("est_lon"), F.col("restored_lon"))})
+    way = F.sqrt(F.col("wn") * F.col("wn") + F.col("we") * F.col("we"))
+    moved = F.when(way > 1e-6, way)
+    return d.select(
+        *keys, "distance_m", F.sqrt(F.col("n") * F.col("n") + F.col("w") * F.col("w")).alias("endpoint_error_m"), F.abs((F.col("n") * F.col("wn") + F.col("w") * F.col("we")) / moved).alias("along_m"), F.abs((F.col("n") * F.col("we") - F.col("w") * F.col("wn")) / moved).alias("cross_m"),
+        "first_sigma_m", "peak_sigma_m", "last_sigma_m", F.sqrt(F.col("jn") * F.col("jn") + F.col("je") * F.col("je")).alias("recovery_jump_m"), e.accuracy_m.alias("fix_accuracy_m"),
+    )
