@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .queries_bpe import op13_byte_bpe
 from .queries_decontaminate import OP6_SQL, op6_decontaminate
 from .queries_labels import op3_quality, op10_toxicity
 from .queries_licenses import OP1_SQL, op1_licenses
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL}
