@@ -10,6 +10,7 @@ from .queries_lm import op2_lm
 from .queries_mixing import OP4_SQL, op4_mix
 from .queries_neighbours import op9_neighbours
 from .queries_repeats import OP8_SQL, op5_suffixes, op8_substrings
+from .queries_resampling import OP11_SQL, op11_resample
 from .queries_simhash import op7_simhash
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_resample": op11_resample,
     "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL}
+ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL, "op11_resample": OP11_SQL}
