@@ -5,6 +5,7 @@ from __future__ import annotations
 from .queries_bpe import op13_byte_bpe
 from .queries_decontaminate import OP6_SQL, op6_decontaminate
 from .queries_labels import op3_quality, op10_toxicity
+from .queries_lexical import OP12_SQL, op12_lexical
 from .queries_licenses import OP1_SQL, op1_licenses
 from .queries_lm import op2_lm
 from .queries_mixing import OP4_SQL, op4_mix
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
     "op11_resample": op11_resample,
+    "op12_lexical": op12_lexical,
     "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL, "op11_resample": OP11_SQL}
+ORACLES = {"op1_licenses": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substrings": OP8_SQL, "op11_resample": OP11_SQL, "op12_lexical": OP12_SQL}
