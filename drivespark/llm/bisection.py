@@ -62,7 +62,7 @@ def _halves(doc: np.ndarray, terms: np.ndarray, n_docs: int, n_terms: int) -> np
     """Which documents go to the right half."""
     right = np.arange(n_docs) >= (n_docs + 1) // 2
     n = np.maximum(np.array([(~right).sum(), right.sum()]), 1)
-    cost = lambda deg, size: deg * np.log2(size / (deg + 1.0))
+    cost = lambda deg, size: deg * np.log2(size / np.maximum(deg + 1.0, 1.0))
     for _ in range(ROUNDS):
         a, b = _degrees(right[doc], terms, n_terms)
         now = cost(a, n[0]) + cost(b, n[1])
