@@ -118,7 +118,13 @@ class Vocabulary:
                 left, right = ranks.get(key[:i]), ranks.get(key[i:])
                 if left is not None and right is not None:
                     self.pair[left << 32 | right] = rank
-        self.offset, self.bytes = decoder(ranks)
+        self.encoders: dict[str, Encoder] = {}
+
+    def encoder(self, pattern: str) -> Encoder:
+        """A worker's own encoder: the tasks that it runs one after the other share what it remembers."""
+        if pattern not in self.encoders:
+            self.encoders[pattern] = Encoder(self, pattern)
+        return self.encoders[pattern]
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a pre-token that is not in the vocabulary as a whole: a heap over linked bytes.
@@ -244,7 +250,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTER
     schema = StructType([*(docs.schema.fields[i] for i in kept), StructField(out_col, ArrayType(IntegerType(), False), False)])
 
     def run(batches):
-        encoder = Encoder(shared.value, pattern)
+        encoder = shared.value.encoder(pattern)
         for batch in batches:
             texts = batch.column(at)
             for a, b, parts in _held(encoder.encode((texts[i].as_py()) or "") for i in range(len(texts))):
