@@ -47,3 +47,43 @@ CHAN = """chan AS (
          p / 5000.0::DOUBLE AS speed_ms, p / 5000.0::DOUBLE + d * 10.0::DOUBLE - 0.5::DOUBLE AS pred_ms, (l_orderkey % 360)::DOUBLE AS heading_deg
   FROM (SELECT *, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS d, l_tax::DOUBLE AS x, l_extendedprice::DOUBLE AS p,
                row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS i FROM lineitem))"""
+
+
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A road network with a node for each part, 50 to a row: an edge to the next part of the row and one to the next row's."""
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    at = lambda k: (F.lit(12.0) + F.floor(k / 50) / 1000.0, F.lit(77.0) + k % 50 / 1000.0)
+    e = part.withColumn("step", F.explode(F.array(F.lit(1), F.lit(50)))).where("step = 50 OR k % 50 < 49").withColumn("to", F.col("k") + F.col("step"))
+    e = e.join(part.select(F.col("k").alias("to")), "to")
+    row_wise = F.col("step") == 1
+    return e.select(
+        (F.col("k") * 2 + F.when(row_wise, 0).otherwise(1)).alias("edge_id"), F.col("k").alias("from_node"), F.col("to").alias("to_node"), F.array(*at(F.col("k")), *at(F.col("to"))).alias("polyline"),
+        (F.lit(100.0) + F.col("z")).alias("length_m"), (F.col("z") % 5 == 0).alias("one_way"), F.when(F.col("z") % 3 == 0, 6.0).alias("max_speed_mps"), F.when(F.col("z") % 11 == 0, F.array(F.lit("twoWheelers"))).otherwise(F.array(F.lit("cars"), F.lit("twoWheelers"))).alias("access"),
+        (F.col("z") % 7 == 0).alias("tunnel"), F.when(row_wise, F.concat(F.lit("row "), F.floor(F.col("k") / 50).cast("string"))).alias("name"), F.when(row_wise, "primary").otherwise("residential").alias("class"),
+    )
+
+
+ROADS = """part2 AS (SELECT p_partkey AS k, p_size AS z FROM part),
+road AS (
+  SELECT a.k * 2 + CASE WHEN s = 1 THEN 0 ELSE 1 END AS edge_id, a.k AS from_node, b.k AS to_node, 12.0::DOUBLE + a.k // 50 / 1000.0::DOUBLE AS a_lat, 77.0::DOUBLE + a.k % 50 / 1000.0::DOUBLE AS a_lon,
+         12.0::DOUBLE + b.k // 50 / 1000.0::DOUBLE AS b_lat, 77.0::DOUBLE + b.k % 50 / 1000.0::DOUBLE AS b_lon, 100.0::DOUBLE + a.z AS length_m, a.z % 5 = 0 AS one_way, CASE WHEN a.z % 3 = 0 THEN 6.0::DOUBLE END AS max_speed_mps,
+         a.z % 11 <> 0 AS cars, a.z % 7 = 0 AS tunnel, CASE WHEN s = 1 THEN 'row ' || (a.k // 50) END AS name, CASE WHEN s = 1 THEN 'primary' ELSE 'residential' END AS class
+  FROM part2 a CROSS JOIN (VALUES (1), (50)) v(s) JOIN part2 b ON b.k = a.k + s WHERE s = 50 OR a.k % 50 < 49)"""
+
+
+def road_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drive for each customer along a row of ``roads``, with a position for each of the customer's orders."""
+    rows = read_table(spark, sf_dir, "part").agg((F.floor(F.max("p_partkey") / 50) + 1).alias("rows"))
+    o, k, u = read_table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    d = o.select(k, u, n.alias("seq")).crossJoin(F.broadcast(rows))  # one row
+    return d.select(
+        u.alias("drive_id"), "seq", (F.lit(12.0) + u % F.col("rows") / 1000.0 + (k * 31 % 17 - 8) * 0.00002).alias("lat"), (F.lit(77.0) + (u % 20 + F.col("seq") * 0.4) / 1000.0 + (k * 7 % 11 - 5) * 0.00001).alias("lon"),
+        (F.lit(4.0) + k % 12).alias("sigma_m"), F.when(k % 6 > 0, F.lit(90.0) + k % 41 - 20).alias("heading_deg"), (F.lit(1.0) + k % 14).cast("double").alias("speed_mps"),
+    )
+
+
+ROAD_POSITIONS = """pos AS (
+  SELECT o_custkey AS drive_id, seq, 12.0::DOUBLE + o_custkey % rows / 1000.0::DOUBLE + (o_orderkey * 31 % 17 - 8) * 0.00002::DOUBLE AS lat, 77.0::DOUBLE + (o_custkey % 20 + seq * 0.4::DOUBLE) / 1000.0::DOUBLE + (o_orderkey * 7 % 11 - 5) * 0.00001::DOUBLE AS lon,
+         4.0::DOUBLE + o_orderkey % 12 AS sigma_m, CASE WHEN o_orderkey % 6 > 0 THEN 90.0::DOUBLE + o_orderkey % 41 - 20 END AS heading_deg, (1.0::DOUBLE + o_orderkey % 14) AS speed_mps
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders) o CROSS JOIN (SELECT max(p_partkey) // 50 + 1 AS rows FROM part))"""

@@ -304,62 +304,8 @@ def anchors(spark, sf):
 ANCHORS = f"""WITH {TEL} SELECT event_id, CASE WHEN n_nationkey IS NULL THEN 'unknown anchor' WHEN event_type <> 'error' THEN 'not in an outage' WHEN event_id % 6 = 0 THEN 'no estimate' WHEN speed > greatest(50, k + n_nationkey % 4 * 5) THEN 'too far' ELSE 'accepted' END AS reason FROM tel LEFT JOIN nation ON n_nationkey * 3 = k"""
 
 
-def _edges(spark, sf):
-    k = c("l_orderkey")
-    return read_table(spark, sf, "lineitem").where("l_linenumber <= 2").select((k % 500).alias("from_node"), ((k * 7 + c("l_linenumber") * 13) % 500 + F.when(k % 3 == 0, 500).otherwise(0)).alias("to_node"), (c("l_quantity").cast("double") + 1).alias("length_m"), (k % 4 == 0).alias("one_way"), (k % 5).alias("region"), F.when(k % 2 == 0, "primary").otherwise("residential").alias("class"), F.when(k % 3 > 0, F.lit("n")).alias("name"), F.when(k % 7 == 0, 13.9).alias("max_speed_mps"), (k % 10 == 1).alias("tunnel"))
-
-
-_EDG = "edg AS (SELECT l_orderkey % 500 AS a, (l_orderkey * 7 + l_linenumber * 13) % 500 + CASE WHEN l_orderkey % 3 = 0 THEN 500 ELSE 0 END AS b, l_quantity::DOUBLE + 1 AS m, l_orderkey % 4 = 0 AS ow, l_orderkey % 5 AS region, CASE WHEN l_orderkey % 2 = 0 THEN 'primary' ELSE 'residential' END AS class, l_orderkey % 3 > 0 AS named, l_orderkey % 7 = 0 AS lim, l_orderkey % 10 = 1 AS tunnel FROM lineitem WHERE l_linenumber <= 2)"
-
-
-def _sparse(spark, sf):
-    k = c("l_orderkey")
-    return read_table(spark, sf, "lineitem").where("l_linenumber = 1").select((k % 3000).alias("from_node"), (k % 3000 + F.when(k % 4 > 0, 1).otherwise(0)).alias("to_node"))
-
-
-def components(spark, sf):
-    return G.connected_components(_sparse(spark, sf))
-
-
-COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 3000 AS a, l_orderkey % 3000 + CASE WHEN l_orderkey % 4 > 0 THEN 1 ELSE 0 END AS b FROM lineitem WHERE l_linenumber = 1), n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
-l AS (SELECT node, node - row_number() OVER (ORDER BY node) AS g FROM n), j AS (SELECT n.node, EXISTS (SELECT 1 FROM e WHERE e.a = n.node - 1 AND e.b = n.node) AS linked FROM n), s AS (SELECT node, CASE WHEN linked THEN 0 ELSE 1 END AS start FROM j),
-g AS (SELECT node, sum(start) OVER (ORDER BY node) AS grp FROM s) SELECT node, min(node) OVER (PARTITION BY grp) AS component FROM g"""
-
-
-def network_topology(spark, sf):
-    return rounded(G.topology(_sparse(spark, sf).withColumn("one_way", c("from_node") % 3 == 0)))
-
-
-TOPOLOGY = COMPONENTS.replace("SELECT node, min(node) OVER (PARTITION BY grp) AS component FROM g", """, cn AS (SELECT grp, count(*) AS n FROM g GROUP BY grp), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), dg AS (SELECT a, count(*) AS d FROM u GROUP BY a),
-o AS (SELECT avg(CASE WHEN l_orderkey % 3000 % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS s FROM lineitem WHERE l_linenumber = 1)
-SELECT (SELECT sum(n)::BIGINT FROM cn) AS nodes, round((SELECT max(n) / sum(n) FROM cn), 6) AS largest_share, round((SELECT count(*) FILTER (d >= 3) FROM dg) / (SELECT sum(n) FROM cn), 6) AS junction_share, round((SELECT count(*) FILTER (d = 1) FROM dg) / (SELECT sum(n) FROM cn), 6) AS dead_end_share, round((SELECT s FROM o), 6) AS one_way_share""")
-
-
-def routes(spark, sf):
-    pairs = spark.range(0, 500, 50).select(c("id").alias("origin")).crossJoin(spark.range(0, 1000, 9).select(c("id").alias("target")))
-    return rounded(G.bounded_route_cost(_edges(spark, sf), pairs, 40.0))
-
-
-ROUTES = f"""WITH RECURSIVE {_EDG}, e AS (SELECT a, b, min(m) AS m FROM (SELECT a, b, m FROM edg UNION ALL SELECT b, a, m FROM edg WHERE NOT ow) GROUP BY a, b), r(origin, node, cost) AS (SELECT o, o, 0::DOUBLE FROM range(0, 500, 50) x(o) UNION SELECT r.origin, e.b, r.cost + e.m FROM r JOIN e ON r.node = e.a WHERE r.cost + e.m <= 40)
-, d AS (SELECT origin, node, min(cost) AS cost FROM r GROUP BY ALL) SELECT o AS origin, t AS target, round(cost, 6) AS cost FROM range(0, 500, 50) x(o) CROSS JOIN range(0, 1000, 9) y(t) LEFT JOIN d ON d.origin = o AND d.node = t"""
-
-
-def network_summary(spark, sf):
-    return rounded(G.graph_summary(_edges(spark, sf)))
-
-
-NET_SUMMARY = f"WITH {_EDG} SELECT region, class, count(*) AS edges, round(sum(m) / 1000, 6) AS km, count(*) FILTER (named) AS named, count(*) FILTER (lim) AS with_limit FROM edg GROUP BY region, class"
-
-
-def coverage(spark, sf):
-    return rounded(G.road_coverage(_edges(spark, sf), ("primary", "residential")))
-
-
-COVERAGE = f"WITH {_EDG} SELECT region, count(*) AS lines, round(sum(CASE WHEN class = 'primary' THEN m / 1000 ELSE 0 END), 6) AS km_primary, round(sum(CASE WHEN class = 'residential' THEN m / 1000 ELSE 0 END), 6) AS km_residential, round(sum(CASE WHEN ow THEN m ELSE 0 END) / sum(m), 6) AS one_way_share, round(sum(CASE WHEN tunnel THEN m ELSE 0 END) / sum(m), 6) AS tunnel_share, round(sum(CASE WHEN named THEN m ELSE 0 END) / sum(m), 6) AS named_share FROM edg GROUP BY region"
-
 CASES = {
     "q01_trip_gate": (gate, GATE), "q02_splits": (splits, SPLITS), "q03_leak_checks": (leaks, LEAKS), "q04_merge_records": (merged, MERGED), "q05_distinct_lines": (lines, LINES), "q06_registry_rules": (registry, REGISTRY), "q06_storage_keys": (storage_keys, STORAGE), "q07_upsert": (upserted, UPSERTED), "q07_last_seen": (seen, SEEN), "q08_cascade": (cascade, CASCADE),
     "t01_ordered_telemetry": (ordered, ORDERED), "t02_place_search": (search, SEARCH), "t03_latest_active": (latest, LATEST), "t04_closest_to_target": (closest, CLOSEST), "t05_longest_segment": (longest, LONGEST),
     "j01_align_streams": (aligned, ALIGNED), "j02_row_pairs": (paired, PAIRED), "j03_known_sessions": (known, KNOWN), "j04_seed_segments": (seeded, SEEDED), "j05_nearby_edges": (nearby, NEARBY), "j06_roads_in_bbox": (in_box, IN_BOX), "j07_nearest_roads": (nearest, NEAREST), "j08_way_nodes": (way_nodes, WAY_NODES), "j09_attach_predictions": (attached, ATTACHED), "j10_pair_within": (within, WITHIN), "j11_last_at_or_before": (asof, ASOF), "j12_records_in_windows": (scripted, SCRIPTED), "j13_match_anchors": (anchors, ANCHORS), "j14_match_descriptors": (descriptors, DESCRIPTORS),
-    "g04_bounded_routes": (routes, ROUTES), "g05_components": (components, COMPONENTS), "g05_topology": (network_topology, TOPOLOGY), "a25_graph_summary": (network_summary, NET_SUMMARY), "a26_road_coverage": (coverage, COVERAGE),
 }
