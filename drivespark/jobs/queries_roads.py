@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import graph as G
 from ..operators import matching as M
+from ..operators import noding as N
 from ..session import read_table
 from .demo import ROAD_POSITIONS, ROADS, road_positions, roads
 from .queries_aggregates import rounded
@@ -110,7 +112,39 @@ def matched(spark, sf):
     return rounded(M.match_to_roads(road_positions(spark, sf), roads(spark, sf), vehicle="cars"))
 
 
+def _loose(spark, sf):
+    """A road line of three vertices for each part, a dozen to a block of some 200 m."""
+    k = c("p_partkey")
+    block = F.floor(k / 12)
+    lat0, lon0 = F.lit(12.0) + F.floor(block / 40) * 0.003, F.lit(77.0) + block % 40 * 0.003
+    at = lambda a, b: (lat0 + k * a % 11 * 0.0002, lon0 + k * b % 11 * 0.0002)
+    return read_table(spark, sf, "part").select(k.alias("line_id"), F.array(*at(7, 5), *at(3, 8), *at(9, 2)).alias("polyline"), (c("p_size") % 4 == 0).alias("one_way"), (c("p_size") % 9 == 0).alias("elevated"))
+
+
+def noded(spark, sf):
+    """Pieces of all lines, with the number of points of each."""
+    _, edges = N.node_road_lines(_loose(spark, sf), ref_lat=12.0)
+    return rounded(edges.select("line_id", "piece", "from_node", "to_node", "one_way", F.size("polyline").alias("n_values"), geo.polyline_length_m(c("polyline")).alias("length_m")))
+
+
+def crossed(spark, sf):
+    """Where the parts' lines cross, in metres."""
+    at = lambda i: F.element_at("polyline", i) * N.METRES_PER_DEGREE
+    seg = lambda s: F.struct(F.lit(s).alias("seg"), at(2 * s + 2).alias("ax"), at(2 * s + 1).alias("ay"), at(2 * s + 4).alias("bx"), at(2 * s + 3).alias("by"))
+    s = _loose(spark, sf).select("line_id", F.inline(F.array(seg(0), seg(1))))
+    return N.crossings(s).select("line_a", "seg_a", "line_b", "seg_b", F.round("t", 4).alias("t"), F.round("u", 4).alias("u"), F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+CROSSED = """WITH l AS (SELECT p_partkey AS k, 12.0::DOUBLE + p_partkey // 12 // 40 * 0.003::DOUBLE AS lat0, 77.0::DOUBLE + p_partkey // 12 % 40 * 0.003::DOUBLE AS lon0 FROM part),
+s AS (SELECT k, i AS seg, (lon0 + k * q[i + 1] % 11 * 0.0002::DOUBLE) * 111320.0::DOUBLE AS ax, (lat0 + k * p[i + 1] % 11 * 0.0002::DOUBLE) * 111320.0::DOUBLE AS ay, (lon0 + k * q[i + 2] % 11 * 0.0002::DOUBLE) * 111320.0::DOUBLE AS bx, (lat0 + k * p[i + 2] % 11 * 0.0002::DOUBLE) * 111320.0::DOUBLE AS by
+  FROM (SELECT *, [7, 3, 9] AS p, [5, 8, 2] AS q FROM l) CROSS JOIN (VALUES (0), (1)) v(i)),
+j AS (SELECT a.k AS line_a, a.seg AS seg_a, b.k AS line_b, b.seg AS seg_b, a.ax, a.ay, a.bx - a.ax AS ex, a.by - a.ay AS ey, b.bx - b.ax AS fx, b.by - b.ay AS fy, b.ax - a.ax AS hx, b.ay - a.ay AS hy
+  FROM s a JOIN s b ON a.k < b.k AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) AND least(a.ay, a.by) <= greatest(b.ay, b.by) AND least(b.ay, b.by) <= greatest(a.ay, a.by)),
+m AS (SELECT *, sqrt(ex * ex + ey * ey) AS la, sqrt(fx * fx + fy * fy) AS lb, ex * fy - ey * fx AS d FROM j),
+t AS (SELECT *, (hx * fy - hy * fx) / d AS t, (hx * ey - hy * ex) / d AS u FROM m WHERE la * lb >= 1e-9 AND abs(d) >= 0.3 * la * lb)
+SELECT line_a, seg_a, line_b, seg_b, round(t, 4) AS t, round(u, 4) AS u, round(ax + t * ex, 2) AS x, round(ay + t * ey, 2) AS y FROM t WHERE t * la >= 1.5 AND (1 - t) * la >= 1.5 AND u * lb >= 1.5 AND (1 - u) * lb >= 1.5"""
+
 CASES = {
     "g04_bounded_routes": (routes, ROUTES), "g04_projected_routes": (projected_routes, PROJECTED), "g05_components": (components, COMPONENTS), "g05_topology": (network_topology, TOPOLOGY), "a25_graph_summary": (network_summary, NET_SUMMARY), "a26_road_coverage": (coverage, COVERAGE),
-    "g06_candidates": (candidates, CANDIDATES), "g06_match": (matched, None),
+    "g02_node_lines": (noded, None), "g02_crossings": (crossed, CROSSED), "g06_candidates": (candidates, CANDIDATES), "g06_match": (matched, None),
 }
