@@ -120,7 +120,10 @@ def _pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit_order(counted: DataFrame, n_terms: int, n_docs: int) -> Tree:
     """The bisection tree of the sample with the least hashes, with leaves for about ``SHARD_DOCS`` documents each."""
     levels = min(LEVELS, max(0, n_docs // SHARD_DOCS).bit_length())
-    rows = counted.where(F.size("terms") > 0).select(row_key("doc_id", "terms").alias("h"), "terms").orderBy("h").limit(SAMPLE_DOCS if levels else 0).toPandas()
+    # Only hashes that can be among the least are sorted: else each task would send the driver a sample of its own.
+    below = min(1 << 63, (SAMPLE_DOCS << 64) // max(1, n_docs)) - 1
+    keyed = counted.where(F.size("terms") > 0).select(F.shiftrightunsigned(row_key("doc_id", "terms"), 1).alias("h"), "terms")
+    rows = keyed.where(F.col("h") <= F.lit(below)).orderBy("h").limit(SAMPLE_DOCS if levels else 0).toPandas()
     sizes = rows["terms"].map(len).to_numpy(np.int64)
     terms = np.concatenate([np.zeros(0, np.int64), *(np.asarray(t, np.int64) for t in rows["terms"])])
     return fit_tree(np.repeat(np.arange(len(rows)), sizes), terms, len(rows), n_terms, levels)
