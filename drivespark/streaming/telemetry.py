@@ -45,11 +45,18 @@ def session_windows(stream: DataFrame, gap: str = "30 seconds", ts: str = "times
 
 
 def write_and_publish(stream: DataFrame, table_path: str, checkpoint: str, publish: Callable[[DataFrame, int], None] | None = None, **trigger):
-    """Appends each batch under its batch id, then publishes the same rows: a batch that is replayed overwrites itself, so a
-    failed publish neither loses nor repeats rows."""
+    """Appends each batch under the query's id and its batch id, then publishes the same rows: a batch that is replayed
+    overwrites itself, so a failed publish neither loses nor repeats rows. The query's id is its checkpoint's, so another
+    query (or a new checkpoint) that writes to the same table overwrites nothing."""
+    known: list[str] = []
+
+    def query_id(spark: SparkSession) -> str:
+        if not known:
+            known.append(spark.read.json(f"{checkpoint}/metadata").first()["id"])
+        return known[0]
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        target = f"{table_path}/batch_id={batch_id}"
+        target = f"{table_path}/query_id={query_id(batch.sparkSession)}/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(target)
         if publish is not None:
             publish(batch.sparkSession.read.parquet(target), batch_id)
