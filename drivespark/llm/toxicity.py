@@ -132,8 +132,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, rest: int, most: int, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> list[tuple[bytes, int]]:
     """Whole texts and labels of labelled rows outside the held-out part, in the order of a hash of id.
 
-    At most ``most`` rows and ``size`` bytes: the first that would exceed them ends the sample, so no text is cut. The
-    picked ids are bounded, so they may be broadcast; texts that were not picked never leave their task.
+    At most ``most`` rows and ``size`` bytes of texts: a text that has no room among those before it is left out as a whole
+    and the next ones go on, so one very long text neither ends nor empties the sample, and no text is cut. The picked ids are bounded, so they may be broadcast; texts that were not picked never leave their task.
     """
     size = SAMPLE_BYTES if size is None else size
     picked = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i"), parts, rest))
@@ -142,10 +142,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, parts: int
     rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("t"), F.octet_length(text).alias("size"), text.alias("text"))
     found, held, keys = rows.join(F.broadcast(picked), "i").orderBy(F.xxhash64("i"), "i", "t").select("i", "t", "size", "y").limit(most).collect(), 0, []
     for r in found:
-        held += r["size"]
-        if held > size:
-            break
-        keys.append((r.i, r.t, r.y))
+        if held + r["size"] <= size:
+            held += r["size"]
+            keys.append((r.i, r.t, r.y))
     if not keys:
         return []
     kind = docs.schema[id_col].dataType.simpleString()
