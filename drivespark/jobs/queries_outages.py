@@ -64,7 +64,7 @@ def _fixes(spark, sf):
     d, i = channels(spark, sf), c("i")
     return d.select(
         c("trip_id").alias("drive"), (i * 1_000_000).cast("long").alias("t_us"), (F.lit(12.0) + (i * 12 + c("speed_ms")) / 111_000).alias("lat"), (F.lit(77.0) + i % 50 / 100_000.0).alias("lon"), (F.lit(5.0) + i % 11).alias("accuracy_m"),
-        F.when(i % 7 != 3, c("speed_ms")).alias("speed"), F.when(i % 5 != 2, c("heading_deg")).alias("bearing"), (i % 31 == 7).alias("mocked"), i.alias("i"),
+        F.when(i % 7 != 3, c("speed_ms") * 1.0488088481701516).alias("speed"), F.when(i % 5 != 2, c("heading_deg")).alias("bearing"), (i % 31 == 7).alias("mocked"), i.alias("i"),
     )
 
 
@@ -104,7 +104,7 @@ def _ned(lat0, lon0, lat1, lon1):
 _STEP = _ned("pa", "po", "lat", "lon")
 _M, _N = _radii("olat")
 _HELD = _ned("lat", "lon", "hlat", "hlon")
-_TRUTH = f"""fx AS (SELECT trip_id AS drive, i * 1000000 AS t_us, 12.0::DOUBLE + (i * 12 + speed_ms) / 111000 AS lat, 77.0::DOUBLE + (i % 50) / 100000.0::DOUBLE AS lon, 5.0::DOUBLE + i % 11 AS accuracy_m, CASE WHEN i % 7 <> 3 THEN speed_ms END AS speed, CASE WHEN i % 5 <> 2 THEN heading_deg END AS bearing, i % 31 = 7 AS mocked, i FROM chan),
+_TRUTH = f"""fx AS (SELECT trip_id AS drive, i * 1000000 AS t_us, 12.0::DOUBLE + (i * 12 + speed_ms) / 111000 AS lat, 77.0::DOUBLE + (i % 50) / 100000.0::DOUBLE AS lon, 5.0::DOUBLE + i % 11 AS accuracy_m, CASE WHEN i % 7 <> 3 THEN speed_ms * 1.0488088481701516::DOUBLE END AS speed, CASE WHEN i % 5 <> 2 THEN heading_deg END AS bearing, i % 31 = 7 AS mocked, i FROM chan),
 f0 AS (SELECT *, lag(t_us) OVER w AS pt, lag(lat) OVER w AS pa, lag(lon) OVER w AS po, lag(speed) OVER w AS ps FROM fx WHERE NOT mocked AND accuracy_m <= 12 WINDOW w AS (PARTITION BY drive ORDER BY t_us)),
 f1 AS (SELECT *, {_STEP[0]} AS sn, {_STEP[1]} AS se, (t_us - pt) / 1e6::DOUBLE AS gap FROM f0),
 f2 AS (SELECT *, sqrt(sn * sn + se * se) AS step, (degrees(atan2(se, sn)) + 360) - 360 * floor((degrees(atan2(se, sn)) + 360) / 360) AS course FROM f1),
@@ -153,12 +153,13 @@ SELECT drive, sensor, received, round(mean, 6) AS mean_us, lost AS dropped, roun
 
 
 def integrity(spark, sf):
-    d = channels(spark, sf).select(c("trip_id").alias("drive"), c("i").alias("t_us"), F.round(c("speed_ms") * 2.5, 3).alias("mean_cn0"), (c("i") % 9).alias("used"), (c("i") % 9 + c("i") % 5 * 4).alias("visible"))
+    # No short decimals: means of those lie on halves, which two engines round differently.
+    d = channels(spark, sf).select(c("trip_id").alias("drive"), c("i").alias("t_us"), (c("speed_ms") * 2.622022120425379).alias("mean_cn0"), (c("i") % 9).alias("used"), (c("i") % 9 + c("i") % 5 * 4).alias("visible"))
     return rounded(M.signal_integrity(d))
 
 
-INTEGRITY = f"""WITH {CHAN}, s AS (SELECT trip_id AS drive, i AS t_us, round(speed_ms * 2.5::DOUBLE, 3) AS mean_cn0, i % 9 AS used, i % 9 + i % 5 * 4 AS visible FROM chan), k AS (SELECT *, CASE WHEN visible > 0 THEN mean_cn0 - avg(mean_cn0) OVER (PARTITION BY drive, visible > 0 ORDER BY t_us ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS ch, CASE WHEN visible > 0 THEN used / visible::DOUBLE ELSE 0 END AS ratio FROM s)
-SELECT drive, t_us, mean_cn0, used, visible, round(ch, 6) AS change_cn0, round(ratio, 6) AS used_ratio, CASE WHEN visible = 0 THEN 'degraded' WHEN ch <= -12 AND ratio < 0.35 THEN 'anomaly' WHEN mean_cn0 < 25 OR ratio < 0.35 THEN 'degraded' ELSE 'healthy' END AS state FROM k"""
+INTEGRITY = f"""WITH {CHAN}, s AS (SELECT trip_id AS drive, i AS t_us, speed_ms * 2.622022120425379::DOUBLE AS mean_cn0, i % 9 AS used, i % 9 + i % 5 * 4 AS visible FROM chan), k AS (SELECT *, CASE WHEN visible > 0 THEN mean_cn0 - avg(mean_cn0) OVER (PARTITION BY drive, visible > 0 ORDER BY t_us ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS ch, CASE WHEN visible > 0 THEN used / visible::DOUBLE ELSE 0 END AS ratio FROM s)
+SELECT drive, t_us, round(mean_cn0, 6) AS mean_cn0, used, visible, round(ch, 6) AS change_cn0, round(ratio, 6) AS used_ratio, CASE WHEN visible = 0 THEN 'degraded' WHEN ch <= -12 AND ratio < 0.35 THEN 'anomaly' WHEN mean_cn0 < 25 OR ratio < 0.35 THEN 'degraded' ELSE 'healthy' END AS state FROM k"""
 
 
 def turns(spark, sf):

@@ -17,13 +17,13 @@ _MER, _NOR = "6378137.0::DOUBLE * (1 - 0.00669437999014::DOUBLE) / pow(1 - 0.006
 
 
 def _lines(spark, sf):
-    """An edge for each order line, from its order's node to another of the same 64 nodes."""
+    """An edge for each order line, from its order's node to another of the same 16 nodes."""
     k = c("l_orderkey")
-    block = F.floor(k / 64) * 64
-    return read_table(spark, sf, "lineitem").select(k.alias("from_node"), (block + c("l_partkey") % (F.floor(k / 64) % 60 + 4)).alias("to_node"), (c("l_quantity").cast("double") + 1).alias("length_m"), (k % 4 == 0).alias("one_way"), (k % 5).alias("region"), F.when(k % 2 == 0, "primary").otherwise("residential").alias("class"), F.when(k % 3 > 0, F.lit("n")).alias("name"), F.when(k % 7 == 0, 13.9).alias("max_speed_mps"), (k % 10 == 1).alias("tunnel"))
+    block = F.floor(k / 16) * 16
+    return read_table(spark, sf, "lineitem").select(k.alias("from_node"), (block + c("l_partkey") % (F.floor(k / 16) % 12 + 4)).alias("to_node"), (c("l_quantity").cast("double") + 1).alias("length_m"), (k % 4 == 0).alias("one_way"), (k % 5).alias("region"), F.when(k % 2 == 0, "primary").otherwise("residential").alias("class"), F.when(k % 3 > 0, F.lit("n")).alias("name"), F.when(k % 7 == 0, 13.9).alias("max_speed_mps"), (k % 10 == 1).alias("tunnel"))
 
 
-_LINES = "edg AS (SELECT l_orderkey AS a, l_orderkey // 64 * 64 + l_partkey % (l_orderkey // 64 % 60 + 4) AS b, l_quantity::DOUBLE + 1 AS m, l_orderkey % 4 = 0 AS ow, l_orderkey % 5 AS region, CASE WHEN l_orderkey % 2 = 0 THEN 'primary' ELSE 'residential' END AS class, l_orderkey % 3 > 0 AS named, l_orderkey % 7 = 0 AS lim, l_orderkey % 10 = 1 AS tunnel FROM lineitem)"
+_LINES = "edg AS (SELECT l_orderkey AS a, l_orderkey // 16 * 16 + l_partkey % (l_orderkey // 16 % 12 + 4) AS b, l_quantity::DOUBLE + 1 AS m, l_orderkey % 4 = 0 AS ow, l_orderkey % 5 AS region, CASE WHEN l_orderkey % 2 = 0 THEN 'primary' ELSE 'residential' END AS class, l_orderkey % 3 > 0 AS named, l_orderkey % 7 = 0 AS lim, l_orderkey % 10 = 1 AS tunnel FROM lineitem)"
 
 
 def components(spark, sf):
