@@ -8,6 +8,7 @@ from ..functions import geo
 from ..operators import graph as G
 from ..operators import matching as M
 from ..operators import noding as N
+from ..operators import tiles as T
 from ..session import read_table
 from .demo import ROAD_POSITIONS, ROADS, road_positions, roads
 from .queries_aggregates import rounded
@@ -144,7 +145,27 @@ m AS (SELECT *, sqrt(ex * ex + ey * ey) AS la, sqrt(fx * fx + fy * fy) AS lb, ex
 t AS (SELECT *, (hx * fy - hy * fx) / d AS t, (hx * ey - hy * ex) / d AS u FROM m WHERE la * lb >= 1e-9 AND abs(d) >= 0.3 * la * lb)
 SELECT line_a, seg_a, line_b, seg_b, round(t, 4) AS t, round(u, 4) AS u, round(ax + t * ex, 2) AS x, round(ay + t * ey, 2) AS y FROM t WHERE t * la >= 1.5 AND (1 - t) * la >= 1.5 AND u * lb >= 1.5 AND (1 - u) * lb >= 1.5"""
 
+
+def clipped(spark, sf):
+    """The parts of each line in the middle of its block."""
+    block = F.floor(c("line_id") / 12)
+    south, west = F.lit(12.00045) + F.floor(block / 40) * 0.003, F.lit(77.00045) + block % 40 * 0.003
+    d = T.clip_to_box(_loose(spark, sf), south, west, south + 0.001, west + 0.001)
+    return d.select("line_id", "piece", F.size("polyline").alias("n_values"), F.round(F.aggregate("polyline", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+CLIPPED = """WITH l AS (SELECT p_partkey AS k, 12.0::DOUBLE + p_partkey // 12 // 40 * 0.003::DOUBLE AS lat0, 77.0::DOUBLE + p_partkey // 12 % 40 * 0.003::DOUBLE AS lon0 FROM part),
+g AS (SELECT k, i, lat0 + 0.00045::DOUBLE AS s, lon0 + 0.00045::DOUBLE AS w, lat0 + k * p[i + 1] % 11 * 0.0002::DOUBLE AS y, lon0 + k * q[i + 1] % 11 * 0.0002::DOUBLE AS x, lat0 + k * p[i + 2] % 11 * 0.0002::DOUBLE AS y2, lon0 + k * q[i + 2] % 11 * 0.0002::DOUBLE AS x2 FROM (SELECT *, [7, 3, 9] AS p, [5, 8, 2] AS q FROM l) CROSS JOIN (VALUES (0), (1)) v(i)),
+d AS (SELECT *, y2 - y AS dy, x2 - x AS dx FROM g),
+t AS (
+  SELECT *, greatest(0, CASE WHEN dx > 0 THEN (w - x) / dx WHEN dx < 0 THEN (w + 0.001::DOUBLE - x) / dx END, CASE WHEN dy > 0 THEN (s - y) / dy WHEN dy < 0 THEN (s + 0.001::DOUBLE - y) / dy END) AS t0,
+         least(1, CASE WHEN dx > 0 THEN (w + 0.001::DOUBLE - x) / dx WHEN dx < 0 THEN (w - x) / dx END, CASE WHEN dy > 0 THEN (s + 0.001::DOUBLE - y) / dy WHEN dy < 0 THEN (s - y) / dy END) AS t1 FROM d),
+c AS (SELECT * FROM t WHERE t0 <= t1 AND (dx <> 0 OR x BETWEEN w AND w + 0.001::DOUBLE) AND (dy <> 0 OR y BETWEEN s AND s + 0.001::DOUBLE)),
+j AS (SELECT a.*, NOT coalesce(a.t0 = 0 AND b.t1 = 1, false) AS fresh FROM c a LEFT JOIN c b ON b.k = a.k AND b.i = a.i - 1),
+n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY k ORDER BY i) - 1 AS piece FROM j)
+SELECT k AS line_id, piece::BIGINT AS piece, sum(CASE WHEN fresh THEN 4 ELSE 2 END)::INT AS n_values, round(sum(CASE WHEN fresh THEN y + t0 * dy + x + t0 * dx ELSE 0 END + y + t1 * dy + x + t1 * dx), 5) AS total FROM n GROUP BY k, piece"""
+
 CASES = {
     "g04_bounded_routes": (routes, ROUTES), "g04_projected_routes": (projected_routes, PROJECTED), "g05_components": (components, COMPONENTS), "g05_topology": (network_topology, TOPOLOGY), "a25_graph_summary": (network_summary, NET_SUMMARY), "a26_road_coverage": (coverage, COVERAGE),
-    "g02_node_lines": (noded, None), "g02_crossings": (crossed, CROSSED), "g06_candidates": (candidates, CANDIDATES), "g06_match": (matched, None),
+    "g02_node_lines": (noded, None), "g02_crossings": (crossed, CROSSED), "g03_clip_to_tile": (clipped, CLIPPED), "g06_candidates": (candidates, CANDIDATES), "g06_match": (matched, None),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ellipsoid as E
 from ..operators import flags as L
+from ..operators import motion as M
 from ..operators import vibration as V
 from .demo import CHAN, channels
 from .queries_aggregates import rounded
@@ -109,4 +110,18 @@ p AS (SELECT *, last_value(CASE WHEN ratio IS NOT NULL THEN sc END IGNORE NULLS)
 s AS (SELECT *, CASE WHEN trusted AND scale * peak_hz BETWEEN 4 AND 45 THEN scale * peak_hz END AS speed_mps FROM p)
 SELECT drive_id, t_us, round(peak_hz, 6) AS peak_hz, round(ratio, 6) AS ratio, round(scale, 6) AS scale, trusted, round(speed_mps, 6) AS speed_mps, round(CASE WHEN speed_mps IS NOT NULL THEN greatest(0.4, least(2.5, sqrt(pow(speed_mps * spread, 2) + pow(scale * 0.1::DOUBLE, 2)))) END, 6) AS sigma_mps FROM s"""
 
-CASES = {"w33_fault_flags": (flags, FLAGS), "a31_normal_sums": (normals, NORMALS), "a31_ellipsoid_fit": (ellipsoids, None), "w26_vibration": (vibration, None), "w26_scale": (scales, SCALES)}
+
+def yaw(spark, sf):
+    d = channels(spark, sf).select(c("trip_id").alias("drive_id"), (c("i").cast("long") * 100_000 + c("i") % 3 * 7_000).alias("t_us"), "ax", "ay", "az", "gx", "gy", "gz")
+    return rounded(M.yaw_rate_invariant(d).select("drive_id", "t_us", "yaw_rate", "wobble_deg", "handling"))
+
+
+YAW = f"""WITH RECURSIVE {CHAN}, s AS (SELECT trip_id AS k, i, i * 100000 + i % 3 * 7000 AS t, ax, ay, az, gx, gy, gz FROM chan),
+r AS (SELECT k, i, t, ax AS x, ay AS y, az AS z FROM s WHERE i = 0 UNION ALL
+  SELECT k, i, t, x * a + ax * (1 - a), y * a + ay * (1 - a), z * a + az * (1 - a) FROM (SELECT s.*, r.x, r.y, r.z, exp(-((s.t - r.t) / 1000000.0::DOUBLE) / 2) AS a FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1) q),
+u AS (SELECT r.k, r.t, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z, gx, gy, gz FROM r JOIN s ON s.k = r.k AND s.i = r.i),
+w AS (SELECT *, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, first_value(z) OVER w AS fz FROM u WINDOW w AS (PARTITION BY k ORDER BY t RANGE BETWEEN 1000000 PRECEDING AND CURRENT ROW)),
+o AS (SELECT k, t, -(gx * x + gy * y + gz * z) AS yaw, degrees(acos(greatest(-1, least(1, fx * x + fy * y + fz * z)))) AS wobble FROM w)
+SELECT k AS drive_id, t AS t_us, round(yaw, 6) AS yaw_rate, round(wobble, 6) AS wobble_deg, wobble > 3 AS handling FROM o"""
+
+CASES = {"w33_fault_flags": (flags, FLAGS), "a31_normal_sums": (normals, NORMALS), "a31_ellipsoid_fit": (ellipsoids, None), "w26_vibration": (vibration, None), "w26_scale": (scales, SCALES), "w30_yaw_rate": (yaw, YAW)}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..staging import staged
 
 #: A table of at most this many rows may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -108,16 +109,18 @@ def roads_in_bbox(segments: DataFrame, south: float, west: float, north: float,
 
 
 def nearest_roads(points: DataFrame, edges: DataFrame, k: int = 5, max_m: float = 5_000.0, start_m: float = 100.0, **grid) -> DataFrame:
-    """The ``k`` nearest segments of each point up to ``max_m``: the radius grows fourfold for the points that lack some."""
+    """The ``k`` nearest segments of each point up to ``max_m``: the radius grows fourfold for the points that lack some.
+
+    Each round is written once, so no radius is searched again for the next one."""
     found, left, radius = None, points, start_m
     while True:
-        near = nearby_edges(left, edges, radius, k, max(250.0, radius), **grid)
+        near = staged(nearby_edges(left, edges, radius, k, max(250.0, radius), **grid))
         full = near.groupBy("point_id").agg(F.count("*").alias("n")).where(F.lit(radius >= max_m) | (F.col("n") >= k)).select("point_id")
         part = near.join(full, "point_id", "left_semi")
         found = part if found is None else found.unionByName(part)
         if radius >= max_m:
             return found
-        left, radius = left.join(full, "point_id", "left_anti"), min(max_m, radius * 4)
+        left, radius = staged(left.join(full, "point_id", "left_anti")), min(max_m, radius * 4)
 
 
 def way_nodes_join(ways: DataFrame, nodes: DataFrame) -> DataFrame:
