@@ -46,7 +46,7 @@ def corpus(seed=3):
     return docs, items
 
 
-@pytest.mark.parametrize(("shard", "block_items", "block_terms"), [(40, 1000, 16384), (100_000, 1000, 16384), (60, 7, 40)])
+@pytest.mark.parametrize(("shard", "block_items", "block_terms"), [(40, 1000, 16384), (100_000, 17, 150)])
 def test_equals_brute_force(spark, monkeypatch, shard, block_items, block_terms):
     monkeypatch.setattr(lexical, "SHARD_DOCS", shard)
     monkeypatch.setattr(lexical, "VISITS", (1, 2))
