@@ -17,12 +17,14 @@ from ..staging import staged
 PIECE = 50_000
 
 
-def carried(rows: DataFrame, key: str, order: list[str], columns: list[str], step: Callable, schema: str, piece: int = PIECE) -> DataFrame:
+def carried(rows: DataFrame, key: str, order: list[str], columns: list[str], step: Callable, schema: str, piece: int = PIECE, beside: DataFrame | None = None) -> DataFrame:
     """``rows`` with the columns of ``schema`` that ``step`` gives, row after row of each key, in ``order``.
 
     ``step(frame, state)`` gets ``columns`` of at most ``piece`` rows in order, and what it returned for the rows before (None
     at first); it returns a frame of the new columns, a row for each row, and a state that JSON can hold. All keys' first
     pieces are done side by side, then the second ones; keys with fewer rows than a piece take one round. A null key is a key.
+    With ``beside`` (columns of its own, besides the key) ``step`` gets as a third argument what that holds for the key, once
+    for each piece.
     """
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
     numbered = staged(rows.withColumn("__n", n.cast("long")))
@@ -30,10 +32,12 @@ def carried(rows: DataFrame, key: str, order: list[str], columns: list[str], ste
     out = StructType([numbered.schema[key], StructField("__n", numbered.schema["__n"].dataType), *added, StructField("__state", StringType())])
     names = [f.name for f in added]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame, *own: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty:  # a key of ``beside`` alone
+            return pd.DataFrame(columns=out.names)
         frame = frame.sort_values("__n")
         before = frame["__state"].iloc[0] if "__state" in frame else None
-        new, state = step(frame[columns], json.loads(before) if isinstance(before, str) else None)
+        new, state = step(frame[columns], json.loads(before) if isinstance(before, str) else None, *own)
         new = new.set_axis(frame.index)
         marks = [None] * (len(frame) - 1) + [json.dumps(state)]
         return pd.concat([frame[[key, "__n"]], new[names], pd.Series(marks, frame.index, object, name="__state")], axis=1)
@@ -44,7 +48,12 @@ def carried(rows: DataFrame, key: str, order: list[str], columns: list[str], ste
         own = numbered.where(F.floor(F.col("__n") / piece) == p).select(key, "__n", *(c for c in columns if c != key))
         if state is not None:
             own = own.join(state, own[key].eqNullSafe(state["__k"])).drop("__k")
-        done.append(staged(own.groupBy(key).applyInPandas(run, out)))
+        if beside is None:
+            new = own.groupBy(key).applyInPandas(lambda frame: run(frame), out)
+        else:
+            # Arity tells Spark what to pass, so that these are functions of one and of two arguments.
+            new = own.groupBy(key).cogroup(beside.groupBy(key)).applyInPandas(lambda frame, held: run(frame, held), out)
+        done.append(staged(new))
         state = done[-1].where("__state IS NOT NULL").select(F.col(key).alias("__k"), "__state")
     found = reduce(DataFrame.unionByName, done).drop("__state").withColumnRenamed(key, "__k").withColumnRenamed("__n", "__m")
     return numbered.join(found, numbered[key].eqNullSafe(found["__k"]) & (F.col("__n") == F.col("__m"))).drop("__k", "__n", "__m")
