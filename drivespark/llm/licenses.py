@@ -89,6 +89,25 @@ def needed_words(grams: DataFrame, threshold: float) -> list[str]:
     return sorted(r.w for r in under.withColumn("upto", upto).where(F.col("upto") - F.col("c") <= spared).select("r.w").distinct().collect())
 
 
+def _windows(hits: DataFrame, key: list[str], grams: DataFrame) -> DataFrame:
+    """``key, start, own, shared`` of windows of a template's length that start at one of its bigrams or end the text.
+
+    A bigram that the template has c times counts in a window unless c of its kind stand before it there. So it counts for all
+    starts from just behind the c-th one before it (or the window's length before it) to its own place, and what a window
+    shares is a running sum over the ends of such stretches: linear in the hits of a text, whose rows are sorted once.
+    """
+    at, last = F.col("at"), F.col("n") - F.col("t_n")
+    same = Window.partitionBy(*key, "bigram").orderBy("at")
+    # As many different counts as there are cost their sum in bigrams: few, for templates of any size.
+    counts = [r.t_c for r in grams.select("t_c").distinct().collect()]
+    before = F.coalesce(*(F.when(F.col("t_c") == n, F.lag("at", n).over(same)) for n in counts), F.lit(-1)) if counts else F.lit(-1)
+    d = hits.where("n > t_n").repartition(*key).select(*key, "at", "n", before.alias("before"))
+    event = lambda pos, delta, start: F.struct(pos.cast("long").alias("pos"), F.lit(delta).alias("delta"), F.lit(start).alias("asks"))
+    d = d.select(*key, F.inline(F.array(event(F.greatest(at - F.col("t_n"), "before") + 1, 1, False), event(at + 1, -1, False), event(F.least(at, last), 0, True))))
+    d = d.withColumn("shared", F.sum("delta").over(Window.partitionBy(*key).orderBy("pos")))
+    return d.where("asks").select(*key, F.col("pos").cast("int").alias("start"), F.col("t_n").alias("own"), "shared")
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, license, start, n_words, dice``: of each document and licence, the most similar span, if it reaches ``threshold``.
 
@@ -109,23 +128,15 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(F.col(f"`{id_col}`"), text).alias("k"), text.alias("text"))
     some = d.where(F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, needed_words(t, threshold) or [""]))))
     at = some.select("doc_id", "k", placed_words(F.col("text")).alias("ws")).where(F.size("ws") >= 2)
-    at = at.select("doc_id", "k", (F.size("ws") - 1).alias("n"), F.posexplode(placed_bigrams(F.col("ws"))).alias("at", "b")).select("doc_id", "k", "n", "at", "b.*")
+    # ``n`` is made before the rows of the bigrams, which else would all carry the words.
+    at = at.select("doc_id", "k", "ws", (F.size("ws") - 1).alias("n")).select("doc_id", "k", "n", F.posexplode(placed_bigrams(F.col("ws"))).alias("at", "b")).select("doc_id", "k", "n", "at", "b.*")
     hits = staged(at.join(small(t), "bigram").dropDuplicates([*key, "at"]))
 
-    need = F.ceil(F.col("t_n") * F.lit(ratio) - 1e-9).cast("int")
     fits = lambda n: (F.col(n) >= F.col("t_n") * ratio - 1e-9) & (F.col(n) * ratio <= F.col("t_n") + 1e-9)
     lines = hits.where(F.col("first").isNotNull() & fits("line_n")).select(*key, F.lit(1).alias("kind"), F.col("first").alias("start"), F.col("line_n").alias("own"), "bigram", "t_c")
     whole = hits.where(fits("n")).select(*key, F.lit(2).alias("kind"), F.lit(0).alias("start"), F.col("n").alias("own"), "bigram", "t_c")
-    lists = hits.groupBy(*key, "n").agg(F.sort_array(F.collect_list(F.struct("at", "bigram", "t_c"))).alias("l")).where((F.size("l") >= need) & (F.col("n") > F.col("t_n")))
-    # From the i-th shared bigram on, a window must hold ``need`` of them.
-    last = F.col("n") - F.col("t_n")
-    start = lambda x: F.least(x.at, last)
-    held = F.filter(F.transform("l", lambda x, i: F.struct(start(x).alias("start"), F.try_element_at("l", i + need).at.alias("until"))), lambda w: w.until < w.start + F.col("t_n"))
-    windows = lists.select(*key, "l", F.explode(F.array_distinct(F.transform(held, lambda w: w.start))).alias("start"))
-    windows = windows.select(*key, "start", F.col("t_n").alias("own"), F.explode(F.filter("l", lambda x: (x.at >= F.col("start")) & (x.at < F.col("start") + F.col("t_n")))).alias("x"))
-    windows = windows.select(*key, F.lit(3).alias("kind"), "start", "own", "x.bigram", "x.t_c")
-    spans = lines.unionByName(whole).unionByName(windows).groupBy(*key, "kind", "start", "own", "bigram", "t_c").agg(F.count("*").alias("c"))
+    spans = lines.unionByName(whole).groupBy(*key, "kind", "start", "own", "bigram", "t_c").agg(F.count("*").alias("c"))
     shared = spans.groupBy(*key, "kind", "start", "own").agg(F.sum(F.least("c", "t_c")).alias("shared"))
-    dice = shared.withColumn("dice", F.col("shared") * 2.0 / (F.col("own") + F.col("t_n"))).where(F.col("dice") >= threshold)
+    dice = shared.drop("kind").unionByName(_windows(hits, key, t)).withColumn("dice", F.col("shared") * 2.0 / (F.col("own") + F.col("t_n"))).where(F.col("dice") >= threshold)
     best = dice.groupBy(*key).agg(F.min(F.struct((-F.col("dice")).alias("d"), "start", "own")).alias("b"))
     return best.select("doc_id", "license", F.col("b.start").alias("start"), (F.col("b.own") + 1).alias("n_words"), (-F.col("b.d")).alias("dice"))
