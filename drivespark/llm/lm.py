@@ -9,8 +9,11 @@ subwords that start words and others are never in one class.
 A word's probability, given that a word starts, is that of its first subword's class, times a mixture of two ways within
 the class: by the word's share of all words there, in the whole corpus, and spelt, subword by subword, until the next one
 starts a word. The second way's share is that of words seen once. Both ways are probabilities, so all words together have
-at most 1, and a text's score is the log10 probability of its words and its end. The network is trained in numpy on the
-driver on a bounded sample of whole training texts; counts, shares and scores cover all texts.
+at most 1, and a text's score is the log10 probability of its words and its end. Counts, shares, classes, the network and
+scores cover all texts. The network starts from a few epochs over a bounded sample on the driver, then goes through every
+training text: in each of ``ROUNDS`` rounds, each task takes the network through its own share of the round's texts, and
+the tasks' networks are averaged, every row of them weighted by how often it was used. Classes likewise start from
+the sample's directions of ids, which one pass over all training texts makes anew.
 
 Scoring runs over windows of ``WINDOW`` subwords that overlap by ``WINDOW - STRIDE``: each subword is scored once, in the
 first window that holds it (so with at least the overlap as context, but for a text's first window), in batches of
@@ -20,7 +23,9 @@ windows with a causal mask. The counts of words that the ``HEAD`` most frequent
 from __future__ import annotations
 
 import base64
+import copy
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -40,11 +45,13 @@ WINDOW, STRIDE, DIM = 32, 28, 16
 #: Groups of subwords that start words, of others, and classes in each.
 FIRST, INNER, LEAVES = 10, 6, 16
 GROUPS = FIRST + INNER
-#: The network is trained on at most this many whole texts (the least hashes of id), up to this many subwords.
+#: The network starts from at most this many whole texts (the least hashes of id), up to this many subwords.
 SAMPLE_DOCS, SAMPLE_IDS = 3_000, 800_000
 #: Rows at most of the table of frequent words that every task gets; all other words are joined.
 HEAD = 131_072
 EPOCHS, BATCH, RATE = 4, 64, 0.01
+#: All training texts: parts that follow one another, windows of a step, and the rate of the first round, which falls from one to the next.
+ROUNDS, STEP, SLOW_RATE = 2, 256, 0.002
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END_HASH = xxhash.xxh64_intdigest(b"\n", 42)
 
@@ -155,6 +162,10 @@ class Network:
     def parts(self):
         return [self.embed, self.place, self.q, self.k, self.v, self.top, self.low]
 
+    def rows(self) -> list[np.ndarray]:
+        """Views of all that is learnt, as rows of ``DIM`` values; the first ``IDS`` rows are those of the ids."""
+        return [p.reshape(-1, DIM) for p in self.parts()]
+
 
 def topics(streams: list[np.ndarray], rounds: int = 3, size: int = 24, seed: int = 1) -> np.ndarray:
     """A direction for each id, alike for ids that occur in alike texts; 0 for ids that don't occur."""
@@ -189,11 +200,11 @@ def clusters(x: np.ndarray, mass: np.ndarray, k: int, seed: int = 2) -> np.ndarr
     return (x @ centre.T).argmax(axis=1)
 
 
-def make_network(counts: np.ndarray, starts: np.ndarray, once: np.ndarray, initial: np.ndarray, streams: list[np.ndarray] | None = None, seed: int = 3) -> Network:
+def make_network(counts: np.ndarray, starts: np.ndarray, once: np.ndarray, initial: np.ndarray, direction: np.ndarray | None = None, seed: int = 3) -> Network:
     """Untrained; classes and shares come from the corpus's counts of ids, ``starts`` those of words by their first id, ``once``
-    of words seen once; ``initial``: ids that start words. The end is a class of its own."""
+    of words seen once; ``initial``: ids that start words; ``direction``: see ``topics``. The end is a class of its own."""
     held = np.where(initial, starts, counts - starts) + 0.5
-    direction = topics(streams or [])
+    direction = topics([]) if direction is None else direction
     group, leaf = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
     for first, n, mine in ((0, FIRST, initial), (FIRST, INNER, ~initial)):
         ids = np.flatnonzero(mine & (np.arange(IDS) != END))
@@ -277,33 +288,148 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, live: np.ndarray):
     return loss, (ids, d_embed), [d_e.sum(axis=0), over(e, d_q), over(e, d_k), over(e, d_v), d_top, d_low]
 
 
+class Adam:
+    """Steps of ``net``, in place; of the ids' rows only those that occur are touched."""
+
+    def __init__(self, net: Network):
+        self.net, self.t, self.moments = net, 0, [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
+
+    def step(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, rate: float) -> float:
+        loss, (ids, d_embed), rest = gradients(self.net, x, y, live)
+        self.t += 1
+        rate *= math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        for part, (m, s), g, pick in zip(self.net.parts(), self.moments, [d_embed, *rest], [ids, *[slice(None)] * 6], strict=True):
+            m[pick] = 0.9 * m[pick] + 0.1 * g
+            s[pick] = 0.999 * s[pick] + 0.001 * g * g
+            part[pick] -= rate * m[pick] / (np.sqrt(s[pick]) + 1e-8)
+        return loss
+
+
 def train(net: Network, streams: list[np.ndarray], epochs: int | None = None, seed: int = 5) -> list[float]:
     """Adam over shuffled windows; returns each epoch's mean loss."""
     windows = [s for ids in streams for s in cut_windows(ids, WINDOW)]
     if not windows:
         return []
     x, y, live = (np.stack(c) for c in zip(*windows, strict=True))
-    rng, losses = np.random.default_rng(seed), []
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
+    rng, losses, adam = np.random.default_rng(seed), [], Adam(net)
     epochs = epochs or EPOCHS
-    t, steps = 0, epochs * -(-len(x) // BATCH)
+    steps = epochs * -(-len(x) // BATCH)
     for _ in range(epochs):
-        total = []
         order = rng.permutation(len(x))
-        for i in range(0, len(x), BATCH):
-            rows = order[i : i + BATCH]
-            loss, (ids, d_embed), rest = gradients(net, x[rows], y[rows], live[rows])
-            total.append(loss)
-            t += 1
-            rate = RATE * (1 - t / steps) * math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-            for part, (m, s), g, pick in zip(net.parts(), moments, [d_embed, *rest], [ids, *[slice(None)] * 6], strict=True):
-                m[pick] = 0.9 * m[pick] + 0.1 * g
-                s[pick] = 0.999 * s[pick] + 0.001 * g * g
-                part[pick] -= rate * m[pick] / (np.sqrt(s[pick]) + 1e-8)
-        losses.append(float(np.mean(total)))
+        rows = [order[i : i + BATCH] for i in range(0, len(x), BATCH)]
+        losses.append(float(np.mean([adam.step(x[r], y[r], live[r], RATE * (1 - (adam.t + 1) / steps)) for r in rows])))
     return losses
 
 
+def windows_of(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``cut_windows`` gives by ``WINDOW`` for all streams that lie end to end in ``flat``, stacked."""
+    ends = np.cumsum(sizes)
+    before = np.concatenate(([END], flat[:-1]))
+    before[(ends - sizes)[sizes > 0]] = END
+    number = -(-sizes // WINDOW)
+    doc = np.repeat(np.arange(len(sizes)), number)
+    turn = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+    at = ((ends - sizes)[doc] + turn * WINDOW)[:, None] + np.arange(WINDOW)
+    live = at < ends[doc][:, None]
+    np.minimum(at, max(0, len(flat) - 1), out=at)
+    return np.where(live, before[at], END), np.where(live, flat[at], END), live
+
+
+def subword_streams(texts: DataFrame, ranks, rounds: int = ROUNDS) -> DataFrame:
+    """``r, ids``: the round of each of ``texts(h, text)`` by its hash, and its subwords as 16-bit numbers."""
+
+    def run(batches):
+        words = Words(ranks.value, np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            held = byte_column(batch.column(1))
+            for a, b in groups(held):
+                _, _, lens, flat, sizes = words.streams(held[a:b])
+                cut = np.cumsum(np.add.reduceat(lens, np.cumsum(sizes) - sizes))
+                ids = [x.tobytes() for x in np.split(flat.astype(np.uint16), cut[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["r", "ids"])
+
+    return staged(texts.select(F.pmod("h", F.lit(rounds)).cast("int").alias("r"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "r int, ids binary"))
+
+
+def _stream_blocks(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(subwords end to end, sizes) of the streams of ``subword_streams``, by about a million bytes."""
+    for batch in batches:
+        held = byte_column(batch.column("ids"))
+        for a, b in groups(held):
+            yield np.frombuffer(b"".join(held[a:b]), np.uint16).astype(np.int64), np.array([len(x) // 2 for x in held[a:b]])
+
+
+def _row_batch(i: np.ndarray, n: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(v.astype(np.float64).reshape(-1)), v.shape[1]).cast(pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(n.astype(np.float64)), lists], names=["i", "n", "v"])
+
+
+def _summed(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n and of each place of v by i, of ``rows(i, n, v)``; a row for each i, so of the model's size, reaches the driver."""
+    t = rows.groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(width))).toArrow()
+    return t.column("i").to_numpy(), t.column("n").to_numpy(), np.stack([t.column(f"v{j}").to_numpy() for j in range(width)], axis=1)
+
+
+def corpus_directions(streams: DataFrame, direction: np.ndarray) -> np.ndarray:
+    """``direction`` made anew from all texts: a text's is the mean of its distinct ids', an id's the mean of those of the
+    texts that hold it, from the mean of all texts."""
+    shared, size = streams.sparkSession.sparkContext.broadcast(direction), direction.shape[1]
+
+    def run(batches):
+        held, n, total = np.zeros((IDS, size)), np.zeros(IDS), np.zeros(size + 1)
+        for flat, sizes in _stream_blocks(batches):
+            pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * IDS + flat)
+            doc, ids = pairs // IDS, pairs % IDS
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            mean = np.add.reduceat(shared.value[ids], first, axis=0) / np.diff(np.r_[first, len(doc)])[:, None]
+            total += [*mean.sum(axis=0), len(mean)]
+            row = np.repeat(np.arange(len(mean)), np.diff(np.r_[first, len(doc)]))
+            n += np.bincount(ids, minlength=IDS)
+            for j in range(size):
+                held[:, j] += np.bincount(ids, mean[row, j], IDS)
+        i = np.flatnonzero(n)
+        yield _row_batch(np.r_[i, IDS], np.r_[n[i], total[-1]], np.r_[held[i], total[None, :-1]])
+
+    i, n, v = _summed(streams.mapInArrow(run, "i long, n double, v array<double>"), size)
+    mean, out = v / np.maximum(1, n)[:, None], np.zeros_like(direction)
+    out[i[i < IDS]] = (mean - mean[i == IDS].sum(axis=0))[i < IDS]
+    return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9).astype(out.dtype)
+
+
+def train_on_all(net: Network, streams: DataFrame, rounds: int = ROUNDS) -> list[int]:
+    """``net`` taken through every stream, in place; returns how many subwords each round has learnt from."""
+    seen = []
+    for r in range(rounds):
+        shared, rate = streams.sparkSession.sparkContext.broadcast(net), SLOW_RATE * (1 - r / rounds)
+
+        def run(batches, shared=shared, rate=rate, r=r):
+            own = copy.deepcopy(shared.value)
+            adam, rng, used, places = Adam(own), np.random.default_rng(r), np.zeros(IDS), 0
+            for flat, sizes in _stream_blocks(batches):
+                x, y, live = windows_of(flat, sizes)
+                order = rng.permutation(len(x))
+                for i in range(0, len(x), STEP):
+                    rows = order[i : i + STEP]
+                    adam.step(x[rows], y[rows], live[rows], rate)
+                used += np.bincount(x[live], minlength=IDS)
+                places += int(live.sum())
+            if places:
+                values = np.concatenate(own.rows())
+                n = np.r_[used, np.full(len(values) - IDS, places)]
+                i = np.flatnonzero(n)
+                yield _row_batch(i, n[i], values[i] * n[i, None])
+
+        i, n, v = _summed(streams.where(F.col("r") == r).mapInArrow(run, "i long, n double, v array<double>"), DIM)
+        shared.unpersist()
+        seen.append(int(n.max(initial=0)))
+        first = 0
+        for rows in net.rows():
+            mine = (i >= first) & (i < first + len(rows))
+            rows[i[mine] - first] = v[mine] / n[mine, None]
+            first += len(rows)
+    return seen
+
+
 def cut_windows(ids: np.ndarray, stride: int):
     """(inputs, what follows, which places count) for windows of a stream that starts after an END."""
     before = np.concatenate(([END], ids[:-1]))
@@ -438,8 +564,10 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, parts: int = 5, res
             break
         streams.append(ids)
         held += len(ids)
-    net = make_network(*_subword_counts(by_word, ranks), word_starts(ranks), streams)
+    whole_streams = subword_streams(every, spark.sparkContext.broadcast(ranks))
+    net = make_network(*_subword_counts(by_word, ranks), word_starts(ranks), corpus_directions(whole_streams, topics(streams)))
     train(net, streams)
+    train_on_all(net, whole_streams)
     del words, streams
     shared = spark.sparkContext.broadcast((ranks, net, head_w, head_c))
     keyed = d.select(row_key("doc_id", "text").alias("k"), F.col("text").cast("binary").alias("text"), "doc_id")
