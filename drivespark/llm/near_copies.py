@@ -100,6 +100,12 @@ def leaders_first(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"g": table.column("g"), "node": table.column("node"), "stays": pa.array(stays, pa.bool_()), "shingles": table.column("shingles")})
 
 
+def leading(led: DataFrame, others: DataFrame) -> DataFrame:
+    """``g, held``: the shingles of the leaders that stay, for those groups alone that have ``others`` to compare with them."""
+    wanted = small(staged(others.select("g").distinct()))
+    return led.where("stays").join(wanted, "g", "left_semi").groupBy("g").agg(F.collect_list("shingles").alias("held"))
+
+
 def unlike_those_that_stay(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``node``: those of ``members(g, node, turn, shingles)`` that go, as the third step has it; ``turn`` orders a group."""
     gone, most = members.select("node").where("false"), LEADERS
@@ -108,8 +114,12 @@ def unlike_those_that_stay(members: DataFrame, similarity: float = SIMILARITY) -
         place = F.row_number().over(Window.partitionBy("g").orderBy("turn", "node"))
         few = left.withColumn("place", place).where(F.col("place") <= most).drop("place")
         led = staged(few.groupBy("g").applyInArrow(lambda t: leaders_first(t, similarity), "g long, node long, stays boolean, shingles binary"))
-        lists = small(staged(led.where("stays").groupBy("g").agg(F.collect_list("shingles").alias("held"), F.sum(F.length("shingles")).alias("size"))))
-        rest = left.join(small(led.select("node")), "node", "left_anti").join(lists.drop("size"), "g")
+        gone = gone.unionByName(led.where("NOT stays").select("node"))
+        others = staged(left.join(small(led.select("node")), "node", "left_anti"))
+        if others.isEmpty():
+            return gone
+        lists = small(staged(leading(led, others)))
+        rest = others.join(lists, "g")
 
         def compare(batches):
             for b in batches:
@@ -124,7 +134,7 @@ def unlike_those_that_stay(members: DataFrame, similarity: float = SIMILARITY) -
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select("g", "node", "turn", "shingles").schema)
         after = staged(rest.select("g", "node", "turn", "shingles", "held").mapInArrow(compare, f"{kinds}, hit boolean"))
-        gone = gone.unionByName(led.where("NOT stays").select("node")).unionByName(after.where("hit").select("node"))
+        gone = gone.unionByName(after.where("hit").select("node"))
         left, most = after.where("NOT hit").drop("hit"), min(MOST, most * GROWTH)
     return gone
 
