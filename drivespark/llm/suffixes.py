@@ -8,26 +8,31 @@
    initial buckets by eight bytes (and their place in relation to the pointer). Each round sorts the suffixes of every
    bucket of several by the *bucket identifier* of the suffix that lies the covered length further on, gives the parts new
    identifiers, and these serve all later rounds, so the covered length doubles: 8, 16, 32, 64, 128, 200. A bucket of one
-   is closed and never sorted again. Small buckets are refined in tasks, a bucket of many classes by joins of its suffixes.
+   is closed and never sorted again. A bucket is refined in a task; one of many classes is parted before, by more of the
+   bytes around the pointer (see ``parted``), so each of its classes costs a few rows and not one for each suffix.
 4. Repeated strings become spans of bytes, and the spans are cut.
 """
 
 from __future__ import annotations
 
+import struct
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, staged
-from .pointers import owned, unpacked
+from .pointers import SPAN_BITS, owned, unpacked
 from .repeats import batch_of, by_bucket, classes_of, contexts, keyed, pointer_rows, removed, repeated, spans, stretches
 from .vectors import BYTE_VALUE
 
 LENGTH, GRAM = 200, 32
 #: Bytes of the initial buckets of the refinement.
 FIRST = 8
-#: Buckets of up to this many classes are refined inside a task, on about ``PIECE`` bytes at once; larger ones by joins.
+#: Buckets of up to this many classes are refined inside a task, on about ``PIECE`` bytes at once; larger ones are parted.
 IN_TASK, PIECE = 3_000, 1 << 20
 
 
@@ -84,7 +89,7 @@ def refine(buf: np.ndarray, sizes: np.ndarray, place: np.ndarray, length: int) -
 
 
 def _refined(t: pa.Table, length: int) -> pa.RecordBatch:
-    bucket, kind, is_open = (t.column(x).to_numpy() for x in ("bucket", "class", "open"))
+    bucket, origin, kind, is_open = (t.column(x).to_numpy() for x in ("bucket", "origin", "class", "open"))
     _, left, _ = unpacked(t.column("place").to_numpy())
     held = t.column("context").to_pylist()
     sizes = np.array([len(x) for x in held])
@@ -93,41 +98,69 @@ def _refined(t: pa.Table, length: int) -> pa.RecordBatch:
     number = np.cumsum(np.r_[0, bucket[1:] != bucket[:-1]])
     at = refine(np.frombuffer(b"".join(held), np.uint8), sizes, number[row] << 12 | (offset + 2048), length)
     at = np.sort(at[is_open[row[at]]])
-    return stretches(bucket[row[at]], kind[row[at]], offset[at])
+    return stretches(origin[row[at]], kind[row[at]], offset[at])
 
 
-def _bytes_of(length: int, in_task: int):
-    """The bytes that a class's owned strings cover; in buckets of many classes a row for each suffix, by its first bytes."""
+def _bytes_of(length: int):
+    """The bytes that a class's owned strings cover."""
 
     def made(text, place, bucket, kind, is_open, m):
         pos, left, count = unpacked(place)
         held = [text[a:b] for a, b in zip((pos - left).tolist(), (pos - left + count - 1 + length).tolist(), strict=True)]
-        few, many = np.flatnonzero(m <= in_task), np.flatnonzero(m > in_task)
-        if len(few):
-            yield batch_of(bucket[few], kind[few], is_open[few], place[few], pa.array([held[i] for i in few.tolist()], pa.binary()), pa.nulls(len(few), pa.int64()), "pointer")
-        if len(many):
-            values = [first_bytes(np.frombuffer(held[i], np.uint8), min(FIRST, length)).view(np.int64) for i in many.tolist()]
-            n = np.array([len(x) for x in values])
-            row = np.repeat(many, n)
-            where = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) - left[row]
-            yield batch_of(bucket[row], kind[row], is_open[row], where, pa.nulls(len(row), pa.binary()), pa.array(np.concatenate(values)), "pointer")
+        yield batch_of(bucket, kind, is_open, place, pa.array(held, pa.binary()), pa.array(m), "m")
 
     return made
 
 
-def refined_by_joins(suffixes: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of many classes: ``suffixes(bucket, class, open, offset, pointer)``, one row for each byte.
+FIELDS = ["bucket", "origin", "class", "open", "place", "context", "first", "last"]
+_KINDS = "bucket long, origin long, class long, open boolean, place long, context binary, first int, last int"
+
+
+def halved(rows: DataFrame, length: int) -> DataFrame:
+    """For each of ``rows`` (``FIELDS``) one for each half of its windows, ``first`` to ``last`` bytes before the pointer.
+
+    All windows of a half share the bytes from ``first`` before the pointer on to ``length - last`` behind it, so those
+    that are the same in two contexts are so within one new bucket, which these bytes name.
+    """
 
-    A round joins each suffix with the bucket identifier of the one ``step`` bytes on; what is alone then goes.
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in FIELDS]
+            _, lefts, counts = unpacked(batch.column("place").to_numpy())
+            for bucket, origin, kind, is_open, _, context, first, last, left, count in zip(*(batch.column(f).to_pylist() for f in FIELDS), lefts.tolist(), counts.tolist(), strict=True):
+                middle = (first + last) // 2
+                for a, b in ((first, middle), (middle + 1, last)):
+                    lo, hi = max(a, left - count + 1), min(b, left)
+                    if lo > hi:
+                        continue
+                    name = xxhash.xxh64(struct.pack("<qii", bucket, a, b) + context[left - a : left + length - b]).digest()
+                    row = (struct.unpack("<q", name)[0], origin, kind, is_open, hi << SPAN_BITS | (hi - lo + 1), context[left - hi : left - lo + length], a, b)
+                    for held, x in zip(out, row, strict=True):
+                        held.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, batch.schema, strict=True)], names=FIELDS)
+
+    return rows.select(*FIELDS).mapInArrow(run, _KINDS)
+
+
+def parted(rows: DataFrame, length: int, in_task: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """For buckets of many classes: rows of buckets that a task can refine, and stretches that were found on the way.
+
+    A bucket's windows are halved by how far they start before the pointer, and each half dealt to new buckets by the
+    bytes that all its windows share; what is alone there repeats nowhere. Contexts that are the same now repeat as a
+    whole, and one of them goes on. New buckets of many distinct contexts are halved again, until a half is one window.
     """
-    key = ["bucket", "offset", "pointer"]
-    held = staged(suffixes.join(small(staged(repeated(suffixes, *key))), key))
-    for _, step in rounds(length):
-        later = held.select("bucket", "class", (F.col("offset") - step).alias("offset"), F.col("pointer").alias("later"))
-        pairs = held.join(later, ["bucket", "class", "offset"])
-        new = staged(pairs.withColumn("pointer", F.xxhash64("pointer", "later")).drop("later"))
-        held = staged(new.join(small(staged(repeated(new, *key))), key))
-    return held.where("open").select("bucket", "class", F.col("offset").alias("lo"), F.col("offset").alias("hi"))
+    few, found = [], []
+    while not rows.isEmpty():
+        half = staged(halved(rows, length).withColumn("c", F.xxhash64("place", "context")))
+        same = staged(half.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.min("class").alias("one")))
+        held = same.join(same.groupBy("bucket").agg(F.count("*").alias("m")), "bucket").where("n > 1 OR m > 1")
+        half = staged(half.join(small(staged(held)), ["bucket", "c"]))
+        left, count = F.shiftright("place", SPAN_BITS), F.col("place").bitwiseAND((1 << SPAN_BITS) - 1)
+        found.append(half.where("n > 1 AND open").select(F.col("origin").alias("bucket"), "class", (-left).alias("lo"), (count - 1 - left).alias("hi")))
+        on = half.where("m > 1 AND class = one").withColumn("open", F.expr("open AND n = 1"))
+        few.append(on.where((F.col("m") <= in_task) | F.expr("first = last")).select(*FIELDS))
+        rows = on.where((F.col("m") > in_task) & F.expr("first < last"))
+    return few, found
 
 
 def cut_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", in_task: int = IN_TASK) -> DataFrame:
@@ -144,10 +177,11 @@ def cut_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     often = staged(repeated(pointer_rows(texts, cut, ["bucket", "class"], True), "bucket"))
     members = staged(pointer_rows(texts, cut, ["bucket", "class"], False).join(often, "bucket").select("k", "place", "bucket", "class"))
     classes = staged(classes_of(members))
-    rows = contexts(texts, classes, _bytes_of(length, in_task), "bucket long, class long, open boolean, place long, context binary, pointer long")
-    found = by_bucket(rows.where("context IS NOT NULL").drop("pointer"), lambda t: _refined(t, length), "bucket long, class long, lo long, hi long", PIECE)
-    hot = rows.where("context IS NULL").select("bucket", "class", "open", F.col("place").alias("offset"), "pointer")
-    hot = hot.dropDuplicates(["bucket", "class", "offset"])  # rows that repeat id and text
-    if not hot.isEmpty():
-        found = found.unionByName(refined_by_joins(hot, length))
+    rows = contexts(texts, classes, _bytes_of(length), "bucket long, class long, open boolean, place long, context binary, m long")
+    rows = rows.select("bucket", F.col("bucket").alias("origin"), "class", "open", "place", "context", F.lit(0).alias("first"), F.lit(length - gram).alias("last"), "m")
+    many = rows.where(F.col("m") > in_task).dropDuplicates(["bucket", "class"])  # rows that repeat id and text
+    few, found = parted(many, length, in_task)
+    rows = reduce(DataFrame.unionByName, few, rows.where(F.col("m") <= in_task).select(*FIELDS)).drop("first", "last")
+    refined = by_bucket(rows, lambda t: _refined(t, length), "bucket long, class long, lo long, hi long", PIECE)
+    found = reduce(DataFrame.unionByName, found, refined)
     return removed(texts, spans(members, classes, staged(found), length), words=False)
