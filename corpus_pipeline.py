@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, SimHash near-dedup, substring dedup, decontamination, mixing.
 
 Each stage takes what its predecessor kept and returns the columns of ``documents`` (the last one the mix); ``run`` writes
-each result as Parquet to the shared folder and reads it again.
+each result as Parquet to the shared folder and reads it again. Stages that pass texts to Python bound the session's Arrow
+batches by bytes, as their executors serve all stages.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from drivespark.llm.toxicity import fit_toxicity, score_toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of all labels finds toxic go; null and empty texts stay, rows that repeat share their fate."""
+    common.bound_batches(spark)
     model = fit_toxicity(docs, common.read(spark, sf_dir, "labels"), parts=5, rest=-1)
     plain = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash with those of the scores
     scored = score_toxicity(docs.toDF(*plain), model, text_col=plain[docs.columns.index("text")])
@@ -27,12 +29,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies the document with the smallest id stays; all null, empty and blank texts are copies of one another."""
+    common.bound_batches(spark)
     return first_of_groups(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that start more than once go, and so do documents that have none left; clean texts stay as they
     were. Null texts stay null; rows that repeat are copies of each other, so all their passages go."""
+    common.bound_batches(spark)
     rows = docs.select(F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("__null")).alias("row"), F.col("doc_id").alias("key"), "text")
     cut = cut_repeated_words(rows, as_is=True, id_col="row", key_col="key").where("n_units = 0 OR n_removed < n_units")
     text = F.when(~F.col("doc_id.__null"), F.col("kept").cast("string"))
