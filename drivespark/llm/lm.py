@@ -232,60 +232,87 @@ def make_network(counts: np.ndarray, starts: np.ndarray, once: np.ndarray, initi
     return Network(rng.normal(0, 0.3, (IDS, DIM)).astype(np.float32), rng.normal(0, 0.3, (WINDOW, DIM)).astype(np.float32), draw(DIM, DIM), draw(DIM, DIM), draw(DIM, DIM), top.astype(np.float32), low.astype(np.float32), group, leaf, np.log10(held / np.maximum(total, 1e-9)[cell]), shape(known), shape(np.log10(new)))
 
 
-_MASK = np.where(np.tri(WINDOW, dtype=bool), np.float32(0), np.float32(-1e9))
+_TRI = np.tri(WINDOW, dtype=np.float32)
+_SCALE = np.float32(1 / math.sqrt(DIM))
+
+
+def _qkv(net: Network) -> np.ndarray:
+    """Queries (scaled), keys and values by one product."""
+    return np.concatenate([net.q * _SCALE, net.k, net.v], axis=1)
 
 
 def forward(net: Network, x: np.ndarray):
     """What the output layers see (windows, WINDOW, 2 DIM + 1) before each next id; and what the backward pass needs."""
-    e = net.embed[x] + net.place
-    q, k, v = e @ net.q, e @ net.k, e @ net.v
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / math.sqrt(DIM))
-    a += _MASK
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    h = np.concatenate([a @ v, e, np.ones((*x.shape, 1), e.dtype)], axis=2)
-    return h, (e, q, k, v, a)
+    h = np.ones((*x.shape, 2 * DIM + 1), np.float32)
+    e = net.embed[x]
+    e += net.place
+    m = (e.reshape(-1, DIM) @ _qkv(net)).reshape(*x.shape, 3 * DIM)
+    a = m[..., :DIM] @ m[..., DIM : 2 * DIM].transpose(0, 2, 1)
+    np.exp(np.minimum(a, 60, out=a), out=a)
+    a *= _TRI
+    a /= (a @ _TRI[-1])[..., None]
+    h[..., :DIM], h[..., DIM : 2 * DIM] = a @ m[..., 2 * DIM :], e
+    return h, (e, m, a)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(axis=-1, keepdims=True))
-    return p / p.sum(axis=-1, keepdims=True)
+#: Windows whose gradients are made at once: their arrays stay in a core's cache.
+BLOCK_WINDOWS = 128
 
 
 def gradients(net: Network, x: np.ndarray, y: np.ndarray, live: np.ndarray):
     """Mean loss over live places, and the gradient of each part; ``y``: the ids that follow."""
-    h, (e, q, k, v, a) = forward(net, x)
-    flat, n = h.reshape(-1, h.shape[2]), max(1, int(live.sum()))
+    n = np.float32(max(1, int(live.sum())))
+    heads = np.concatenate([np.broadcast_to(net.top, (GROUPS, *net.top.shape)), net.low], axis=2)
+    sums = [0.0, np.zeros((WINDOW, DIM), np.float32), np.zeros((DIM, 3 * DIM), np.float32), np.zeros_like(heads)]
+    d_e = np.empty((len(x), WINDOW, DIM), np.float32)
+    for i in range(0, len(x), BLOCK_WINDOWS):
+        part = slice(i, i + BLOCK_WINDOWS)
+        d_e[part], *own = _block_gradients(net, heads, n, x[part], y[part], live[part])
+        sums = [held + more for held, more in zip(sums, own, strict=True)]
+    loss, d_place, d_qkv, d_heads = sums
+    order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
+    ids = x.reshape(-1)[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+    d_embed = np.add.reduceat(d_e.reshape(-1, DIM)[order], first, axis=0) if len(ids) else np.zeros((0, DIM), np.float32)
+    d_q, d_k, d_v = np.split(d_qkv, 3, axis=1)
+    return loss / n, (ids[first], d_embed), [d_place, d_q * _SCALE, d_k, d_v, d_heads[..., :GROUPS].sum(axis=0), d_heads[..., GROUPS:]]
+
+
+def _block_gradients(net: Network, heads: np.ndarray, n: np.float32, x: np.ndarray, y: np.ndarray, live: np.ndarray):
+    """Gradient of each input, sum of losses, gradients of places, of ``_qkv`` and of ``heads``: both output layers by group."""
+    h, (e, m, a) = forward(net, x)
     rows = np.flatnonzero(live.reshape(-1))
-    own, leaf = net.group[y].reshape(-1), net.leaf[y].reshape(-1)
-    p = _softmax(flat[rows] @ net.top)
-    loss = -np.log(p[np.arange(len(rows)), own[rows]] + 1e-30).sum() / n
-    p[np.arange(len(rows)), own[rows]] -= 1
-    p = (p / n).astype(np.float32)
-    d_top, d_low, d_flat = flat[rows].T @ p, np.zeros_like(net.low), np.zeros_like(flat)
-    d_flat[rows] = p @ net.top.T
-    for g in range(GROUPS):
-        at = rows[own[rows] == g]
-        if len(at):
-            p = _softmax(flat[at] @ net.low[g])
-            loss -= np.log(p[np.arange(len(at)), leaf[at]] + 1e-30).sum() / n
-            p[np.arange(len(at)), leaf[at]] -= 1
-            p = (p / n).astype(np.float32)
-            d_low[g] = flat[at].T @ p
-            d_flat[at] += p @ net.low[g].T
-    d_h = d_flat.reshape(h.shape)
-    d_c, d_e = d_h[..., :DIM], d_h[..., DIM : 2 * DIM]
-    d_a, d_v = d_c @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ d_c
-    d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(DIM))
-    d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-    d_e = d_e + d_q @ net.q.T + d_k @ net.k.T + d_v @ net.v.T
-    over = lambda u, w: np.tensordot(u, w, ([0, 1], [0, 1]))
-    ids, back = np.unique(x, return_inverse=True)
-    d_embed = np.zeros((len(ids), DIM), np.float32)
-    np.add.at(d_embed, back.reshape(-1), d_e.reshape(-1, DIM))
-    return loss, (ids, d_embed), [d_e.sum(axis=0), over(e, d_q), over(e, d_k), over(e, d_v), d_top, d_low]
+    own = net.group[y.reshape(-1)[rows]].astype(np.uint8)
+    order = np.argsort(own, kind="stable")
+    rows, own = rows[order], own[order]
+    cut, seen = np.searchsorted(own, np.arange(GROUPS + 1)), h.reshape(-1, 2 * DIM + 1)[rows]
+    p, d_heads = np.empty((len(rows), GROUPS + LEAVES), np.float32), np.zeros_like(heads)
+    spans = [(g, slice(cut[g], cut[g + 1])) for g in range(GROUPS) if cut[g + 1] > cut[g]]
+    for g, s in spans:
+        np.matmul(seen[s], heads[g], out=p[s])
+    np.exp(np.minimum(p, 60, out=p), out=p)
+    both = p.reshape(-1, 2, LEAVES)  # there are as many groups as leaves
+    both /= (both @ np.ones(LEAVES, np.float32))[..., None]
+    at, leaf = np.arange(len(rows)), net.leaf[y.reshape(-1)[rows]] + GROUPS
+    loss = -(np.log(p[at, own] + 1e-30).sum() + np.log(p[at, leaf] + 1e-30).sum())
+    p[at, own] -= 1
+    p[at, leaf] -= 1
+    p /= n
+    d_seen = np.empty((len(rows), 2 * DIM + 1), np.float32)
+    for g, s in spans:
+        d_heads[g] = seen[s].T @ p[s]
+        np.matmul(p[s], heads[g].T, out=d_seen[s])
+    d_h = np.zeros_like(h)
+    d_h.reshape(-1, 2 * DIM + 1)[rows] = d_seen
+    d_c, d_m = d_h[..., :DIM], np.empty_like(m)
+    d_a = d_c @ m[..., 2 * DIM :].transpose(0, 2, 1)
+    d_a -= (d_c * h[..., :DIM]).sum(axis=2, keepdims=True)  # what is attended, times its gradient, is the sum over its parts
+    d_a *= a
+    back = d_a.transpose(0, 2, 1)
+    d_m[..., :DIM], d_m[..., DIM : 2 * DIM], d_m[..., 2 * DIM :] = d_a @ m[..., DIM : 2 * DIM], back @ m[..., :DIM], a.transpose(0, 2, 1) @ d_c
+    d_e = (d_m.reshape(-1, 3 * DIM) @ _qkv(net).T).reshape(e.shape)
+    d_e += d_h[..., DIM : 2 * DIM]
+    return d_e, loss, d_e.sum(axis=0), e.reshape(-1, DIM).T @ d_m.reshape(-1, 3 * DIM), d_heads
 
 
 class Adam:
@@ -460,8 +487,7 @@ def stream_scores(net: Network, flat: np.ndarray, sizes: np.ndarray, batch: int
     begin = starts[doc] + turn * STRIDE
     kind, begins = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
     # The forward pass over, in as few sweeps over memory as it takes: no maxima (scores are small), sums by products.
-    qkv = np.concatenate([net.q * np.float32(1 / math.sqrt(DIM)), net.k, net.v], axis=1)
-    tri = np.tri(WINDOW, dtype=np.float32)
+    qkv, tri = _qkv(net), _TRI
     sums = np.zeros((GROUPS, 2), np.float32)
     sums[:, 0], sums[:FIRST, 1] = 1, 1
     every, group, leaf = np.ones(LEAVES, np.float32), net.group.astype(np.uint8), net.leaf.astype(np.uint8)
