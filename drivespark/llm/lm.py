@@ -27,16 +27,15 @@ import copy
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, row_key, staged
-from .vectors import byte_column, groups, held_out
+from .common import row_key, staged
+from .vectors import BLOCK, byte_column, groups, groups_of, held_out, mixed
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Subword ids of the vocabulary, and the one that it leaves free, which ends a text.
@@ -53,11 +52,6 @@ EPOCHS, BATCH, RATE = 4, 64, 0.01
 #: All training texts: parts that follow one another, windows of a step, and the rate of the first round, which falls from one to the next.
 ROUNDS, STEP, SLOW_RATE = 2, 256, 0.002
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-END_HASH = xxhash.xxh64_intdigest(b"\n", 42)
-
-
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
 
 
 def load_encoder(ranks: dict[bytes, int]):
@@ -85,8 +79,11 @@ def word_subwords(encode, starts: np.ndarray, words: list[str]) -> tuple[np.ndar
 
     Words that hold no white space of any kind are encoded together: each begins with the only space before the next one.
     """
-    plain = [i for i, w in enumerate(words) if w.split() == [w]]
-    joined = np.array(encode("".join([" " + words[i] for i in plain])), np.int32)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    whole = " ".join(words)
+    plain = range(len(words)) if whole.split() == words else [i for i, w in enumerate(words) if w.split() == [w]]
+    joined = np.array(encode(" " + whole if len(plain) == len(words) else "".join([" " + words[i] for i in plain])), np.int32)
     cut, lens = np.flatnonzero(starts[joined]), np.zeros(len(words), np.int32)
     lens[plain] = np.diff(np.append(cut, len(joined)))
     if len(plain) == len(words):
@@ -100,48 +97,70 @@ def word_subwords(encode, starts: np.ndarray, words: list[str]) -> tuple[np.ndar
 
 
 class Words:
-    """Hash, head count and subwords of each word, in arrays; forgotten once there are more than ``most`` words."""
-
-    def __init__(self, ranks: dict[bytes, int], head_w: np.ndarray, head_c: np.ndarray, most: int = 250_000):
-        self.encode, self.starts, self.most = load_encoder(ranks).encode_ordinary, word_starts(ranks), most
-        self.head = dict(zip(head_w.tolist(), head_c.tolist(), strict=True))
-        self.forget()
-
-    def forget(self):
-        self.number: dict[bytes, int] = {}
-        self.hashes, self.counts, self.lens, self.ids = (np.zeros(0, t) for t in (np.int64, np.float64, np.int32, np.int32))
-        self._numbers([b"\n"])
-
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            fresh = list(dict.fromkeys([words[i] for i in missing.tolist()]))
-            self.number.update(zip(fresh, range(len(self.hashes), len(self.hashes) + len(fresh)), strict=True))
-            hashes = [signed(xxhash.xxh64_intdigest(w, 42)) for w in fresh]
-            ids, lens = word_subwords(self.encode, self.starts, [w.decode("utf-8", "replace") for w in fresh])
-            self.hashes, self.lens, self.ids = (np.append(x, np.array(y, x.dtype)) for x, y in ((self.hashes, hashes), (self.lens, lens), (self.ids, ids)))
-            self.counts = np.append(self.counts, [self.head.get(h, 0) for h in hashes])
-            self.first = (np.cumsum(self.lens) - self.lens).astype(np.int32)
-            found[missing] = [self.number[words[i]] for i in missing.tolist()]
-        return found
-
-    def streams(self, texts: list[bytes]):
-        """Of all tokens (the ends included): hashes, head counts (0: outside), numbers of subwords, subwords end to end; and
-        tokens of each text."""
-        if len(self.hashes) > self.most:
-            self.forget()
-        tokens, sizes = [], []
-        for t in texts:
-            own = t.translate(_LOWER).split()
-            own.append(b"\n")
-            tokens += own
-            sizes.append(len(own))
-        number = self._numbers(tokens)
-        held = self.lens[number]
+    """The words of some texts: ``ids`` and ``lens`` of their subwords; and the texts as subwords."""
+
+    def __init__(self, encode, starts: np.ndarray, texts: pa.Array, learn: np.ndarray):
+        """``counts`` are those of the texts to ``learn`` from."""
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        flat = pieces.flatten()
+        full = pc.greater(pc.binary_length(flat), 0)
+        held = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[np.append(0, np.cumsum(pieces.value_lengths().to_numpy()))]
+        own = flat.filter(full).dictionary_encode()
+        whole = pc.binary_join(pa.ListArray.from_arrays([0, len(own.dictionary)], own.dictionary), " ").cast(pa.binary())[0].as_py()
+        ids, lens = word_subwords(encode, starts, whole.decode("utf-8", "replace").split(" ") if whole else [])
+        self.ids, self.lens = np.append(ids, END).astype(np.uint16), np.append(lens, 1)
+        self.first = np.cumsum(self.lens) - self.lens
+        sizes, self.number = np.diff(held) + 1, np.insert(own.indices.to_numpy(), held[1:], len(own.dictionary))  # the end is the last
+        self.counts = np.bincount(self.number[np.repeat(learn, sizes)], minlength=len(self.lens))
+        self.ends = np.cumsum(sizes)
+
+    def streams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Subwords of all texts end to end, the ends included, and how many each has."""
+        held = self.lens[self.number]
         ends = np.cumsum(held)
-        at = np.repeat(self.first[number] - (ends - held), held) + np.arange(ends[-1] if len(ends) else 0)
-        return self.hashes[number], self.counts[number], held, self.ids[at], np.array(sizes, np.int64)
+        at = np.repeat(self.first[self.number] - (ends - held), held)
+        at += np.arange(len(at))
+        return self.ids.take(at), np.diff(np.append(0, ends[self.ends - 1]))
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words that were counted: keys, counts, first subwords; and the counts of all subwords in them."""
+        i = np.flatnonzero(self.counts)
+        total = np.bincount(self.ids, np.repeat(self.counts, self.lens), IDS).astype(np.int64)
+        return word_keys(self.ids, self.first, self.lens)[i], self.counts[i], self.ids[self.first[i]], total
+
+
+#: A random 64-bit value for each subword, by a fixed seed, so that all workers agree.
+_ID_VALUE = np.random.default_rng(20_261).integers(1, 2**64, IDS, dtype=np.uint64)
+
+
+def word_keys(flat: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word by its subwords, which are flat[at:at + len], end to end; they spell one word only."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    power = np.full(int(lens.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    value = _ID_VALUE[flat]
+    value *= power[np.arange(len(flat)) - np.repeat(at, lens)]
+    return mixed(np.add.reduceat(value, at) + lens.astype(np.uint64)).view(np.int64)
+
+
+class Head:
+    """Counts of frequent words by key; of words that share a slot the most frequent one stays, others count as not held."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int = 19):
+        self.shift, order = np.uint64(64 - bits), np.argsort(counts, kind="stable")
+        self.keys, self.counts = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
+        slot = self._slots(keys[order])
+        self.keys[slot], self.counts[slot] = keys[order], counts[order]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key; 0: not held."""
+        slot = self._slots(keys)
+        return np.where(self.keys[slot] == keys, self.counts[slot], 0.0)
 
 
 @dataclass
@@ -232,27 +251,66 @@ def make_network(counts: np.ndarray, starts: np.ndarray, once: np.ndarray, initi
     return Network(rng.normal(0, 0.3, (IDS, DIM)).astype(np.float32), rng.normal(0, 0.3, (WINDOW, DIM)).astype(np.float32), draw(DIM, DIM), draw(DIM, DIM), draw(DIM, DIM), top.astype(np.float32), low.astype(np.float32), group, leaf, np.log10(held / np.maximum(total, 1e-9)[cell]), shape(known), shape(np.log10(new)))
 
 
-_TRI = np.tri(WINDOW, dtype=np.float32)
+#: What attends at most, and what is not before it.
+_MOST = np.where(np.tri(WINDOW, dtype=bool), 60, -np.inf).astype(np.float32)
 _SCALE = np.float32(1 / math.sqrt(DIM))
 
 
 def _qkv(net: Network) -> np.ndarray:
-    """Queries (scaled), keys and values by one product."""
-    return np.concatenate([net.q * _SCALE, net.k, net.v], axis=1)
+    """Queries (scaled), keys, values and the one by one product, of inputs with a one after them."""
+    out = np.zeros((DIM + 1, 3 * DIM + 1), np.float32)
+    out[:DIM, : 3 * DIM], out[-1, -1] = np.concatenate([net.q * _SCALE, net.k, net.v], axis=1), 1
+    return out
+
 
+def _heads(net: Network) -> np.ndarray:
+    """Both output layers by group: GROUPS x 2 DIM + 1 x GROUPS + LEAVES."""
+    return np.concatenate([np.broadcast_to(net.top, (GROUPS, *net.top.shape)), net.low], axis=2)
 
-def forward(net: Network, x: np.ndarray):
-    """What the output layers see (windows, WINDOW, 2 DIM + 1) before each next id; and what the backward pass needs."""
-    h = np.ones((*x.shape, 2 * DIM + 1), np.float32)
-    e = net.embed[x]
-    e += net.place
-    m = (e.reshape(-1, DIM) @ _qkv(net)).reshape(*x.shape, 3 * DIM)
+
+def _inputs(embed: np.ndarray) -> np.ndarray:
+    """Rows of what the output layers see, with nothing attended: zeros, the id's row, and a one."""
+    out = np.zeros((len(embed), 2 * DIM + 1), np.float32)
+    out[:, DIM : 2 * DIM], out[:, -1] = embed, 1
+    return out
+
+
+def forward(net: Network, x: np.ndarray, inputs: np.ndarray | None = None):
+    """What the output layers see (windows, WINDOW, 2 DIM + 1) before each next id; and what the backward pass needs.
+
+    ``inputs``: of ``_inputs``, by ``x``; else ``x`` are ids.
+    """
+    h = (_inputs(net.embed) if inputs is None else inputs).take(x, axis=0)
+    place = _inputs(net.place)
+    place[:, -1] = 0
+    h += place
+    m = (h.reshape(-1, 2 * DIM + 1)[:, DIM:] @ _qkv(net)).reshape(*x.shape, 3 * DIM + 1)
     a = m[..., :DIM] @ m[..., DIM : 2 * DIM].transpose(0, 2, 1)
-    np.exp(np.minimum(a, 60, out=a), out=a)
-    a *= _TRI
-    a /= (a @ _TRI[-1])[..., None]
-    h[..., :DIM], h[..., DIM : 2 * DIM] = a @ m[..., 2 * DIM :], e
-    return h, (e, m, a)
+    np.exp(np.minimum(a, _MOST, out=a), out=a)
+    c = a @ m[..., 2 * DIM :]  # the last column is the sum of weights
+    np.divide(c[..., :DIM], c[..., DIM:], out=h[..., :DIM])
+    return h, (m, a, c[..., DIM:])
+
+
+def _outputs(net: Network, heads: np.ndarray, h: np.ndarray, rows: np.ndarray, y: np.ndarray):
+    """Both output layers for what follows ``rows`` of ``h``, the ids ``y``; dealt out by group.
+
+    The rows in order of groups; each group and its slice; what the layers see; a row for each group and leaf: exp of
+    what the layers say; its sums by layer; and where in it, flat, the group and the leaf that follow stand.
+    """
+    own = net.group[y].astype(np.uint8)
+    order = np.argsort(own, kind="stable")
+    own = own.take(order)
+    rows = rows.take(order)
+    cut, seen = np.searchsorted(own, np.arange(GROUPS + 1)), h.reshape(-1, 2 * DIM + 1).take(rows, axis=0)
+    p = np.empty((GROUPS + LEAVES, len(rows)), np.float32)
+    spans = [(g, slice(cut[g], cut[g + 1])) for g in range(GROUPS) if cut[g + 1] > cut[g]]
+    for g, s in spans:
+        np.matmul(heads[g].T, seen[s].T, out=p[:, s])
+    np.exp(np.minimum(p, 60, out=p), out=p)
+    sums = p.reshape(2, LEAVES, -1).sum(axis=1)  # there are as many groups as leaves
+    at = np.stack([own, net.leaf.take(y.take(order)) + GROUPS]) * len(rows) + np.arange(len(rows))
+    return rows, spans, seen, p, sums, at
 
 
 #: Windows whose gradients are made at once: their arrays stay in a core's cache.
@@ -262,57 +320,57 @@ BLOCK_WINDOWS = 128
 def gradients(net: Network, x: np.ndarray, y: np.ndarray, live: np.ndarray):
     """Mean loss over live places, and the gradient of each part; ``y``: the ids that follow."""
     n = np.float32(max(1, int(live.sum())))
-    heads = np.concatenate([np.broadcast_to(net.top, (GROUPS, *net.top.shape)), net.low], axis=2)
+    heads = _heads(net)
     sums = [0.0, np.zeros((WINDOW, DIM), np.float32), np.zeros((DIM, 3 * DIM), np.float32), np.zeros_like(heads)]
     d_e = np.empty((len(x), WINDOW, DIM), np.float32)
+    order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
+    ids = x.reshape(-1).take(order)
+    new = np.r_[True, ids[1:] != ids[:-1]][: len(ids)]
+    first, place = np.flatnonzero(new), np.empty(len(ids), np.int64)
+    ids, place[order] = ids[first], np.cumsum(new) - 1
+    inputs, place = _inputs(net.embed[ids]), place.reshape(x.shape)
     for i in range(0, len(x), BLOCK_WINDOWS):
         part = slice(i, i + BLOCK_WINDOWS)
-        d_e[part], *own = _block_gradients(net, heads, n, x[part], y[part], live[part])
+        d_e[part], *own = _block_gradients(net, heads, n, inputs, place[part], y[part], live[part])
         sums = [held + more for held, more in zip(sums, own, strict=True)]
     loss, d_place, d_qkv, d_heads = sums
-    order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
-    ids = x.reshape(-1)[order]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
-    d_embed = np.add.reduceat(d_e.reshape(-1, DIM)[order], first, axis=0) if len(ids) else np.zeros((0, DIM), np.float32)
+    d_embed = np.zeros((0, DIM), np.float32)
+    if len(ids):  # pairs of values are added as one complex number
+        d_embed = np.add.reduceat(d_e.reshape(-1, DIM).take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
     d_q, d_k, d_v = np.split(d_qkv, 3, axis=1)
-    return loss / n, (ids[first], d_embed), [d_place, d_q * _SCALE, d_k, d_v, d_heads[..., :GROUPS].sum(axis=0), d_heads[..., GROUPS:]]
-
-
-def _block_gradients(net: Network, heads: np.ndarray, n: np.float32, x: np.ndarray, y: np.ndarray, live: np.ndarray):
-    """Gradient of each input, sum of losses, gradients of places, of ``_qkv`` and of ``heads``: both output layers by group."""
-    h, (e, m, a) = forward(net, x)
-    rows = np.flatnonzero(live.reshape(-1))
-    own = net.group[y.reshape(-1)[rows]].astype(np.uint8)
-    order = np.argsort(own, kind="stable")
-    rows, own = rows[order], own[order]
-    cut, seen = np.searchsorted(own, np.arange(GROUPS + 1)), h.reshape(-1, 2 * DIM + 1)[rows]
-    p, d_heads = np.empty((len(rows), GROUPS + LEAVES), np.float32), np.zeros_like(heads)
-    spans = [(g, slice(cut[g], cut[g + 1])) for g in range(GROUPS) if cut[g + 1] > cut[g]]
+    return loss / n, (ids, d_embed), [d_place, d_q * _SCALE, d_k, d_v, d_heads[..., :GROUPS].sum(axis=0), d_heads[..., GROUPS:]]
+
+
+def _block_gradients(net: Network, heads: np.ndarray, n: np.float32, inputs: np.ndarray, x: np.ndarray, y: np.ndarray, live: np.ndarray):
+    """Gradient of each input, sum of losses, gradients of places, of ``q``, ``k`` and ``v``, and of ``heads``."""
+    h, (m, a, weight) = forward(net, x, inputs)
+    rows = np.flatnonzero(live)
+    rows, spans, seen, p, sums, at = _outputs(net, heads, h, rows, y.reshape(-1).take(rows))
+    right = p.reshape(-1).take(at)
+    loss = np.log(sums).sum() - np.log(right + 1e-30).sum()
+    scale, both = 1 / (n * sums), p.reshape(2, LEAVES, -1)
+    both *= scale[:, None]
+    p.reshape(-1)[at] = right * scale - 1 / n
+    d_heads, d_seen, back = np.zeros_like(heads), np.zeros((len(rows) + 1, 2 * DIM + 1), np.float32), np.full(x.size, len(rows))
     for g, s in spans:
-        np.matmul(seen[s], heads[g], out=p[s])
-    np.exp(np.minimum(p, 60, out=p), out=p)
-    both = p.reshape(-1, 2, LEAVES)  # there are as many groups as leaves
-    both /= (both @ np.ones(LEAVES, np.float32))[..., None]
-    at, leaf = np.arange(len(rows)), net.leaf[y.reshape(-1)[rows]] + GROUPS
-    loss = -(np.log(p[at, own] + 1e-30).sum() + np.log(p[at, leaf] + 1e-30).sum())
-    p[at, own] -= 1
-    p[at, leaf] -= 1
-    p /= n
-    d_seen = np.empty((len(rows), 2 * DIM + 1), np.float32)
-    for g, s in spans:
-        d_heads[g] = seen[s].T @ p[s]
-        np.matmul(p[s], heads[g].T, out=d_seen[s])
-    d_h = np.zeros_like(h)
-    d_h.reshape(-1, 2 * DIM + 1)[rows] = d_seen
-    d_c, d_m = d_h[..., :DIM], np.empty_like(m)
+        d_heads[g] = seen[s].T @ p[:, s].T
+        np.matmul(p[:, s].T, heads[g].T, out=d_seen[s])
+    back[rows] = np.arange(len(rows))
+    d_h = d_seen.take(back, axis=0).reshape(h.shape)
+    d_c = np.empty((*x.shape, DIM + 1), np.float32)
+    np.divide(d_h[..., :DIM], weight, out=d_c[..., :DIM])
+    # What is attended, times its gradient, is the sum over its parts: it goes with the one of keys' values.
+    np.negative(np.einsum("wij,wij->wi", d_c[..., :DIM], h[..., :DIM]), out=d_c[..., DIM])
     d_a = d_c @ m[..., 2 * DIM :].transpose(0, 2, 1)
-    d_a -= (d_c * h[..., :DIM]).sum(axis=2, keepdims=True)  # what is attended, times its gradient, is the sum over its parts
     d_a *= a
-    back = d_a.transpose(0, 2, 1)
-    d_m[..., :DIM], d_m[..., DIM : 2 * DIM], d_m[..., 2 * DIM :] = d_a @ m[..., DIM : 2 * DIM], back @ m[..., :DIM], a.transpose(0, 2, 1) @ d_c
-    d_e = (d_m.reshape(-1, 3 * DIM) @ _qkv(net).T).reshape(e.shape)
+    d_m = np.empty((*x.shape, 3 * DIM), np.float32)
+    np.matmul(d_a, m[..., DIM : 2 * DIM], out=d_m[..., :DIM])
+    np.matmul(d_a.transpose(0, 2, 1), m[..., :DIM], out=d_m[..., DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), d_c[..., :DIM], out=d_m[..., 2 * DIM :])
+    d_m = d_m.reshape(-1, 3 * DIM)
+    d_e = (d_m @ _qkv(net)[:DIM, : 3 * DIM].T).reshape(*x.shape, DIM)
     d_e += d_h[..., DIM : 2 * DIM]
-    return d_e, loss, d_e.sum(axis=0), e.reshape(-1, DIM).T @ d_m.reshape(-1, 3 * DIM), d_heads
+    return d_e, loss, d_e.sum(axis=0), h.reshape(-1, 2 * DIM + 1)[:, DIM : 2 * DIM].T @ d_m, d_heads
 
 
 class Adam:
@@ -325,10 +383,13 @@ class Adam:
         loss, (ids, d_embed), rest = gradients(self.net, x, y, live)
         self.t += 1
         rate *= math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for part, (m, s), g, pick in zip(self.net.parts(), self.moments, [d_embed, *rest], [ids, *[slice(None)] * 6], strict=True):
-            m[pick] = 0.9 * m[pick] + 0.1 * g
-            s[pick] = 0.999 * s[pick] + 0.001 * g * g
-            part[pick] -= rate * m[pick] / (np.sqrt(s[pick]) + 1e-8)
+        for part, (m, s), g, pick in zip(self.net.parts(), self.moments, [d_embed, *rest], [ids, *[...] * 6], strict=True):
+            mean, square = (x.take(pick, axis=0) if pick is ids else x.copy() for x in (m, s))
+            mean += 0.1 * (g - mean)
+            square += 0.001 * (g * g - square)
+            m[pick], s[pick] = mean, square
+            mean = mean * rate
+            part[pick] -= mean / (np.sqrt(square, out=square) + 1e-8)
         return loss
 
 
@@ -362,20 +423,42 @@ def windows_of(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(live, before[at], END), np.where(live, flat[at], END), live
 
 
-def subword_streams(texts: DataFrame, ranks, rounds: int = ROUNDS) -> DataFrame:
-    """``r, ids``: the round of each of ``texts(h, text)`` by its hash, and its subwords as 16-bit numbers."""
+def encoded(texts: DataFrame, ranks, block: int = 16 * BLOCK) -> DataFrame:
+    """``texts`` with ``ids``, the subwords of ``text`` as 16-bit numbers, in its place; staged.
+
+    Beside them lie rows of counts ``c`` (null in the others) over the texts that are to ``learn`` from: of words by key ``w``, with
+    the first subword ``i``, and, where ``w`` is null, of the subword ``i``. Counts are made by about ``block`` bytes of
+    text, so there may be more than one row for a word or subword.
+    """
+    kept = [c for c in texts.columns if c != "text"]
+    names = [*kept, "ids", "w", "i", "c"]
 
     def run(batches):
-        words = Words(ranks.value, np.zeros(0, np.int64), np.zeros(0))
+        encode, starts = load_encoder(ranks.value).encode_ordinary, word_starts(ranks.value)
         for batch in batches:
-            held = byte_column(batch.column(1))
-            for a, b in groups(held):
-                _, _, lens, flat, sizes = words.streams(held[a:b])
-                cut = np.cumsum(np.add.reduceat(lens, np.cumsum(sizes) - sizes))
-                ids = [x.tobytes() for x in np.split(flat.astype(np.uint16), cut[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["r", "ids"])
+            held, learn = batch.column("text"), np.array(batch.column("learn"), bool)
+            for a, b in groups_of(pc.binary_length(held).fill_null(0).to_pylist(), block):
+                words = Words(encode, starts, held.slice(a, b - a), learn[a:b])
+                flat, sizes = words.streams()
+                cut = np.append(0, np.cumsum(sizes))
+                ids = [flat[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                none = [pa.nulls(b - a, pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), pa.array(ids, pa.binary()), *none], names=names)
+                w, c, first, total = words.counted()
+                i = np.flatnonzero(total)
+                n = len(w) + len(i)
+                key = pa.array(np.append(w, np.zeros(len(i), np.int64)), mask=np.arange(n) >= len(w))
+                own = [key, pa.array(np.append(first.astype(np.int64), i)), pa.array(np.append(c, total[i]))]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, batch.schema.field(c).type) for c in kept), pa.nulls(n, pa.binary()), *own], names=names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
+    return staged(texts.mapInArrow(run, f"{schema}, ids binary, w long, i long, c long"))
+
 
-    return staged(texts.select(F.pmod("h", F.lit(rounds)).cast("int").alias("r"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "r int, ids binary"))
+def subword_streams(texts: DataFrame, ranks, rounds: int = ROUNDS) -> DataFrame:
+    """``r, ids``: the round of each of ``texts(h, text)`` by its hash, and its subwords as 16-bit numbers."""
+    rows = texts.select(F.pmod("h", F.lit(rounds)).cast("int").alias("r"), F.lit(True).alias("learn"), F.col("text").cast("string").alias("text"))
+    return encoded(rows, ranks).where("c IS NULL").select("r", "ids")
 
 
 def _stream_blocks(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -473,7 +556,7 @@ def cut_windows(ids: np.ndarray, stride: int):
         first = own.stop
 
 
-def stream_scores(net: Network, flat: np.ndarray, sizes: np.ndarray, batch: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stream_scores(net: Network, flat: np.ndarray, sizes: np.ndarray, batch: int = 128, inputs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 probabilities for each subword of the streams that lie end to end in ``flat``, each scored once: of the subword,
     of its class, and that any subword which starts a word (or the end) stands there."""
     ends = np.cumsum(sizes)
@@ -486,42 +569,18 @@ def stream_scores(net: Network, flat: np.ndarray, sizes: np.ndarray, batch: int
     turn = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
     begin = starts[doc] + turn * STRIDE
     kind, begins = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
-    # The forward pass over, in as few sweeps over memory as it takes: no maxima (scores are small), sums by products.
-    qkv, tri = _qkv(net), _TRI
-    sums = np.zeros((GROUPS, 2), np.float32)
-    sums[:, 0], sums[:FIRST, 1] = 1, 1
-    every, group, leaf = np.ones(LEAVES, np.float32), net.group.astype(np.uint8), net.leaf.astype(np.uint8)
+    heads, inputs = _heads(net), _inputs(net.embed) if inputs is None else inputs
     for i in range(0, len(doc), batch):
         b, d = begin[i : i + batch], doc[i : i + batch]
         at = b[:, None] + np.arange(WINDOW)
         inside = at < ends[d][:, None]
         np.minimum(at, len(flat) - 1, out=at)
-        e = net.embed[np.where(inside, before[at], END)]
-        e += net.place
-        m = (e.reshape(-1, DIM) @ qkv).reshape(len(b), WINDOW, 3 * DIM)
-        a = m[..., :DIM] @ m[..., DIM : 2 * DIM].transpose(0, 2, 1)
-        np.exp(np.minimum(a, 60, out=a), out=a)
-        a *= tri
-        fresh = inside & ((turn[i : i + batch] == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
-        seen = (a @ m[..., 2 * DIM :])[fresh]
-        seen /= (a @ tri[-1])[fresh][:, None]
-        to = at[fresh]
-        h = np.concatenate([seen, e[fresh], np.ones((len(seen), 1), np.float32)], axis=1)
-        own = group[flat[to]]
-        z = np.exp(np.minimum(h @ net.top, 60))
-        both = z @ sums
-        of_group = z[np.arange(len(z)), own] / both[:, 0]
-        begins[to] = both[:, 1] / both[:, 0]
-        order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(GROUPS + 1))
-        h, sorted_leaf, p = h[order], leaf[flat[to]][order], np.empty(len(order), np.float32)
-        for g in range(GROUPS):
-            x, y = cut[g], cut[g + 1]
-            if y > x:
-                z = np.exp(np.minimum(h[x:y] @ net.low[g], 60))
-                p[x:y] = z[np.arange(y - x), sorted_leaf[x:y]] / (z @ every)
-        of_group[order] *= p
-        kind[to] = of_group
+        h, _ = forward(net, np.where(inside, before.take(at), END), inputs)
+        rows = np.flatnonzero(inside & ((turn[i : i + batch] == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE)))
+        rows, _, _, p, sums, right = _outputs(net, heads, h, rows, flat.take(at.reshape(-1).take(rows)))
+        to, right = at.reshape(-1).take(rows), p.reshape(-1).take(right) / sums
+        kind[to] = right[0] * right[1]
+        begins[to] = p[:FIRST].sum(axis=0) / sums[0]
     kind, begins = np.log10(np.maximum(kind, 1e-30)), np.log10(np.maximum(begins, 1e-30))
     return kind + net.share[flat], kind, begins
 
@@ -552,12 +611,6 @@ def sample_bound(texts: int) -> int:
     return min((1 << 63) - 1, max(1, (3 * SAMPLE_DOCS << 62) // max(1, texts)))
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, rest: int = 1) -> DataFrame:
-    """``x, c``: every token of the training texts (the end is a line end) and its count; summed before the shuffle."""
-    t = docs.where(~held_out(F.col(id_col), parts, rest)).select(F.concat(lower_words(F.col(text_col)), F.array(F.lit("\n"))).alias("ws"))
-    return t.select(F.explode("ws").alias("x")).where("x <> ''").groupBy("x").agg(F.count("*").alias("c"))
-
-
 def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, parts: int = 5, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for each input row.
 
@@ -568,46 +621,51 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, parts: int = 5, res
     """
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    by_word = staged(word_counts(d, parts=parts, rest=rest))
-    counts = by_word.select(F.xxhash64("x").alias("w"), "c")
+    ranks = read_ranks(spark, tokenizer)
+    k = row_key("doc_id", "text")
+    keyed = d.select(k.alias("k"), F.shiftrightunsigned(k, 1).alias("h"), "doc_id", (~held_out(F.col("doc_id"), parts, rest)).alias("learn"), "text")
+    both = encoded(keyed, spark.sparkContext.broadcast(ranks))
+    texts = both.where("c IS NULL")
+    by_word = staged(both.where("w IS NOT NULL").groupBy("w").agg(F.sum("c").alias("c"), F.max("i").alias("i")))
+    counts = by_word.select("w", "c")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n), int(total.v)
     head = counts.where(F.col("c") >= threshold(by_word, HEAD)).toPandas()
     head_w, head_c = head["w"].to_numpy(np.int64), head["c"].to_numpy(np.float64)
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    ranks = read_ranks(spark, tokenizer)
-    texts_seen = by_word.where(F.col("x") == "\n").agg(F.coalesce(F.sum("c"), F.lit(1))).first()[0]
-    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
-    every = d.where(~held_out(F.col("doc_id"), parts, rest)).select(h.alias("h"), "text")
-    least = lambda rows: staged(rows.orderBy("h", "text").limit(SAMPLE_DOCS))
+    texts_seen = by_word.where(F.col("i") == END).agg(F.coalesce(F.sum("c"), F.lit(1))).first()[0]
+    every = texts.where("learn").select("h", F.pmod("h", F.lit(ROUNDS)).cast("int").alias("r"), "ids")
+    least = lambda rows: staged(rows.select("h", "ids").orderBy("h", "ids").limit(SAMPLE_DOCS))
     sample = least(every.where(F.col("h") <= F.lit(sample_bound(texts_seen))))
     if n and sample.isEmpty():  # a few texts, repeated very often, share few hashes
         sample = least(every)
-    words, streams, held = Words(ranks, head_w, head_c), [], 0
-    for r in sample.orderBy("h", "text").toLocalIterator():
-        ids = words.streams([r.text.encode()])[3]
+    streams, held = [], 0
+    for r in sample.orderBy("h", "ids").toLocalIterator():
+        ids = np.frombuffer(r.ids, np.uint16).astype(np.int64)
         if streams and held + len(ids) > SAMPLE_IDS:
             break
         streams.append(ids)
         held += len(ids)
-    whole_streams = subword_streams(every, spark.sparkContext.broadcast(ranks))
-    net = make_network(*_subword_counts(by_word, ranks), word_starts(ranks), corpus_directions(whole_streams, topics(streams)))
+    starts = word_starts(ranks)
+    net = make_network(*_subword_counts(both, by_word), starts, corpus_directions(every, topics(streams)))
     train(net, streams)
-    train_on_all(net, whole_streams)
-    del words, streams
-    shared = spark.sparkContext.broadcast((ranks, net, head_w, head_c))
-    keyed = d.select(row_key("doc_id", "text").alias("k"), F.col("text").cast("binary").alias("text"), "doc_id")
+    train_on_all(net, every)
+    del streams
+    shared = spark.sparkContext.broadcast((starts, net, head_w, head_c))
     id_type = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        ranks, net, head_w, head_c = shared.value
-        words = Words(ranks, head_w, head_c)
+        starts, net, head_w, head_c = shared.value
+        head, inputs = Head(head_w, head_c), _inputs(net.embed)
         for batch in batches:
-            texts, keys, own_ids = byte_column(batch.column(1)), batch.column(0), batch.column(2)
-            for a, b in groups(texts):
-                w, c, lens, flat, sizes = words.streams(texts[a:b])
-                per_doc = np.add.reduceat(lens, np.cumsum(sizes) - sizes)
-                whole, spelt = word_scores(net, flat, lens, stream_scores(net, flat, per_doc))
+            held, keys, own_ids = byte_column(batch.column(2)), batch.column(0), batch.column(1)
+            for a, b in groups(held):
+                flat, per_doc = np.frombuffer(b"".join(held[a:b]), np.uint16).astype(np.int64), np.array([len(x) // 2 for x in held[a:b]])
+                at = np.flatnonzero(starts[flat])
+                lens, sizes = np.diff(np.append(at, len(flat))), np.diff(np.append(0, np.searchsorted(at, np.cumsum(per_doc))))
+                w = word_keys(flat, at, lens)
+                c = head.of(w)
+                whole, spelt = word_scores(net, flat, lens, stream_scores(net, flat, per_doc, inputs=inputs))
                 known = c > 0
                 doc = np.repeat(np.arange(b - a), sizes)
                 here = np.bincount(doc[known], mixed_score(c[known], whole[known], spelt[known]), b - a)
@@ -618,7 +676,7 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, parts: int = 5, res
                 rest_of = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pairs)
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), own_ids.slice(a, b - a), pa.array(sizes), pa.array(np.bincount(doc[known], minlength=b - a)), pa.array(base), pa.array(here), rest_of], names=["k", "doc_id", "n_tokens", "n_known", "base", "own", "rest"])
 
-    scored = staged(keyed.mapInArrow(run, f"k long, doc_id {id_type}, n_tokens long, n_known long, base double, own double, rest array<struct<w: long, p: float, q: float>>"))
+    scored = staged(texts.select("k", "doc_id", "ids").mapInArrow(run, f"k long, doc_id {id_type}, n_tokens long, n_known long, base double, own double, rest array<struct<w: long, p: float, q: float>>"))
     tail = scored.select("k", F.size("rest").alias("size"), F.explode("rest").alias("r")).select("k", "size", "r.w", "r.p", "r.q").join(counts, "w", "left")
     c = F.coalesce("c", F.lit(0))
     power = lambda x: F.pow(F.lit(10.0), F.col(x).cast("double"))
@@ -632,31 +690,20 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, parts: int = 5, res
     return out.select("doc_id", held_out(F.col("doc_id"), parts, rest).alias("held_out"), "n_tokens", plus("n_known", "known2", 0).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "base2", 0.0).alias("base_score"), plus("own", "own2", 0.0).alias("score"))
 
 
-def _subword_counts(by_word: DataFrame, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _subword_counts(both: DataFrame, by_word: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By id: its count in all training texts, that of words by their first id, and that of words seen once.
 
-    A row for each id, so of the vocabulary's size, reaches the driver.
+    Rows for each id, so of the vocabulary's size, reach the driver.
     """
-    shared = by_word.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches):
-        encode, starts = load_encoder(shared.value).encode_ordinary, word_starts(shared.value)
-        total, first, once = (np.zeros(IDS, np.int64) for _ in range(3))
-        for batch in batches:
-            counts = batch.column(1).to_numpy()
-            ids, lens = word_subwords(encode, starts, batch.column(0).to_pylist())
-            total += np.bincount(ids, np.repeat(counts, lens), IDS).astype(np.int64)
-            start = ids[np.cumsum(lens) - lens]
-            first += np.bincount(start, counts, IDS).astype(np.int64)
-            once += np.bincount(start, counts == 1, IDS).astype(np.int64)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, total[ids], first[ids], once[ids])], names=["i", "total", "first", "once"])
-
-    rows = by_word.select("x", "c").mapInArrow(run, "i long, total long, first long, once long").groupBy("i").agg(F.sum("total").alias("total"), F.sum("first").alias("first"), F.sum("once").alias("once"))
-    found, out = rows.toPandas(), tuple(np.zeros(IDS) for _ in range(3))
-    for x, name in zip(out, ("total", "first", "once"), strict=True):
-        x[found["i"].to_numpy(np.int64)] = found[name].to_numpy(np.float64)
-    return out
+    total = both.where("w IS NULL AND c IS NOT NULL").groupBy("i").agg(F.sum("c").alias("total"))
+    words = by_word.groupBy("i").agg(F.sum("c").alias("first"), F.sum((F.col("c") == 1).cast("long")).alias("once"))
+    out = []
+    for rows, names in ((total, ["total"]), (words, ["first", "once"])):
+        found = rows.toPandas()
+        for name in names:
+            out.append(np.zeros(IDS))
+            out[-1][found["i"].to_numpy(np.int64)] = found[name].to_numpy(np.float64)
+    return tuple(out)
 
 
 def threshold(counts: DataFrame, most: int) -> int:

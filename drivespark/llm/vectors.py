@@ -29,14 +29,19 @@ def byte_column(column: pa.Array) -> list[bytes]:
 
 def groups(texts: list[bytes], block: int = BLOCK) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about ``block`` bytes together; one long text may be over it alone."""
+    return groups_of([len(t) for t in texts], block)
+
+
+def groups_of(sizes: list[int], block: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """``groups`` of texts of so many bytes."""
     first, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > block:
+    for i, n in enumerate(sizes):
+        if held and held + n > block:
             yield first, i
             first, held = i, 0
-        held += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
