@@ -114,13 +114,19 @@ class Words:
         self.counts = np.bincount(self.number[np.repeat(learn, sizes)], minlength=len(self.lens))
         self.ends = np.cumsum(sizes)
 
-    def streams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Subwords of all texts end to end, the ends included, and how many each has."""
-        held = self.lens[self.number]
-        ends = np.cumsum(held)
-        at = np.repeat(self.first[self.number] - (ends - held), held)
-        at += np.arange(len(at))
-        return self.ids.take(at), np.diff(np.append(0, ends[self.ends - 1]))
+    def streams(self, tokens: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """By runs of texts with about so many ``tokens``: first and end of the run, subwords of its texts end to end, the ends
+        included, and how many each has."""
+        first = begin = 0
+        while first < len(self.ends):
+            last = max(first + 1, int(np.searchsorted(self.ends, begin + tokens, side="right")))
+            number = self.number[begin : self.ends[last - 1]]
+            held = self.lens[number]
+            ends = np.cumsum(held)
+            at = np.repeat(self.first[number] - (ends - held), held)
+            at += np.arange(len(at))
+            yield first, last, self.ids.take(at), np.diff(np.append(0, ends[self.ends[first:last] - begin - 1]))
+            first, begin = last, self.ends[last - 1]
 
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the words that were counted: keys, counts, first subwords; and the counts of all subwords in them."""
@@ -353,7 +359,7 @@ def _block_gradients(net: Network, heads: np.ndarray, n: np.float32, inputs: np.
     p.reshape(-1)[at] = right * scale - 1 / n
     d_heads, d_seen, back = np.zeros_like(heads), np.zeros((len(rows) + 1, 2 * DIM + 1), np.float32), np.full(x.size, len(rows))
     for g, s in spans:
-        d_heads[g] = seen[s].T @ p[:, s].T
+        d_heads[g] = (p[:, s] @ seen[s]).T
         np.matmul(p[:, s].T, heads[g].T, out=d_seen[s])
     back[rows] = np.arange(len(rows))
     d_h = d_seen.take(back, axis=0).reshape(h.shape)
@@ -370,7 +376,10 @@ def _block_gradients(net: Network, heads: np.ndarray, n: np.float32, inputs: np.
     d_m = d_m.reshape(-1, 3 * DIM)
     d_e = (d_m @ _qkv(net)[:DIM, : 3 * DIM].T).reshape(*x.shape, DIM)
     d_e += d_h[..., DIM : 2 * DIM]
-    return d_e, loss, d_e.sum(axis=0), h.reshape(-1, 2 * DIM + 1)[:, DIM : 2 * DIM].T @ d_m, d_heads
+    # Products over all places at once are slower than those of a few windows each, then added.
+    few = 8 if len(x) % 8 == 0 else 1
+    d_qkv = h[..., DIM : 2 * DIM].reshape(-1, few * WINDOW, DIM).transpose(0, 2, 1) @ d_m.reshape(-1, few * WINDOW, 3 * DIM)
+    return d_e, loss, d_e.sum(axis=0), d_qkv.sum(axis=0), d_heads
 
 
 class Adam:
@@ -423,7 +432,7 @@ def windows_of(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(live, before[at], END), np.where(live, flat[at], END), live
 
 
-def encoded(texts: DataFrame, ranks, block: int = 16 * BLOCK) -> DataFrame:
+def encoded(texts: DataFrame, ranks, block: int = 32 * BLOCK) -> DataFrame:
     """``texts`` with ``ids``, the subwords of ``text`` as 16-bit numbers, in its place; staged.
 
     Beside them lie rows of counts ``c`` (null in the others) over the texts that are to ``learn`` from: of words by key ``w``, with
@@ -439,11 +448,11 @@ def encoded(texts: DataFrame, ranks, block: int = 16 * BLOCK) -> DataFrame:
             held, learn = batch.column("text"), np.array(batch.column("learn"), bool)
             for a, b in groups_of(pc.binary_length(held).fill_null(0).to_pylist(), block):
                 words = Words(encode, starts, held.slice(a, b - a), learn[a:b])
-                flat, sizes = words.streams()
-                cut = np.append(0, np.cumsum(sizes))
-                ids = [flat[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                none = [pa.nulls(b - a, pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), pa.array(ids, pa.binary()), *none], names=names)
+                for x, y, flat, sizes in words.streams():
+                    cut = np.append(0, np.cumsum(sizes))
+                    ids = [flat[f:t].tobytes() for f, t in zip(cut[:-1], cut[1:], strict=True)]
+                    none = [pa.nulls(y - x, pa.int64())] * 3
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a + x, y - x) for c in kept), pa.array(ids, pa.binary()), *none], names=names)
                 w, c, first, total = words.counted()
                 i = np.flatnonzero(total)
                 n = len(w) + len(i)
@@ -488,15 +497,20 @@ def corpus_directions(streams: DataFrame, direction: np.ndarray) -> np.ndarray:
     def run(batches):
         held, n, total = np.zeros((IDS, size)), np.zeros(IDS), np.zeros(size + 1)
         for flat, sizes in _stream_blocks(batches):
-            pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * IDS + flat)
-            doc, ids = pairs // IDS, pairs % IDS
+            pairs = np.repeat(np.arange(len(sizes)) * IDS, sizes) + flat
+            pairs.sort()
+            pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+            doc = pairs // IDS
+            ids = pairs - doc * IDS
             first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            mean = np.add.reduceat(shared.value[ids], first, axis=0) / np.diff(np.r_[first, len(doc)])[:, None]
+            many = np.diff(np.r_[first, len(doc)])
+            mean = np.add.reduceat(shared.value.take(ids, axis=0), first, axis=0) / many[:, None]
             total += [*mean.sum(axis=0), len(mean)]
-            row = np.repeat(np.arange(len(mean)), np.diff(np.r_[first, len(doc)]))
             n += np.bincount(ids, minlength=IDS)
-            for j in range(size):
-                held[:, j] += np.bincount(ids, mean[row, j], IDS)
+            order = np.argsort(ids.astype(np.uint16), kind="stable")
+            ids, row = ids.take(order), np.repeat(np.arange(len(mean)), many).take(order)
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            held[ids[first]] += np.add.reduceat(mean.take(row, axis=0), first, axis=0)
         i = np.flatnonzero(n)
         yield _row_batch(np.r_[i, IDS], np.r_[n[i], total[-1]], np.r_[held[i], total[None, :-1]])
 
@@ -603,7 +617,7 @@ def word_scores(net: Network, flat: np.ndarray, lens: np.ndarray, scores) -> tup
 
 def mixed_score(c: np.ndarray, whole: np.ndarray, spelt: np.ndarray) -> np.ndarray:
     """log10 of a word that was seen ``c`` times, from ``word_scores``."""
-    return np.log10(c * 10.0**whole + 10.0**spelt + 1e-300)
+    return np.log10(c * np.exp(whole * math.log(10)) + np.exp(spelt * math.log(10)) + 1e-300)
 
 
 def sample_bound(texts: int) -> int:
@@ -679,7 +693,7 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, parts: int = 5, res
     scored = staged(texts.select("k", "doc_id", "ids").mapInArrow(run, f"k long, doc_id {id_type}, n_tokens long, n_known long, base double, own double, rest array<struct<w: long, p: float, q: float>>"))
     tail = scored.select("k", F.size("rest").alias("size"), F.explode("rest").alias("r")).select("k", "size", "r.w", "r.p", "r.q").join(counts, "w", "left")
     c = F.coalesce("c", F.lit(0))
-    power = lambda x: F.pow(F.lit(10.0), F.col(x).cast("double"))
+    power = lambda x: F.exp(F.col(x).cast("double") * math.log(10))
     own = F.log10(c * power("p") + power("q") + F.lit(1e-300))
     base = F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))
     # Rows that agree in id and text share k, and each of them sent its words: what is summed is that many times too much.
