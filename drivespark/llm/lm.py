@@ -121,9 +121,9 @@ class Words:
         while first < len(self.ends):
             last = max(first + 1, int(np.searchsorted(self.ends, begin + tokens, side="right")))
             number = self.number[begin : self.ends[last - 1]]
-            held = self.lens[number]
+            held = self.lens.take(number)
             ends = np.cumsum(held)
-            at = np.repeat(self.first[number] - (ends - held), held)
+            at = np.repeat(self.first.take(number) - (ends - held), held)
             at += np.arange(len(at))
             yield first, last, self.ids.take(at), np.diff(np.append(0, ends[self.ends[first:last] - begin - 1]))
             first, begin = last, self.ends[last - 1]
@@ -146,8 +146,8 @@ def word_keys(flat: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
     power = np.full(int(lens.max()), 0x9E3779B97F4A7C15, np.uint64)
     power[0] = 1
     power = np.multiply.accumulate(power)
-    value = _ID_VALUE[flat]
-    value *= power[np.arange(len(flat)) - np.repeat(at, lens)]
+    value = _ID_VALUE.take(flat)
+    value *= power.take(np.arange(len(flat)) - np.repeat(at, lens))
     return mixed(np.add.reduceat(value, at) + lens.astype(np.uint64)).view(np.int64)
 
 
@@ -166,7 +166,7 @@ class Head:
     def of(self, keys: np.ndarray) -> np.ndarray:
         """The count of each key; 0: not held."""
         slot = self._slots(keys)
-        return np.where(self.keys[slot] == keys, self.counts[slot], 0.0)
+        return np.where(self.keys.take(slot) == keys, self.counts.take(slot), 0.0)
 
 
 @dataclass
@@ -304,7 +304,7 @@ def _outputs(net: Network, heads: np.ndarray, h: np.ndarray, rows: np.ndarray, y
     The rows in order of groups; each group and its slice; what the layers see; a row for each group and leaf: exp of
     what the layers say; its sums by layer; and where in it, flat, the group and the leaf that follow stand.
     """
-    own = net.group[y].astype(np.uint8)
+    own = net.group.take(y).astype(np.uint8)
     order = np.argsort(own, kind="stable")
     own = own.take(order)
     rows = rows.take(order)
@@ -429,7 +429,7 @@ def windows_of(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = ((ends - sizes)[doc] + turn * WINDOW)[:, None] + np.arange(WINDOW)
     live = at < ends[doc][:, None]
     np.minimum(at, max(0, len(flat) - 1), out=at)
-    return np.where(live, before[at], END), np.where(live, flat[at], END), live
+    return np.where(live, before.take(at), END), np.where(live, flat.take(at), END), live
 
 
 def encoded(texts: DataFrame, ranks, block: int = 32 * BLOCK) -> DataFrame:
@@ -534,7 +534,7 @@ def train_on_all(net: Network, streams: DataFrame, rounds: int = ROUNDS) -> list
                 order = rng.permutation(len(x))
                 for i in range(0, len(x), STEP):
                     rows = order[i : i + STEP]
-                    adam.step(x[rows], y[rows], live[rows], rate)
+                    adam.step(x.take(rows, axis=0), y.take(rows, axis=0), live.take(rows, axis=0), rate)
                 used += np.bincount(x[live], minlength=IDS)
                 places += int(live.sum())
             if places:
@@ -596,7 +596,7 @@ def stream_scores(net: Network, flat: np.ndarray, sizes: np.ndarray, batch: int
         kind[to] = right[0] * right[1]
         begins[to] = p[:FIRST].sum(axis=0) / sums[0]
     kind, begins = np.log10(np.maximum(kind, 1e-30)), np.log10(np.maximum(begins, 1e-30))
-    return kind + net.share[flat], kind, begins
+    return kind + net.share.take(flat), kind, begins
 
 
 def word_scores(net: Network, flat: np.ndarray, lens: np.ndarray, scores) -> tuple[np.ndarray, np.ndarray]:
@@ -606,12 +606,13 @@ def word_scores(net: Network, flat: np.ndarray, lens: np.ndarray, scores) -> tup
     """
     own, kind, begins = scores
     at = np.cumsum(lens) - lens
-    first = flat[at]
-    mine, end = kind[at].astype(np.float64) - begins[at], first == END
-    inner = np.add.reduceat(own, at) - own[at] if len(at) else np.zeros(0)
-    after = np.where(end, 0.0, np.r_[begins[at[1:]], 0.0][: len(at)])
-    spelt = np.where(end, 0.0, net.new[net.group[first], net.leaf[first]]) + net.share[first] + inner + after
-    whole = np.where(end, -300.0, net.known[net.group[first], net.leaf[first]])
+    first = flat.take(at)
+    started, cell = begins.take(at), net.group.take(first) * LEAVES + net.leaf.take(first)
+    mine, end = kind.take(at).astype(np.float64) - started, first == END
+    inner = np.add.reduceat(own, at) - own.take(at) if len(at) else np.zeros(0)
+    after = np.where(end, 0.0, np.r_[started[1:], 0.0][: len(at)])
+    spelt = np.where(end, 0.0, net.new.take(cell)) + net.share.take(first) + inner + after
+    whole = np.where(end, -300.0, net.known.take(cell))
     return mine + whole, mine + spelt
 
 
@@ -675,7 +676,7 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, parts: int = 5, res
             held, keys, own_ids = byte_column(batch.column(2)), batch.column(0), batch.column(1)
             for a, b in groups(held):
                 flat, per_doc = np.frombuffer(b"".join(held[a:b]), np.uint16).astype(np.int64), np.array([len(x) // 2 for x in held[a:b]])
-                at = np.flatnonzero(starts[flat])
+                at = np.flatnonzero(starts.take(flat))
                 lens, sizes = np.diff(np.append(at, len(flat))), np.diff(np.append(0, np.searchsorted(at, np.cumsum(per_doc))))
                 w = word_keys(flat, at, lens)
                 c = head.of(w)
