@@ -54,14 +54,28 @@ def sensor_faults(samples: DataFrame, keys: Sequence[str] = ("drive", "sensor"),
     return d.withColumns({"fault": fault, "stalls": stalls}).drop("__ok", "__n", "__run", "__held")
 
 
+def _spread(values: Column) -> Column:
+    """The population's standard deviation of an array, by running means in its order (Welford); null of none."""
+    state = lambda n, mean, squares: F.struct(n.alias("n"), mean.alias("mean"), squares.alias("squares"))
+
+    def add(s, x):
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return state(s["n"] + 1, mean, s["squares"] + (x - mean) * (x - s["mean"]))
+
+    return F.aggregate(values, state(F.lit(0.0), F.lit(0.0), F.lit(0.0)), add, lambda s: F.sqrt(F.try_divide(s["squares"], s["n"])))
+
+
 def stop_detection(imu: DataFrame, magnitude: str = "magnitude", keys: Sequence[str] = ("drive",), t_us: str = "t_us", limit: float = 0.6, enter_us: int = 800_000, exit_us: int = 250_000, window_us: int = 1_000_000) -> DataFrame:
     """Adds ``stationary``: on once the last second has been quiet for ``enter_us``, off once it has been loud for ``exit_us``.
 
     The hysteresis is no recursion: a row decides if its run of quiet or loud rows has lasted long enough, and any other
-    row has the state of the last one that decided. Seconds of under three samples decide nothing.
+    row has the state of the last one that decided. Seconds of under three samples decide nothing. Samples of short decimals
+    lie on the limit now and then: there the order of the sums decides, so it is laid down (``_spread``).
     """
     second = Window.partitionBy(*keys).orderBy(t_us).rangeBetween(-window_us, 0)
-    d = imu.withColumns({"__quiet": F.stddev_pop(magnitude).over(second) < limit, "__many": F.count(magnitude).over(second) >= 3})
+    d = imu.withColumns({"__spread": F.stddev_pop(magnitude).over(second), "__held": F.collect_list(magnitude).over(second), "__many": F.count(magnitude).over(second) >= 3})
+    near = F.abs(F.col("__spread") - limit) <= 1e-9 * limit
+    d = d.withColumn("__quiet", F.when(near, _spread(F.col("__held"))).otherwise(F.col("__spread")) < limit).drop("__spread", "__held")
     by = Window.partitionBy(*keys, "__many").orderBy(t_us)
     d = d.withColumn("__new", (~F.col("__quiet").eqNullSafe(F.lag("__quiet").over(by))).cast("int")).withColumn("__run", F.sum("__new").over(by))
     since = F.min(t_us).over(Window.partitionBy(*keys, "__many", "__run"))
