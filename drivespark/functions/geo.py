@@ -96,8 +96,12 @@ def polyline_length_m(line: Column, radius: float = MAP_RADIUS_M) -> Column:
 
 def project_point_to_segment(lat: Column, lon: Column, a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column) -> Column:
     """Struct of the foot on a segment (clamped to its ends): ``perp_m, along_m, foot_lat, foot_lon, heading_deg``."""
-    bn, be = ned_between(a_lat, a_lon, b_lat, b_lon)
-    pn, pe = ned_between(a_lat, a_lon, lat, lon)
+    # Metres of a radian first, and short ways not wrapped: two segments at one distance shall not differ by rounding.
+    meridian, normal = _radii(a_lat)
+    around = normal * F.cos(F.radians(a_lat))
+    turn = lambda d: F.when(F.abs(d) <= 180, F.radians(d)).otherwise(wrap_pi(F.radians(d)))
+    bn, be = F.radians(b_lat - a_lat) * meridian, turn(b_lon - a_lon) * around
+    pn, pe = F.radians(lat - a_lat) * meridian, turn(lon - a_lon) * around
     # A lambda over an array of one names a value: what is used again is evaluated once, and the code stays small.
     ends = F.array(F.struct(bn.alias("bn"), be.alias("be"), pn.alias("pn"), pe.alias("pe")))
     square = lambda v: v.bn * v.bn + v.be * v.be

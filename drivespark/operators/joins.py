@@ -76,24 +76,34 @@ def nearby_edges(points: DataFrame, edges: DataFrame, radius_m: float = 60.0, k:
     """The ``k`` nearest segments within ``radius_m`` of each point: ``point_id, edge_id, perp_m, along_m``.
 
     Segments are filed under every grid cell that their box, widened by the radius, meets; a point looks in its own cell,
-    so the join is an equi-join and no pair is met twice. Cells are counted in metres at ``ref_lat``.
+    so the join is an equi-join and no pair is met twice. Cells are counted in metres at ``ref_lat``. Places are searched once,
+    however many points are at them; of a segment's projection only what its box, widened by the radius, may reach is made.
     """
     import math
 
     wide_lat = radius_m / 110_000
     wide_lon = wide_lat / math.cos(math.radians(min(80.0, abs(ref_lat) + 5)))
     at = lambda lat, lon: geo.grid_cell(lat, lon, cell_m, ref_lat)
-    lo = at(F.least("a_lat", "b_lat") - wide_lat, F.least("a_lon", "b_lon") - wide_lon)
-    hi = at(F.greatest("a_lat", "b_lat") + wide_lat, F.greatest("a_lon", "b_lon") + wide_lon)
+    south, west = F.least("a_lat", "b_lat") - wide_lat, F.least("a_lon", "b_lon") - wide_lon
+    north, east = F.greatest("a_lat", "b_lat") + wide_lat, F.greatest("a_lon", "b_lon") + wide_lon
+    lo, hi = at(south, west), at(north, east)
+    own_lon = F.lit(wide_lat) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + 1)))
     e = edges.withColumn("gx", F.explode(F.sequence(lo[0], hi[0]))).withColumn("gy", F.explode(F.sequence(lo[1], hi[1])))
+    spots = points.select("lat", "lon").distinct()
     gx, gy = at(F.col("lat"), F.col("lon"))
-    p = points.withColumns({"gx": gx, "gy": gy})
+    d = spots.withColumns({"gx": gx, "gy": gy, "__w": own_lon}).join(e, ["gx", "gy"])
+    d = d.where(F.col("lat").between(south, north) & F.col("lon").between(F.least("a_lon", "b_lon") - F.col("__w"), F.greatest("a_lon", "b_lon") + F.col("__w")))
     foot = geo.project_point_to_segment(*(F.col(c) for c in ("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")))
     # inline() evaluates the projection once for each candidate; what follows reads plain columns.
-    near = p.join(e, ["gx", "gy"]).select("point_id", "edge_id", F.inline(F.array(foot))).where(F.col("perp_m") <= radius_m)
-    best = near.groupBy("point_id", "edge_id").agg(F.min("perp_m").alias("perp_m"), F.min_by("along_m", "perp_m").alias("along_m"))
+    near = d.select("lat", "lon", "edge_id", F.inline(F.array(foot))).where(F.col("perp_m") <= radius_m)
+    best = near.groupBy("lat", "lon", "edge_id").agg(F.min(F.struct("perp_m", "along_m")).alias("f")).select("lat", "lon", "edge_id", "f.*")
+    place = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("perp_m", "edge_id"))
+    best = best.withColumn("__r", place).where(F.col("__r") <= k).drop("__r")
+    # A point that repeats its id at another place is one point, and the nearest of all its places counts.
+    met = points.select("point_id", "lat", "lon").join(best, ["lat", "lon"])
+    met = met.groupBy("point_id", "edge_id").agg(F.min(F.struct("perp_m", "along_m")).alias("f")).select("point_id", "edge_id", "f.*")
     r = F.row_number().over(Window.partitionBy("point_id").orderBy("perp_m", "edge_id"))
-    return best.withColumn("rank", r).where(F.col("rank") <= k).select("point_id", "edge_id", "rank", "perp_m", "along_m")
+    return met.withColumn("rank", r).where(F.col("rank") <= k).select("point_id", "edge_id", "rank", "perp_m", "along_m")
 
 
 def roads_in_bbox(segments: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
