@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,20 +167,75 @@ def records_in_windows(records: DataFrame, windows: DataFrame, key: str, time: s
     return records.join(w, (F.col(key) == F.col("__k")) & (F.col(time) >= F.col("start")) & (F.col(time) < F.col("start") + F.col("length"))).drop("__k")
 
 
-def match_descriptors(queries: DataFrame, anchors: DataFrame, words: int = 4) -> DataFrame:
+def match_descriptors(queries: DataFrame, anchors: DataFrame, words: int = 4, block: int = BROADCAST_ROWS) -> DataFrame:
     """Best and second similarity (1 - Hamming / bits) of each query to the anchors, descriptors as arrays of longs.
 
-    Anchors are a registered catalogue: the caller's table is broadcast behind a count, else Spark joins it as it is.
+    Every query meets every anchor, in numpy: a block of about ``block`` anchors goes to all tasks at a time, and a batch of
+    queries keeps the two best of it, so no pair is a row. Of equal similarities the smaller anchor counts; a null in a
+    descriptor is less similar than anything.
     """
-    diff = sum((F.bit_count(F.col("q")[i].bitwiseXOR(F.col("a")[i])) for i in range(1, words)), F.bit_count(F.col("q")[0].bitwiseXOR(F.col("a")[0])))
-    d = queries.select("query_id", F.col("descriptor").alias("q")).crossJoin(small(anchors.select("anchor_id", F.col("descriptor").alias("a"))))
-    d = d.withColumn("similarity", F.lit(1.0) - diff / (64.0 * words))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "anchor_id"))
-    two = d.withColumn("place", place).where("place <= 2")
+    bits = 64 * words
+    named = [F.col("descriptor")[i].alias(f"w{i}") for i in range(words)]
+    held = staged(anchors.select("anchor_id", *named))
+    asked = staged(queries.select("query_id", *named))
+    parts = -(-held.count() // block)
+    kinds = {n: t for d in (asked, held) for n, t in d.dtypes}
+    schema = f"query_id {kinds['query_id']}, anchor_id {kinds['anchor_id']}, apart int"
+
+    def best(part: int) -> DataFrame:
+        table = held.where(F.pmod(F.xxhash64("anchor_id"), F.lit(parts)) == part).orderBy("anchor_id").toArrow().combine_chunks()
+        ids, (bad, descriptors) = table["anchor_id"], _descriptors(table, words)
+
+        def run(batches):
+            for batch in batches:
+                no, rows = _descriptors(batch, words)
+                for at in range(0, len(rows), 64):
+                    near, apart = _two_nearest(rows[at : at + 64], no[at : at + 64], descriptors, bad, bits)
+                    n, k = near.shape
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(at, at + n), k))), ids.take(pa.array(near.ravel())).combine_chunks(), pa.array(apart.ravel(), pa.int32())], ["query_id", "anchor_id", "apart"])
+
+        return asked.repartition(F.col("query_id")).mapInArrow(run, schema) if len(table) else asked.sparkSession.createDataFrame([], schema)
+
+    found = [staged(best(part)) for part in range(parts)]
+    if not found:
+        return asked.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, anchor_id {kinds['anchor_id']}, best double, second double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("apart", "anchor_id"))
+    two = reduce(DataFrame.unionByName, found).withColumn("place", place).where("place <= 2").withColumn("similarity", F.when(F.col("apart") <= bits, F.lit(1.0) - F.col("apart") / float(bits)))
     at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
     return two.groupBy("query_id").agg(at(1, "anchor_id").alias("anchor_id"), at(1, "similarity").alias("best"), at(2, "similarity").alias("second"))
 
 
+def _descriptors(table: pa.Table | pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows hold a null, and the words of all."""
+    columns = [table.column(f"w{i}") for i in range(words)]
+    columns = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns]
+    bad = np.zeros(len(table), bool)
+    for x in columns:
+        bad |= x.is_null().to_numpy(zero_copy_only=False)
+    return bad, np.stack([x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for x in columns], axis=1)
+
+
+def _two_nearest(rows: np.ndarray, no: np.ndarray, anchors: np.ndarray, bad: np.ndarray, bits: int, step: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the numbers of the two nearest anchors (one, if there is one) and the bits they are apart, the first of equals."""
+    near, apart = [], []
+    every = np.arange(len(rows))
+    for at in range(0, len(anchors), step):
+        own = anchors[at : at + step]
+        d = np.bitwise_count(rows[:, None, 0] ^ own[None, :, 0]).astype(np.uint16)
+        for w in range(1, own.shape[1]):
+            d += np.bitwise_count(rows[:, None, w] ^ own[None, :, w])
+        d[:, bad[at : at + step]] = bits + 1
+        d[no] = bits + 1
+        for _ in range(min(2, len(own))):
+            i = d.argmin(1)
+            near.append(i + at)
+            apart.append(d[every, i].astype(np.int32))
+            d[every, i] = np.iinfo(np.uint16).max
+    near, apart = np.stack(near, axis=1), np.stack(apart, axis=1)
+    order = np.argsort(apart, axis=1, kind="stable")[:, :2]
+    return np.take_along_axis(near, order, 1), np.take_along_axis(apart, order, 1)
+
+
 def match_anchors(obs: DataFrame, anchors: DataFrame, distance: Column, floor_m: float = 50.0) -> DataFrame:
     """Scanned payloads against registered anchors, with the reason of each refusal."""
     d = obs.join(anchors, "payload", "left")
