@@ -18,6 +18,9 @@ MERGE_M, SAMPLE_M, PASSED_M, ARRIVED_M = 15.0, 10.0, 5.0, 30.0
 #: What of the route is searched around the progress, what a metre along it costs, and when a drive is off it.
 BACK_M, FORWARD_M, ALONG_PENALTY, OFF_M, OFF_FIXES = 150.0, 1000.0, 0.05, 50.0, 3
 
+#: Pieces of routes, twice over, that drives followed together have at most (one longer route goes alone).
+TOGETHER = 400_000
+
 c = F.col
 
 
@@ -66,17 +69,19 @@ def placed_steps(steps: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return s, p.select("route_id", (c("start_m") + c("inner")).alias("at_m"), "size_m", "a_lat", "a_lon", "b_lat", "b_lon")
 
 
-def _merge(frame: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, list]:
+def _merge(frame: pd.DataFrame, starts, ends, states: list, *_) -> tuple[dict, list]:
     """Numbers of groups: a turn joins the one that stands before it if it is near; the larger of the two stands then."""
-    groups = []
-    at, turn, group = state or (-np.inf, 0.0, 0)
-    for m, deg in zip(frame["at_m"].tolist(), frame["turn_deg"].tolist(), strict=True):
-        if m - at >= MERGE_M:
-            at, turn, group = m, abs(deg), group + 1
-        elif abs(deg) > turn:
-            at, turn = m, abs(deg)
-        groups.append(group)
-    return pd.DataFrame({"group": groups}), [at, turn, group]
+    groups, metres, turns, left = [], frame["at_m"].tolist(), frame["turn_deg"].tolist(), []
+    for a, b, state in zip(starts.tolist(), ends.tolist(), states, strict=True):
+        at, turn, group = state or (-np.inf, 0.0, 0)
+        for m, deg in zip(metres[a:b], turns[a:b], strict=True):
+            if m - at >= MERGE_M:
+                at, turn, group = m, abs(deg), group + 1
+            elif abs(deg) > turn:
+                at, turn = m, abs(deg)
+            groups.append(group)
+        left.append([at, turn, group])
+    return {"group": np.array(groups, np.int64)}, left
 
 
 def route_maneuvers(placed: tuple[DataFrame, DataFrame], edges: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -110,7 +115,7 @@ def route_maneuvers(placed: tuple[DataFrame, DataFrame], edges: DataFrame, piece
     d = staged(d.withColumn("turn_deg", F.when(c("kind") == 1, turn)))
     size, side = F.abs("turn_deg"), F.when(c("turn_deg") > 0, "right").otherwise("left")
     told = d.where("kind = 1").withColumn("word", F.when(size < SLIGHT_DEG, F.when(c("renamed"), F.lit("continue"))).when(size < TURN_DEG, F.concat(F.lit("slight_"), side)).when(size < SHARP_DEG, side).when(size < U_TURN_DEG, F.concat(F.lit("sharp_"), side)).otherwise("u_turn"))
-    told = carried(told.where("word IS NOT NULL"), "route_id", ["at_m", "seq"], ["at_m", "turn_deg"], _merge, "group long", piece)
+    told = carried(told.where("word IS NOT NULL"), "route_id", ["at_m", "seq"], ["at_m", "turn_deg"], _merge, "group long", piece, many=True)
     stands = Window.partitionBy("route_id", "group").orderBy(F.desc(size), "at_m", "seq")
     told = told.withColumn("__r", F.row_number().over(stands)).where("__r = 1")
     whole = d.where("kind <> 1").withColumn("word", F.when(c("kind") == 0, "depart").otherwise("arrive")).unionByName(told.select(*d.columns, "word"))
@@ -126,54 +131,95 @@ def route_tunnels(placed: tuple[DataFrame, DataFrame]) -> DataFrame:
     return t.groupBy("route_id", "group").agg(F.min("start_m").alias("from_m"), F.max("end_m").alias("to_m")).drop("group")
 
 
-def _north_east(lat0, lon0, lat, lon):
-    """Metres north and east of places, as ``geo.ned_between`` has them."""
-    s = np.sin(np.radians(lat0))
+def _scales(lat):
+    """Of places: what ``_north_east`` divides and multiplies by."""
+    s = np.sin(np.radians(lat))
     w = 1 - geo.ECCENTRICITY_2 * s * s
+    return w * np.sqrt(w), np.sqrt(w), np.cos(np.radians(lat))
+
+
+def _north_east(lat0, lon0, scales, lat, lon):
+    """Metres north and east of places, as ``geo.ned_between`` has them."""
+    cubed, root, cos = scales
     turn = np.pi - (np.pi - np.radians(lon - lon0)) % (2 * np.pi)
-    return np.radians(lat - lat0) * (geo.SEMI_MAJOR_M * (1 - geo.ECCENTRICITY_2)) / (w * np.sqrt(w)), turn * geo.SEMI_MAJOR_M / np.sqrt(w) * np.cos(np.radians(lat0))
-
-
-def _follow(frame: pd.DataFrame, state: list | None, held: pd.DataFrame) -> tuple[pd.DataFrame, list]:
-    """Progress fix by fix: each is held against the route's pieces near the progress, all of them at once."""
-    names = ["along_m", "off_m", "off_route", "remaining_m", "remaining_s", "arrived", "next_kind", "next_in_m"]
-    along, streak, off_route = state or (0.0, 0, False)
-    if held.empty:
-        return pd.DataFrame([[None] * len(names)] * len(frame), columns=names), [along, streak, off_route]
-    own = held.iloc[0]
-    line = np.asarray(own["polyline"], float).reshape(-1, 2)
-    a = line[:-1]
-    bn, be = _north_east(a[:, 0], a[:, 1], line[1:, 0], line[1:, 1])
+    return np.radians(lat - lat0) * (geo.SEMI_MAJOR_M * (1 - geo.ECCENTRICITY_2)) / cubed, turn * geo.SEMI_MAJOR_M / root * cos
+
+
+def _padded(arrays: list, fill: float) -> np.ndarray:
+    out = np.full((len(arrays), max(map(len, arrays), default=0)), fill)
+    for row, x in zip(out, arrays, strict=True):
+        row[: len(x)] = x
+    return out
+
+
+def _follow(frame: pd.DataFrame, starts, ends, states: list, held: pd.DataFrame, first: list) -> tuple[dict, list]:
+    """Progress fix by fix, of all drives of a batch together: each is held against its route's pieces near the progress."""
+    total = len(frame)
+    out = {n: np.full(total, np.nan) for n in ("along_m", "off_m", "remaining_m", "remaining_s", "next_in_m")} | {n: np.full(total, None, object) for n in ("off_route", "arrived", "next_kind")}
+    left, fixes = [x or [0.0, 0, False] for x in states], [frame[x].to_numpy(float) for x in ("lat", "lon", "accuracy_m")]
+    lines = held["polyline"].tolist()
+    keys = sorted((i for i, row in enumerate(first) if row >= 0), key=lambda i: len(lines[first[i]]))
+    while keys:  # drives with routes of about one length, as many as a table of their pieces may hold
+        n = max(1, TOGETHER // len(lines[first[keys[-1]]]))
+        keys, some = keys[:-n], keys[-n:]
+        some.sort(key=lambda i: starts[i] - ends[i])
+        own = held.iloc[[first[i] for i in some]]
+        _follow_some(fixes, out, starts[some], (ends - starts)[some], own, some, left)
+    return out, left
+
+
+def _follow_some(fixes: list, out: dict, starts, counts, own: pd.DataFrame, some: list, left: list) -> None:
+    """``_follow`` for drives in order of falling counts of fixes: the first fixes of all, then the second ones, and so on."""
+    routes = [np.asarray(x, float).reshape(-1, 2) for x in own["polyline"]]
+    size = np.array([len(x) - 1 for x in routes])
+    a_lat, a_lon, b_lat, b_lon = (_padded([x[cut, j] for x in routes], 0.0) for cut in (slice(None, -1), slice(1, None)) for j in (0, 1))
+    scales = _scales(a_lat)
+    bn, be = _north_east(a_lat, a_lon, scales, b_lat, b_lon)
     square = bn * bn + be * be
-    upto = np.concatenate([[0.0], np.cumsum(np.sqrt(square))])
-    total, told = upto[-1], own["told"] if own["told"] is not None else []
-    told_m = np.array([m["at_m"] for m in told], float)
-
-    def nearest(lat, lon, lo, hi):
-        pn, pe = _north_east(a[lo:hi, 0], a[lo:hi, 1], lat, lon)
-        n, e, q = bn[lo:hi], be[lo:hi], square[lo:hi]
-        t = np.where(q < 1e-9, 0.0, np.clip((pn * n + pe * e) / np.maximum(q, 1e-9), 0.0, 1.0))
-        off, at = np.sqrt((pn - n * t) ** 2 + (pe - e * t) ** 2), upto[lo:hi] + np.sqrt(q) * t
-        best = np.argmin(off + ALONG_PENALTY * np.abs(at - along))
-        return float(off[best]), float(at[best])
-
-    piece_at = lambda m: min(max(int(np.searchsorted(upto, m, "right")) - 1, 0), len(a) - 1)
-    rows = []
-    for lat, lon, accuracy in zip(*(frame[x].tolist() for x in ("lat", "lon", "accuracy_m")), strict=True):
-        off, at = nearest(lat, lon, piece_at(max(0.0, along - BACK_M)), piece_at(min(total, along + FORWARD_M)) + 1)
-        if off > OFF_M:  # anywhere on the route
-            far = nearest(lat, lon, 0, len(a))
-            off, at = far if far[0] < off else (off, at)
-        if off <= max(OFF_M, 0.0 if pd.isna(accuracy) else 2 * accuracy):
-            along, streak, off_route = at, 0, False
-        else:
-            streak += 1
-            off_route = off_route or streak >= OFF_FIXES
-        left = max(0.0, total - along)
-        n = int(np.searchsorted(told_m, along + PASSED_M, "right"))
-        ahead = (told[n]["kind"], float(told_m[n] - along)) if n < len(told) else (None, None)
-        rows.append((along, off, off_route, left, own["duration_s"] * (left / total) if total > 0 else 0.0, left < ARRIVED_M, *ahead))
-    return pd.DataFrame(rows, columns=names), [along, streak, off_route]
+    root, flat, whole = np.sqrt(square), square < 1e-9, np.maximum(square, 1e-9)
+    number = np.arange(a_lat.shape[1])
+    real = number < size[:, None]
+    upto = np.concatenate([np.zeros((len(some), 1)), np.cumsum(np.where(real, root, 0.0), axis=1)], axis=1)
+    length = upto[:, -1]
+    upto[:, 1:][~real] = np.inf
+    told = [x if x is not None else [] for x in own["told"]]
+    told_m, told_n = _padded([[m["at_m"] for m in x] for x in told], np.inf), np.array([len(x) for x in told])
+    duration = own["duration_s"].to_numpy(float)
+    along, streak, gone = (np.array([left[i][j] for i in some], t) for j, t in enumerate((float, int, bool)))
+    lat_of, lon_of, accuracy_of = fixes
+
+    def piece_at(m, k):
+        return np.clip((upto[:k] <= m[:, None]).sum(1) - 1, 0, size[:k] - 1)
+
+    for j in range(int(counts[0])):
+        k = int(np.searchsorted(-counts, -j, "left"))  # the drives that have more than j fixes
+        at_row, each = starts[:k] + j, np.arange(k)
+        lat, lon, accuracy, here = lat_of[at_row], lon_of[at_row], accuracy_of[at_row], along[:k]
+        pn, pe = _north_east(a_lat[:k], a_lon[:k], tuple(x[:k] for x in scales), lat[:, None], lon[:, None])
+        t = np.where(flat[:k], 0.0, np.clip((pn * bn[:k] + pe * be[:k]) / whole[:k], 0.0, 1.0))
+        offs, ats = np.sqrt((pn - bn[:k] * t) ** 2 + (pe - be[:k] * t) ** 2), upto[:k, :-1] + root[:k] * t
+        with np.errstate(invalid="ignore"):
+            score = np.where(real[:k], offs + ALONG_PENALTY * np.abs(ats - here[:, None]), np.inf)
+        lo, hi = piece_at(np.maximum(0.0, here - BACK_M), k), piece_at(np.minimum(length[:k], here + FORWARD_M), k)
+        near = np.where((number >= lo[:, None]) & (number <= hi[:, None]), score, np.inf).argmin(1)
+        far = score.argmin(1)  # anywhere on the route
+        off = offs[each, near]
+        best = np.where((off > OFF_M) & (offs[each, far] < off), far, near)
+        off, at = offs[each, best], ats[each, best]
+        on = off <= np.maximum(OFF_M, np.where(np.isnan(accuracy), 0.0, 2 * accuracy))
+        streak[:k] = np.where(on, 0, streak[:k] + 1)
+        gone[:k] = ~on & (gone[:k] | (streak[:k] >= OFF_FIXES))
+        along[:k] = np.where(on, at, here)
+        rest = np.maximum(0.0, length[:k] - along[:k])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            seconds = np.where(length[:k] > 0, duration[:k] * (rest / length[:k]), 0.0)
+        for name, x in (("along_m", along[:k]), ("off_m", off), ("off_route", gone[:k]), ("remaining_m", rest), ("remaining_s", seconds), ("arrived", rest < ARRIVED_M)):
+            out[name][at_row] = x
+        passed = (told_m[:k] <= (along[:k] + PASSED_M)[:, None]).sum(1)
+        for i in np.flatnonzero(passed < told_n[:k]).tolist():
+            out["next_kind"][at_row[i]], out["next_in_m"][at_row[i]] = told[i][passed[i]]["kind"], told_m[i, passed[i]] - along[i]
+    for i, state in zip(some, zip(along.tolist(), streak.tolist(), gone.tolist(), strict=True), strict=True):
+        left[i] = list(state)
 
 
 def route_progress(fixes: DataFrame, routes: DataFrame, maneuvers: DataFrame, key: str = "drive_id", piece: int = PIECE) -> DataFrame:
@@ -196,4 +242,4 @@ def route_progress(fixes: DataFrame, routes: DataFrame, maneuvers: DataFrame, ke
     beside = r.join(told, r[key].eqNullSafe(told["__k"]), "left").drop("__k")
     whole = fixes.where("t_us IS NOT NULL AND abs(lat) <= 90 AND abs(lon) < double('infinity')").withColumn("accuracy_m", c("accuracy_m").cast("double"))
     added = "along_m double, off_m double, off_route boolean, remaining_m double, remaining_s double, arrived boolean, next_kind string, next_in_m double"
-    return carried(whole, key, ["t_us", "lat", "lon", "accuracy_m"], ["t_us", "lat", "lon", "accuracy_m"], _follow, added, piece, beside)
+    return carried(whole, key, ["t_us", "lat", "lon", "accuracy_m"], ["t_us", "lat", "lon", "accuracy_m"], _follow, added, piece, beside, many=True)
