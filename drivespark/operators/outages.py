@@ -17,8 +17,8 @@ from .joins import last_at_or_before
 MODES = ("true_heading", "gyro_heading")
 
 
-def _tracks(df: DataFrame, speeds: dict[str, str], keys: Sequence[str], order: str, speed: str, heading: str, gz: str, east: str, north: str, dt: float) -> DataFrame:
-    """Rows with their number and, in ``s``, the running sums that any window is a difference of."""
+def _tracks(df: DataFrame, speeds: dict[str, str], held: str, keys: Sequence[str], order: str, speed: str, heading: str, gz: str, east: str, north: str, dt: float) -> DataFrame:
+    """Rows with their number, the speed held from there (``v0``) and, in ``s``, the running sums that any window is a difference of."""
     w = Window.partitionBy(*keys).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     turned = F.sum(F.col(gz) * dt).over(upto)
@@ -31,7 +31,7 @@ def _tracks(df: DataFrame, speeds: dict[str, str], keys: Sequence[str], order: s
             sums += [F.sum(v * F.sin(angle) * dt).over(upto).alias(f"{name}_{mode}_s"), F.sum(v * F.cos(angle) * dt).over(upto).alias(f"{name}_{mode}_c")]
         if column is not None:
             sums.append(F.sum(F.when(F.col(column).isNull() | F.isnan(column), 1).otherwise(0)).over(upto).alias(f"{name}_missing"))
-    return d.select(*keys, F.col("__i").alias("i"), F.struct(F.col("__i").alias("i"), *sums).alias("s"))
+    return d.select(*keys, F.col("__i").alias("i"), F.col(held).cast("double").alias("v0"), F.struct(F.col("__i").alias("i"), *sums).alias("s"))
 
 
 def drift_over_windows(df: DataFrame, speeds: dict[str, str], held: str, keys: Sequence[str] = ("trip_id", "seg_id"), order: str = "i", speed: str = "speed_ms", heading: str = "heading_deg", gz: str = "gz", east: str = "east", north: str = "north", horizons_s: Sequence[float] = (30, 60), distances_m: Sequence[float] = (1000.0,), stride_s: float = 10.0, first: int = 19, min_mean_speed: float = 3.0, dt: float = 0.1) -> DataFrame:
@@ -41,20 +41,20 @@ def drift_over_windows(df: DataFrame, speeds: dict[str, str], held: str, keys: S
     every ``stride_s`` from row ``first`` on and last a time, or until a distance is driven; those that don't fit are left
     out. ``skipped`` marks a mean speed under ``min_mean_speed`` or a missing prediction: no error then.
     """
-    t = _tracks(df.withColumn("__held", F.col(held)), speeds, keys, order, speed, heading, gz, east, north, dt)
+    t = _tracks(df, speeds, held, keys, order, speed, heading, gz, east, north, dt)
     start = (F.col("i") >= first) & (F.pmod(F.col("i") - first, F.lit(round(stride_s / dt))) == 0)
-    held_at = df.withColumn("__i", (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("int")).select(*keys, F.col("__i").alias("i"), F.col(held).cast("double").alias("v0"))
-    t = t.join(held_at, [*keys, "i"])
     w = Window.partitionBy(*keys).orderBy("i")
     timed = [F.struct(F.lit(f"{h:g}s").alias("label"), F.lead("s", round(h / dt)).over(w).alias("e")) for h in horizons_s]
     rows = t.withColumn("ends", F.array(*timed) if timed else F.array()).where(start)
     found = rows.select(*keys, "s", "v0", F.explode("ends").alias("x")).select(*keys, "s", "v0", "x.label", "x.e")
     for metres in distances_m:
         # The first row at or past the distance, looked up from the far end: rows come before the starts that they end.
-        marks = t.select(*keys, F.col("s.dist").alias("at"), F.lit(0).alias("side"), F.col("i").alias("n"), "s", F.lit(None).cast("double").alias("v0"))
-        asks = t.where(start).select(*keys, (F.col("s.dist") + metres).alias("at"), F.lit(1).alias("side"), F.col("i").alias("n"), "s", "v0")
+        # A start is a mark and a question, made in place: nothing is joined or dealt out again.
+        ask = lambda side, at: F.struct(F.lit(side).alias("side"), at.alias("at"))
+        mark, question = ask(0, F.col("s.dist")), ask(1, F.col("s.dist") + metres)
+        both = t.withColumn("x", F.explode(F.when(start, F.array(mark, question)).otherwise(F.array(mark)))).select(*keys, "x.at", "x.side", F.col("i").alias("n"), "s", "v0")
         back = Window.partitionBy(*keys).orderBy(F.desc("at"), "side", F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-        both = marks.unionByName(asks).withColumn("e", F.last(F.when(F.col("side") == 0, F.col("s")), True).over(back)).where("side = 1")
+        both = both.withColumn("e", F.last(F.when(F.col("side") == 0, F.col("s")), True).over(back)).where("side = 1")
         found = found.unionByName(both.select(*keys, "s", "v0", F.lit(f"{metres:g}m").alias("label"), "e"))
     found = found.where("e IS NOT NULL")
     s, e = F.col("s"), F.col("e")
