@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import add_ned, horizontal_distance_m, ned_between, wrap_360
+from ..staging import staged
 from .joins import last_at_or_before
 
 MODES = ("true_heading", "gyro_heading")
+#: A quantile's sketch is off by at most one in so many of a group's rows.
+SKETCH = 10_000
 
 
 def _tracks(df: DataFrame, speeds: dict[str, str], held: str, keys: Sequence[str], order: str, speed: str, heading: str, gz: str, east: str, north: str, dt: float) -> DataFrame:
@@ -77,13 +80,44 @@ def drift_over_windows(df: DataFrame, speeds: dict[str, str], held: str, keys: S
 
 
 def drift_window_summary(windows: DataFrame, keys: Sequence[str] = ("strategy", "heading_mode", "label")) -> DataFrame:
-    """Per strategy, heading mode and kind of window: scored and skipped outages, and the drift's distribution."""
+    """Per strategy, heading mode and kind of window: scored and skipped outages, and the drift's distribution.
+
+    The windows are written once; of each quantile a sketch says between which values it lies, and only what is between them
+    is counted value by value, so no task holds a group's values.
+    """
     scored = ~F.col("skipped")
-    of = lambda c: F.when(scored, F.col(c))
-    return windows.groupBy(*keys).agg(
-        F.count_if(scored).alias("n_windows"), F.median(of("drift_pct")).alias("median_pct"), F.avg(of("drift_pct")).alias("mean_pct"), F.percentile(of("drift_pct"), 0.9).alias("p90_pct"),
-        F.avg(F.when(scored, (F.col("drift_pct") < 10).cast("double"))).alias("share_under_10_pct"), F.median(of("distance_m")).alias("median_distance_m"), F.median(of("duration_s")).alias("median_duration_s"), F.count_if(~scored).alias("skipped"),
+    asked = [("drift_pct", 0.5, "median_pct"), ("drift_pct", 0.9, "p90_pct"), ("distance_m", 0.5, "median_distance_m"), ("duration_s", 0.5, "median_duration_s")]
+    d = staged(windows.select(*keys, "skipped", *dict.fromkeys(c for c, _, _ in asked)))
+    k = F.struct(*keys)
+    g = d.groupBy(k.alias("k")).agg(
+        F.count_if(scored).alias("n_windows"), F.avg(F.when(scored, F.col("drift_pct"))).alias("mean_pct"), F.avg(F.when(scored, (F.col("drift_pct") < 10).cast("double"))).alias("share_under_10_pct"), F.count_if(~scored).alias("skipped"),
+        *(F.percentile_approx(F.when(scored, F.col(c)), [max(0.0, p - 3 / SKETCH), min(1.0, p + 3 / SKETCH)], SKETCH).alias(f"s_{name}") for c, p, name in asked), *(F.count(F.when(scored, F.col(c))).alias(f"n_{name}") for c, _, name in asked),
     )
+    g = staged(g)
+    asks = g.select("k", F.inline(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), F.col(f"n_{name}").alias("n"), F.col(f"s_{name}")[0].alias("lo"), F.col(f"s_{name}")[1].alias("hi")) for _, p, name in asked))))
+    at = F.col("p") * (F.col("n") - 1)
+    asks = staged(asks.where("n > 0").withColumn("at", at))
+    values = d.where(scored).select(k.alias("k"), F.inline(F.array(*(F.struct(F.lit(name).alias("name"), F.col(c).alias("v")) for c, _, name in asked)))).where("v IS NOT NULL")
+
+    def found(asks: DataFrame) -> DataFrame:
+        """The values at the whole places before and after ``at``, null where they aren't between ``lo`` and ``hi``."""
+        met = values.join(F.broadcast(asks.select(F.col("k").alias("k2"), F.col("name").alias("name2"), "lo", "hi")), F.col("k").eqNullSafe(F.col("k2")) & (F.col("name") == F.col("name2"))).drop("k2", "name2")
+        place = F.when(F.col("v") < F.col("lo"), F.lit(-1)).when(F.col("v") > F.col("hi"), F.lit(1)).otherwise(0)
+        counts = met.select("k", "name", place.alias("place"), F.when(place == 0, F.col("v")).alias("v")).groupBy("k", "name", "place", "v").agg(F.count("*").alias("c")).where("place <= 0")
+        upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("k", "name").orderBy("place", "v"))).where("place = 0")
+        own = upto.join(F.broadcast(asks.select(F.col("k").alias("k2"), F.col("name").alias("name2"), "at")), F.col("k").eqNullSafe(F.col("k2")) & (F.col("name") == F.col("name2"))).drop("k2", "name2")
+        holds = lambda i: F.max(F.when((F.col("upto") - F.col("c") <= i) & (i < F.col("upto")), F.col("v")))
+        return own.groupBy("k", "name").agg(F.first("at").alias("at"), holds(F.floor("at")).alias("a"), holds(F.ceil("at")).alias("b"))
+
+    near = staged(found(asks))
+    done = near.where("a IS NOT NULL AND b IS NOT NULL")
+    missed = asks.join(done.select(F.col("k").alias("k2"), F.col("name").alias("name2")), F.col("k").eqNullSafe(F.col("k2")) & (F.col("name") == F.col("name2")), "left_anti")
+    if not missed.isEmpty():  # a sketch that was farther off than it says
+        done = done.unionByName(found(missed.withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("nan"))})))
+    between = F.when(F.floor("at") == F.ceil("at"), F.col("a")).when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    quantiles = done.groupBy(F.col("k").alias("k2")).agg(*(F.max(F.when(F.col("name") == name, between)).alias(name) for _, _, name in asked))
+    out = g.join(F.broadcast(quantiles), F.col("k").eqNullSafe(F.col("k2")), "left")
+    return out.select(*(F.col(f"k.{c}").alias(c) for c in keys), "n_windows", "median_pct", "mean_pct", "p90_pct", "share_under_10_pct", "median_distance_m", "median_duration_s", "skipped")
 
 
 def outage_starts(logs: DataFrame, durations_s: Sequence[int] = (10, 30, 60, 120), settle_s: int = 10, stride_s: int = 20, most: int = 16) -> DataFrame:
